@@ -27,7 +27,7 @@ _DA, _DAS, _DH = "diagnostic_assessment", "diagnostic_assessment_students", "dia
 _Q = ("questionnaire_type", "questionnaire", "questionnaire_question", "questionnaire_response", "questionnaire_answer")
 
 # Every student's level rows with its class and teacher; by month also the assessment.
-_CLASS_LEVELS = """
+_CLASS_LEVELS = r"""
 levels AS (
     SELECT s.id AS sid, s.class_id AS cid, h.ordering AS lvl, a.id AS aid, a.created_at AS given, a.month AS month
     FROM student s, class k, teacher t, diagnostic_assessment_students x,
@@ -36,8 +36,10 @@ levels AS (
       AND h.id = x.hypothesis_id AND a.id = x.diagnostic_assessment_id
 ),
 latest AS (
-    SELECT sid, month FROM levels
-    QUALIFY row_number() OVER (PARTITION BY sid ORDER BY given DESC, aid DESC) = 1
+    SELECT sid, coalesce(TRY_CAST(regexp_extract(month, '^\s*\+?(\d+)', 1) AS INT),
+                         CASE WHEN month IS NOT NULL THEN 0 END) AS month
+    FROM levels
+    QUALIFY row_number() OVER (PARTITION BY sid ORDER BY given DESC NULLS LAST, aid DESC) = 1
 ),
 risen AS (
     SELECT cid, month, count(*) AS up
@@ -54,7 +56,7 @@ report AS (
            e.name AS nome_escola, e.municipio AS cidade_escola, e.uf AS estado_escola,
            k.teacher_id AS id_professor, size.n AS total_alunos, risen.up AS alunos_com_melhoria,
            round(100 * risen.up / size.n, 2) AS porcentagem_melhoria,
-           {_MONTHS}[CAST(risen.month AS INT)] AS mes_sondagem
+           CASE WHEN risen.month BETWEEN 1 AND 12 THEN {_MONTHS}[risen.month] END AS mes_sondagem
     FROM risen JOIN class k ON k.id = risen.cid JOIN size ON size.cid = risen.cid
     JOIN school e USING (cod_inep) JOIN teacher t ON t.id = k.teacher_id
     WHERE t.auth_id NOT IN {_OUT}
@@ -114,7 +116,7 @@ report AS (
 report AS (
     SELECT s.id AS student_id, s.name AS nome_aluno, k.name AS nome_turma, k.year AS ano_turma, e.cod_inep,
            e.name AS nome_escola, e.municipio AS cidade_escola, e.uf AS estado_escola, h.name AS nome_hipotese,
-           a.created_at, row_number() OVER (PARTITION BY s.id ORDER BY a.created_at, a.id, h.id) AS rn
+           a.created_at, row_number() OVER (PARTITION BY s.id ORDER BY a.created_at NULLS FIRST, a.id, h.id) AS rn
     FROM student s
     JOIN class k ON k.id = s.class_id
     JOIN school e USING (cod_inep)
@@ -165,10 +167,13 @@ report AS (
 }
 
 
-def on(report: str, select: str) -> str:
-    """A query over the rows of a report, named ``report`` in ``select``."""
+def on(report: str, select: str, views: bool = True) -> str:
+    """A query over the rows of a report, named ``report`` in ``select``.
+
+    Without ``views`` the twelve tables are taken as they are.
+    """
     tables, ctes = REPORTS[report]
-    return f"{sample_ctes(*tables)},{ctes}\n{select}"
+    return f"{sample_ctes(*tables)},{ctes}\n{select}" if views else f"WITH {ctes}\n{select}"
 
 
 def over(*tables: str, select: str) -> str:

@@ -70,7 +70,15 @@ VIEWS: dict[str, str] = {
         WHERE event_id % 20 = 0""",
 }
 
-TEST_TABLES = ("region", "nation", "customer", "orders", "lineitem", "events")
+TEST_TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_linenumber int, l_quantity double, l_returnflag string, "
+    "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string",
+}
 
 EXCLUDED = ("3", "6", "18", "64")
 
@@ -79,9 +87,11 @@ def sample_tables(spark: SparkSession, sf_dir: str) -> TableSet:
     """The table set over one directory of test tables."""
     tuned(spark)
 
+    def test_table(name: str) -> DataFrame:
+        return spark.read.schema(TEST_TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
+
     def load(name: str) -> DataFrame:
-        used = [t for t in TEST_TABLES if f"{{{t}}}" in VIEWS[name]]
-        return spark.sql(VIEWS[name], **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+        return spark.sql(VIEWS[name], **{t: test_table(t) for t in TEST_TABLES if f"{{{t}}}" in VIEWS[name]})
 
     return TableSet(load)
 

@@ -9,14 +9,17 @@ group.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from levelbook.sources.session import require_checkpoint_dir
 
-# A group of up to this many rows is ordinary work for one task.
+# A group of up to this many rows, or a key of up to this many joined pairs, is ordinary
+# work for one task.
 HOT_ROWS = 2_000_000
+HOT_PAIRS = 50_000_000
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> DataFrame:
@@ -30,11 +33,11 @@ def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> Da
     return counted.filter(F.col("n_rows") >= min_rows)
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
+def _renamed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
+    """``df`` with its keys renamed, and the NULL-safe condition that joins them to their like."""
+    other = df.withColumnsRenamed({key: f"_other_{key}" for key in keys})
+    same = [F.col(key).eqNullSafe(F.col(f"_other_{key}")) for key in keys]
+    return other, reduce(Column.__and__, same)
 
 
 def fan_out_join(
@@ -43,34 +46,40 @@ def fan_out_join(
     key: str,
     left_rows: DataFrame | None = None,
     right_rows: DataFrame | None = None,
-    slice_rows: int = HOT_ROWS,
+    pairs_per_task: int = HOT_PAIRS,
 ) -> DataFrame:
-    """Inner many-to-many join on ``key`` with hot keys cut into slices on both sides.
-
-    A key with ``n`` rows on one side is cut there into about ``n / slice_rows`` slices;
-    each row goes to one slice and is copied once per slice of the other side, so every
-    pair of rows meets exactly once, in the task of its (key, left slice, right slice).
-    Other keys have one slice. A row's slice comes from its content, so a recomputed task
-    repeats it.
-
-    ``left_rows`` / ``right_rows`` are cheaper frames to count the key on; the counts only
-    size the slices, so they need not be exact. The rows of ``left`` should be distinct,
-    and so should those of ``right``: equal copies share a slice.
+    """Inner many-to-many join on ``key`` that cuts keys with very many pairs into slices.
+
+    A key whose two sides make more than ``pairs_per_task`` pairs is cut on its longer
+    side, and on the other too if need be, into about that many pairs per slice. A row goes
+    to one slice of its own side and is copied once per slice of the other, so every pair
+    meets exactly once. A row's slice comes from its content, so a recomputed task repeats
+    it; the rows of ``left`` should be distinct, and those of ``right``, as equal copies
+    share a slice.
+
+    The pairs are counted on the key column of ``left_rows`` and ``right_rows``, cheaper
+    frames than the inputs where there are any; the counts only size the slices and need
+    not be exact. There are at most (result rows / ``pairs_per_task``) keys to cut, and
+    they are broadcast on that ground: a trillion pairs allow twenty thousand keys. With
+    none, adaptive execution drops the lookup and this is the plain join.
     """
-    def slices(rows: DataFrame, side: str) -> DataFrame:
-        n = F.ceil(F.col("n_rows") / F.lit(slice_rows)).cast("int")
-        one = F.lit(1)
-        return hot_keys(rows.select(key), [key], slice_rows).select(
+    def count(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(key).agg(F.count(F.lit(1)).cast("double").alias(name))
+
+    n_left, n_right = F.col("_n_left"), F.col("_n_right")
+    tasks = F.ceil(n_left * n_right / pairs_per_task)
+    long_slices = F.least(tasks, F.greatest(n_left, n_right))
+    short_slices = F.ceil(tasks / long_slices)
+    left_is_long = n_left >= n_right
+    hot = (
+        count(left if left_rows is None else left_rows, "_n_left")
+        .join(count(right if right_rows is None else right_rows, "_n_right"), key)
+        .filter(n_left * n_right > pairs_per_task)
+        .select(
             key,
-            (n if side == "left" else one).alias("_left_slices"),
-            (n if side == "right" else one).alias("_right_slices"),
+            F.when(left_is_long, long_slices).otherwise(short_slices).cast("int").alias("_left_slices"),
+            F.when(left_is_long, short_slices).otherwise(long_slices).cast("int").alias("_right_slices"),
         )
-
-    hot = (
-        slices(left if left_rows is None else left_rows, "left")
-        .unionByName(slices(right if right_rows is None else right_rows, "right"))
-        .groupBy(key)
-        .agg(F.max("_left_slices").alias("_left_slices"), F.max("_right_slices").alias("_right_slices"))
     )
 
     def cut(df: DataFrame, own: str, other: str) -> DataFrame:
@@ -112,12 +121,13 @@ def row_numbered(
     if hot.isEmpty():
         return df.withColumn(name, rank)
 
+    hot, is_hot = _renamed(hot, partition)
     hot = F.broadcast(hot)
-    cool = df.join(hot, _same(df, hot, partition), "left_anti").withColumn(name, rank)
+    cool = df.join(hot, is_hot, "left_anti").withColumn(name, rank)
 
     require_checkpoint_dir(df.sparkSession)
     identified = (
-        df.join(hot, _same(df, hot, partition), "left_semi")
+        df.join(hot, is_hot, "left_semi")
         .withColumn("_row", F.monotonically_increasing_id())
         .checkpoint()
     )
@@ -134,8 +144,8 @@ def row_numbered(
         .select(*chunk_keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     )
     in_chunk = F.row_number().over(Window.partitionBy(*chunk_keys).orderBy(*order))
-    numbered = chunks.withColumn("_in_chunk", in_chunk)
-    shifted = numbered.join(offsets, _same(numbered, offsets, chunk_keys)).select(
-        *[numbered[c] for c in df.columns], (F.col("_before") + F.col("_in_chunk")).alias(name)
+    offsets, same_chunk = _renamed(offsets, chunk_keys)
+    shifted = chunks.withColumn("_in_chunk", in_chunk).join(offsets, same_chunk).select(
+        *df.columns, (F.col("_before") + F.col("_in_chunk")).alias(name)
     )
     return cool.unionByName(shifted)

@@ -11,7 +11,7 @@ from levelbook.functions.columns import share
 from levelbook.functions.vocabulary import HAS_CLASS, NO_CLASS, ONBOARDING_DONE, ONBOARDING_OPEN, UNKNOWN_STATE
 from levelbook.operators.accounts import exclude_accounts
 from levelbook.operators.counts import distinct_kpis, distinct_per, first_appearance_rank, per_day, spread_minutes
-from levelbook.operators.skew import HOT_ROWS, fan_out_join
+from levelbook.operators.skew import HOT_PAIRS, fan_out_join
 from levelbook.plans.logins import Accounts
 from levelbook.sources import TableSet
 
@@ -100,7 +100,7 @@ def _assessments(tables: TableSet) -> DataFrame:
     return tables.table("diagnostic_assessment").join(known, "teacher_id", "left_semi")
 
 
-def students_by_class(tables: TableSet, ordered: bool = False, slice_rows: int = HOT_ROWS) -> DataFrame:
+def students_by_class(tables: TableSet, ordered: bool = False, pairs_per_task: int = HOT_PAIRS) -> DataFrame:
     """Every assessment of a class paired with every level of every student of that class.
 
     Levels pair by student, not by assessment. So the comments shrink to one per student and level
@@ -140,7 +140,7 @@ def students_by_class(tables: TableSet, ordered: bool = False, slice_rows: int =
         "id_turma",
         left_rows=tables.table("diagnostic_assessment").select(F.col("class_id").alias("id_turma")),
         right_rows=tables.table("student").select(F.col("class_id").alias("id_turma")),
-        slice_rows=slice_rows,
+        pairs_per_task=pairs_per_task,
     ).select(
         "id_professor", "id_turma", "nome_turma", "ano_turma", "id_aluno", "nome_aluno",
         "cod_inep", "nome_escola", "cidade_escola", "estado_escola",

@@ -6,7 +6,6 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from levelbook.sources.schemas import SCHEMAS
 
@@ -34,10 +33,12 @@ class TableSet:
 
     ``table(name)`` gives a lazy frame with exactly the declared columns and types, so
     column pruning and filters reach the scan. Zoned timestamps lose their zone here.
+    A table is opened once per set: opening reads file footers or asks the database.
     """
 
     def __init__(self, load: Callable[[str], DataFrame]):
         self._load = load
+        self._opened: dict[str, DataFrame] = {}
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, directory: str, pattern: str = "{name}.parquet") -> TableSet:
@@ -68,5 +69,7 @@ class TableSet:
         return cls(lambda name: frames[name])
 
     def table(self, name: str) -> DataFrame:
-        fields = SCHEMAS[name].fields
-        return self._load(name).select(*[F.col(f.name).cast(f.dataType) for f in fields])
+        if name not in self._opened:
+            columns = [f"CAST(`{f.name}` AS {f.dataType.simpleString()}) AS `{f.name}`" for f in SCHEMAS[name].fields]
+            self._opened[name] = self._load(name).selectExpr(*columns)
+        return self._opened[name]
