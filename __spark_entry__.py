@@ -57,13 +57,8 @@ def _answers(t: TableSet) -> DataFrame:
     return questionnaire.questionnaire_answers(t, EXCLUDED)
 
 
-def _rounded(df: DataFrame, column: str) -> DataFrame:
-    """Six digits, so that the order in which doubles were added does not show."""
-    return df.withColumn(column, F.round(column, 6))
-
-
 def _mean_by_state(t: TableSet) -> DataFrame:
-    return _rounded(improvement.mean_improvement_by_state(_by_month(t)), "porcentagem_melhoria")
+    return improvement.mean_improvement_by_state(_by_month(t))
 
 
 def _profile_text(profile: DataFrame) -> DataFrame:
@@ -139,12 +134,12 @@ _QUERIES: dict[str, Callable[[TableSet], DataFrame]] = {
     # teachers, classes, students
     "teacher_kpis": lambda t: roster.teacher_kpis(_roster(t)),
     "teachers_per_day": lambda t: roster.teachers_per_day(_roster(t)),
-    "registration_spread": lambda t: _rounded(roster.registration_spread(_roster(t)), "tempo_medio_cadastro"),
+    "registration_spread": lambda t: roster.registration_spread(_roster(t)),
     "state_order": lambda t: roster.state_order(_roster(t)),
     "teachers_by_state": lambda t: roster.teachers_by_state(_roster(t)),
     "classes_by_state": lambda t: roster.classes_by_state(_roster(t)),
     "classes_by_state_total": lambda t: roster.classes_by_state_total(roster.classes_by_state(_roster(t))),
-    "onboarding_rate": lambda t: _rounded(roster.onboarding_rate(_roster(t)), "taxa_onboarding_completo"),
+    "onboarding_rate": lambda t: roster.onboarding_rate(_roster(t)),
     "state_filtered": lambda t: state_filter(_roster(t), STATES),
     "state_filtered_kpis": lambda t: roster.teacher_kpis(state_filter(_roster(t), STATES)),
     "class_kpis": lambda t: roster.class_kpis(_registered(t)),
@@ -163,14 +158,10 @@ _QUERIES: dict[str, Callable[[TableSet], DataFrame]] = {
     "teachers_by_month": lambda t: improvement.teachers_by_month(_by_month(t)),
     "classes_by_month": lambda t: improvement.classes_by_month(_by_month(t)),
     "improved_classes_by_state": lambda t: improvement.improved_classes_by_state(_by_month(t)),
-    "mean_improvement_by_month": lambda t: _rounded(
-        improvement.mean_improvement_by_month(_by_month(t)), "porcentagem_melhoria"
-    ),
+    "mean_improvement_by_month": lambda t: improvement.mean_improvement_by_month(_by_month(t)),
     "mean_improvement_by_state": _mean_by_state,
     "top5_states": lambda t: improvement.top_states(_mean_by_state(t)),
-    "overall_improvement_rate": lambda t: _rounded(
-        improvement.overall_improvement_rate(improvement.class_improvement(t)), "percentual_total_melhoria"
-    ),
+    "overall_improvement_rate": lambda t: improvement.overall_improvement_rate(improvement.class_improvement(t)),
     # filters and type repairs
     "filter_profile": lambda t: _profile_text(profile_columns(_roster(t))),
     "filter_profile_exact": lambda t: _profile_text(profile_columns(_logins(t), exact_counts=True)),

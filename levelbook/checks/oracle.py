@@ -48,6 +48,11 @@ risen AS (
 )"""
 
 
+def _percent(part: str, whole: str) -> str:
+    """Hundredths of a percent in whole numbers, halves up; the only rounding is the last division."""
+    return f"((20000 * ({part}) + ({whole})) // (2 * ({whole}))) / 100"
+
+
 def _by_month(size: str) -> str:
     return f"""{_CLASS_LEVELS},
 size AS ({size}),
@@ -55,7 +60,7 @@ report AS (
     SELECT k.id AS id_turma, k.cod_inep AS cod_inep_turma, k.name AS nome_turma, k.year AS ano_turma,
            e.name AS nome_escola, e.municipio AS cidade_escola, e.uf AS estado_escola,
            k.teacher_id AS id_professor, size.n AS total_alunos, risen.up AS alunos_com_melhoria,
-           round(100 * risen.up / size.n, 2) AS porcentagem_melhoria,
+           {_percent("risen.up", "size.n")} AS porcentagem_melhoria,
            CASE WHEN risen.month BETWEEN 1 AND 12 THEN {_MONTHS}[risen.month] END AS mes_sondagem
     FROM risen JOIN class k ON k.id = risen.cid JOIN size ON size.cid = risen.cid
     JOIN school e USING (cod_inep) JOIN teacher t ON t.id = k.teacher_id
@@ -124,7 +129,7 @@ report AS (
     JOIN diagnostic_assessment a ON a.id = x.diagnostic_assessment_id
     JOIN diagnostic_assessment_type_hypothesis h ON h.id = x.hypothesis_id
 )"""),
-    "class_improvement_total": ((_T, _C, _S, _DAS, _DH), """
+    "class_improvement_total": ((_T, _C, _S, _DAS, _DH), f"""
 spans AS (
     SELECT student_id, max(ordering) > min(ordering) AS up
     FROM diagnostic_assessment_students x JOIN diagnostic_assessment_type_hypothesis h ON h.id = x.hypothesis_id
@@ -134,7 +139,7 @@ report AS (
     SELECT k.id AS turma_id, k.name AS nome_turma, k.teacher_id AS professor_id,
            count(DISTINCT s.id) AS total_alunos,
            count(DISTINCT s.id) FILTER (WHERE up) AS alunos_com_melhoria,
-           round(100 * count(DISTINCT s.id) FILTER (WHERE up) / count(DISTINCT s.id), 2) AS porcentagem_melhoria
+           {_percent("count(DISTINCT s.id) FILTER (WHERE up)", "count(DISTINCT s.id)")} AS porcentagem_melhoria
     FROM class k JOIN teacher t ON t.id = k.teacher_id
     JOIN student s ON s.class_id = k.id LEFT JOIN spans ON spans.student_id = s.id
     GROUP BY ALL
@@ -283,7 +288,7 @@ FROM report WHERE pergunta IS NOT NULL AND resposta IS NOT NULL {} GROUP BY ALL"
     sql["teachers_per_day"] = on(roster, per_day.format("data_cadastro_professor", ""))
     sql["registration_spread"] = on(roster, """
 SELECT CAST(data_cadastro_professor AS DATE) AS data_cadastro_professor,
-       round((epoch_us(max(data_cadastro_professor)) - epoch_us(min(data_cadastro_professor))) / 6e7, 6) AS tempo_medio_cadastro
+       (epoch_us(max(data_cadastro_professor)) - epoch_us(min(data_cadastro_professor))) / CAST(6e7 AS DOUBLE) AS tempo_medio_cadastro
 FROM report GROUP BY 1""")
     sql["state_order"] = on(roster, f"SELECT uf AS estado_escola, CAST(ordem AS INTEGER) AS ordem FROM {_FIRST_SEEN}")
     sql["teachers_by_state"] = on(roster, f"""
@@ -300,7 +305,7 @@ FROM (SELECT count(DISTINCT id_turma) AS n FROM report GROUP BY estado_escola)""
     total = "count(DISTINCT id_professor)"
     sql["onboarding_rate"] = on(roster, f"""
 SELECT {total} AS total_professores, {done} AS professores_onboarding_completo,
-       round(100 * {done} / {total}, 6) AS taxa_onboarding_completo, {total} - {done} AS professores_onboarding_incompleto
+       {done} / {total} * 100 AS taxa_onboarding_completo, {total} - {done} AS professores_onboarding_incompleto
 FROM report""")
     chosen = "FROM report WHERE estado_escola IN ('NATION_1', 'NATION_2')"
     sql["state_filtered"] = on(roster, f"SELECT * {chosen}")
@@ -333,13 +338,13 @@ FROM report""")
     sql["teachers_by_month"] = on(month, grouped.format("mes_sondagem", "count(DISTINCT id_professor) AS total_professores"))
     sql["classes_by_month"] = on(month, grouped.format("mes_sondagem", "count(DISTINCT id_turma) AS total_turmas"))
     sql["improved_classes_by_state"] = on(month, grouped.format("estado_escola", "count(DISTINCT id_turma) AS total_turmas"))
-    mean = "round(avg(porcentagem_melhoria), 6) AS porcentagem_melhoria"
+    mean = "CAST(sum(CAST(porcentagem_melhoria AS DECIMAL(18, 2))) AS DOUBLE) / count(porcentagem_melhoria) AS porcentagem_melhoria"
     sql["mean_improvement_by_month"] = on(month, grouped.format("mes_sondagem", mean))
     sql["mean_improvement_by_state"] = on(month, grouped.format("estado_escola", mean))
     sql["top5_states"] = on(month, grouped.format("estado_escola", mean) + " ORDER BY 2 DESC, 1 LIMIT 5")
     sql["overall_improvement_rate"] = on("class_improvement_total", """
 SELECT CAST(sum(total_alunos) AS BIGINT) AS total_alunos, CAST(sum(alunos_com_melhoria) AS BIGINT) AS total_melhorias,
-       round(100 * sum(alunos_com_melhoria) / sum(total_alunos), 6) AS percentual_total_melhoria
+       CAST(sum(alunos_com_melhoria) AS DOUBLE) / CAST(sum(total_alunos) AS DOUBLE) * 100 AS percentual_total_melhoria
 FROM report""")
 
     # filters and type repairs

@@ -44,22 +44,51 @@ def distinct_per(
     col: str,
     name: str = "total",
     keep_null: str | None = None,
-    order: DataFrame | None = None,
+    order: DataFrame | Sequence[str] | None = None,
 ) -> DataFrame:
     """Distinct values of ``col`` per ``key``.
 
     Rows with a NULL key are left out, unless ``keep_null`` gives the label they are
-    counted under. ``order`` is a ranking from :func:`first_appearance_rank`; with it the
-    result also carries the rank.
+    counted under. With ``order`` the result also carries the key's rank by first
+    appearance: taken from a ranking of other rows made by :func:`first_appearance_rank`,
+    or, given sort keys with ``col`` among them, found on these rows in the same pass.
     """
     kept = df if keep_null is not None else df.filter(F.col(key).isNotNull())
-    counted = kept.groupBy(key).agg(F.count_distinct(col).alias(name))
-    if order is not None:
+    distinct = F.count_distinct(col).alias(name)
+    if order is None:
+        counted = kept.groupBy(key).agg(distinct)
+    elif isinstance(order, DataFrame):
         rank = order.withColumnRenamed(key, "_ranked")
-        counted = counted.join(rank, F.col(key).eqNullSafe(F.col("_ranked")), "left").drop("_ranked")
+        same = F.col(key).eqNullSafe(F.col("_ranked"))
+        counted = kept.groupBy(key).agg(distinct).join(rank, same, "left").drop("_ranked")
+    elif col in order:
+        counted = _ranked(_leading(kept, key, order), key, order, "ordem", distinct)
+    else:
+        raise ValueError(f"{col} must be one of the sort keys")
     return counted.fillna(keep_null, subset=[key]) if keep_null is not None else counted
 
 
+def _leading(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """One row per ``key`` and all sort keys but the last, with the smallest last one.
+
+    Shrinks detail rows in a hash aggregate over plain columns; a minimum of structs over
+    the detail rows would sort them all.
+    """
+    *leading, last = order
+    smallest = F.when(F.bool_or(F.col(last).isNull()), None).otherwise(F.min(last))
+    return df.groupBy(key, *leading).agg(smallest.alias(last))
+
+
+def _ranked(df: DataFrame, key: str, order: Sequence[str], name: str, *measures: Column) -> DataFrame:
+    """One row per ``key``, numbered from 0 by its smallest sort keys, NULL last.
+
+    The numbering sees only the categories of ``key``, however many rows there are.
+    """
+    by_first = Window.orderBy(F.col(key).isNull(), F.col("_first"))
+    firsts = df.groupBy(key).agg(*measures, F.min(F.struct(*order)).alias("_first"))
+    return firsts.withColumn(name, F.row_number().over(by_first) - 1).drop("_first")
+
+
 def per_day(df: DataFrame, ts: str, col: str, name: str = "total") -> DataFrame:
     """Distinct values of ``col`` per calendar day of ``ts``; the day keeps ``ts``'s name."""
     return distinct_per(df.select(F.to_date(ts).alias(ts), col), ts, col, name)
@@ -80,9 +109,13 @@ def series_for(df: DataFrame, col: str, value: object) -> DataFrame:
     return df.filter(F.col(col) == F.lit(value))
 
 
-def mean_per(df: DataFrame, key: str, col: str) -> DataFrame:
-    """Unweighted mean of ``col`` per non-null ``key``."""
-    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.avg(col).alias(col))
+def mean_per(df: DataFrame, key: str, col: str, digits: int = 2) -> DataFrame:
+    """Unweighted mean of ``col``, which has at most ``digits`` decimals, per non-null ``key``.
+
+    Added as decimals, so the mean does not depend on the order of the rows.
+    """
+    exact = F.sum(F.col(col).cast(f"decimal(18,{digits})")).cast("double")
+    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.try_divide(exact, F.count(col).cast("double")).alias(col))
 
 
 def spread_minutes(df: DataFrame, ts: str, name: str = "minutes") -> DataFrame:
@@ -100,9 +133,6 @@ def top_k(df: DataFrame, col: str, k: int, tie: str) -> DataFrame:
 def first_appearance_rank(df: DataFrame, col: str, order_keys: Sequence[str], name: str = "ordem") -> DataFrame:
     """Categories of ``col`` numbered from 0 by where they first appear when ``df`` is sorted.
 
-    ``df`` itself is never sorted: every category keeps its smallest sort key (a map-side
-    minimum), and only the categories are numbered. NULL, if present, comes last.
+    ``df`` itself is never sorted. NULL, if present, comes last.
     """
-    firsts = df.groupBy(col).agg(F.min(F.struct(*order_keys)).alias("_first"))
-    by_first = Window.orderBy(F.col(col).isNull(), F.col("_first"))
-    return firsts.select(col, (F.row_number().over(by_first) - 1).alias(name))
+    return _ranked(_leading(df, col, order_keys), col, order_keys, name)

@@ -110,6 +110,13 @@ def _plain_kind(df: DataFrame, column: str) -> str:
     return TEXT
 
 
+def _step(df: DataFrame, column: str) -> Column:
+    """A hundredth of the range of a numeric column."""
+    if _plain_kind(df, column) != NUMERIC:
+        return F.lit(None).cast("double")
+    return (F.max(column).cast("double") - F.min(column).cast("double")) / 100
+
+
 def profile_columns(
     df: DataFrame,
     max_values: int = 10,
@@ -124,49 +131,42 @@ def profile_columns(
     ``n_distinct`` is given for categorical columns, and with ``exact_counts`` for all.
 
     The rule only asks "fewer than ten?", so nothing is counted exactly that need not be.
-    A first small job sketches the distinct counts in constant memory and clears the
-    columns that are certainly above the limit; values are collected for the others only,
-    where the sketch bounds them to a few. Exact counts of every column cost a shuffle of
-    every column's values.
+    A first job, one aggregate in constant memory, finds the bounds and sketches the
+    distinct counts, which clears the columns that are certainly above the limit. The
+    returned plan reads the other columns only, and collects their values: the sketch
+    bounds them to a few. ``exact_counts`` costs a shuffle of every column's values.
     """
     if not 0 < max_values <= 200:
         raise ValueError("max_values must be between 1 and 200")
     names = list(columns or df.columns)
     # At most max_values - 1 values fill at most that many of the sketch's 512 registers,
     # which it reads as less than twice as many. So a larger estimate is proof of more.
-    estimates = df.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in names]).first()
-    few = [c for c in names if estimates[c] <= 2 * max_values]
-
-    def measures(c: str) -> list[Column]:
-        found = [F.min(c).alias(f"{c}|min"), F.max(c).alias(f"{c}|max"),
-                 F.coalesce(F.bool_or(F.col(c).isNull()), F.lit(False)).alias(f"{c}|null")]
-        if c in few:
-            found.append(F.collect_set(c).alias(f"{c}|set"))
-        elif exact_counts:
-            found.append(F.count_distinct(c).alias(f"{c}|n"))
-        return found
-
-    measured = df.agg(*[m for c in names for m in measures(c)])
+    sketch = df.agg(*[measure.alias(f"{c}|{name}") for c in names for name, measure in (
+        ("estimate", F.approx_count_distinct(c, 0.05)),
+        ("min", F.min(c).cast("string")),
+        ("max", F.max(c).cast("string")),
+        ("has_null", F.bool_or(F.col(c).isNull())),
+        ("step", _step(df, c)),
+    )]).first()
+    few = [c for c in names if sketch[f"{c}|estimate"] <= 2 * max_values]
+    counts = [F.collect_set(c).alias(f"{c}|set") for c in few]
+    if exact_counts:
+        counts += [F.count_distinct(c).alias(f"{c}|n") for c in names if c not in few]
+    counted = df.agg(*counts) if counts else df.sparkSession.range(1)
 
     def described(c: str) -> Column:
-        def part(suffix: str) -> Column:
-            return measured[f"`{c}|{suffix}`"]
-
-        kind = _plain_kind(df, c)
-        n = F.size(part("set")) if c in few else part("n") if exact_counts else F.lit(None)
-        categorical = F.size(part("set")) < max_values if c in few else F.lit(False)
-        values = F.when(categorical, F.array_sort(part("set")).cast("array<string>")) if c in few else F.lit(None)
-        lo, hi = part("min"), part("max")
-        step = (hi.cast("double") - lo.cast("double")) / 100 if kind == NUMERIC else F.lit(None)
+        values = F.col(f"`{c}|set`") if c in few else F.lit(None).cast("array<string>")
+        categorical = F.coalesce(F.size(values) < max_values, F.lit(False)) if c in few else F.lit(False)
+        n = F.size(values) if c in few else F.col(f"`{c}|n`") if exact_counts else F.lit(None)
         return F.struct(
             F.lit(c).alias("column"),
-            F.when(categorical, CATEGORICAL).otherwise(kind).alias("kind"),
-            (F.when(categorical, n) if not exact_counts else n).cast("long").alias("n_distinct"),
-            lo.cast("string").alias("min"),
-            hi.cast("string").alias("max"),
-            F.when(~categorical, step).cast("double").alias("step"),
-            values.cast("array<string>").alias("values"),
-            part("null").alias("has_null"),
+            F.when(categorical, CATEGORICAL).otherwise(_plain_kind(df, c)).alias("kind"),
+            F.when(categorical | F.lit(exact_counts), n).cast("long").alias("n_distinct"),
+            F.lit(sketch[f"{c}|min"]).cast("string").alias("min"),
+            F.lit(sketch[f"{c}|max"]).cast("string").alias("max"),
+            F.when(~categorical, F.lit(sketch[f"{c}|step"])).cast("double").alias("step"),
+            F.when(categorical, F.array_sort(values)).cast("array<string>").alias("values"),
+            F.lit(bool(sketch[f"{c}|has_null"])).alias("has_null"),
         )
 
-    return measured.select(F.inline(F.array(*[described(c) for c in names])))
+    return counted.select(F.inline(F.array(*[described(c) for c in names])))

@@ -225,17 +225,22 @@ def state_order(rows: DataFrame) -> DataFrame:
     return first_appearance_rank(rows, "estado_escola", ROSTER_KEYS).filter(F.col("estado_escola").isNotNull())
 
 
+def _state_rank(all_rows: DataFrame | None) -> DataFrame | tuple[str, ...]:
+    return ROSTER_KEYS if all_rows is None else first_appearance_rank(all_rows, "estado_escola", ROSTER_KEYS)
+
+
 def teachers_by_state(rows: DataFrame, all_rows: DataFrame | None = None) -> DataFrame:
-    """Distinct teachers per state; ``ordem`` follows ``all_rows``, the rows of all states."""
-    order = first_appearance_rank(rows if all_rows is None else all_rows, "estado_escola", ROSTER_KEYS)
-    return distinct_per(rows, "estado_escola", "id_professor", "total_professores", order=order)
+    """Distinct teachers per state, ranked by first appearance.
+
+    Give ``all_rows``, the rows of all states, when ``rows`` are a selection of them.
+    """
+    return distinct_per(rows, "estado_escola", "id_professor", "total_professores", order=_state_rank(all_rows))
 
 
 def classes_by_state(rows: DataFrame, all_rows: DataFrame | None = None) -> DataFrame:
     """Distinct classes per state, those without a state under their own label, last."""
-    order = first_appearance_rank(rows if all_rows is None else all_rows, "estado_escola", ROSTER_KEYS)
     return distinct_per(
-        rows, "estado_escola", "id_turma", "total_turmas", keep_null=UNKNOWN_STATE, order=order
+        rows, "estado_escola", "id_turma", "total_turmas", keep_null=UNKNOWN_STATE, order=_state_rank(all_rows)
     )
 
 

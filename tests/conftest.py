@@ -76,8 +76,6 @@ def duck(directory: str | None = None) -> duckdb.DuckDBPyConnection:
 def _plain(value):
     if value is None or value != value:
         return None
-    if isinstance(value, float):
-        return round(value, 9) + 0.0
     return value
 
 
