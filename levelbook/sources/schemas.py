@@ -54,3 +54,11 @@ KEYS: dict[str, str] = {
     "questionnaire_response": "id",
     "questionnaire_answer": "id",
 }
+
+# Tables that only name things: levels, and the parts of a questionnaire.
+LOOKUPS = (
+    "diagnostic_assessment_type_hypothesis",
+    "questionnaire_type",
+    "questionnaire",
+    "questionnaire_question",
+)

@@ -6,8 +6,20 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from levelbook.sources.schemas import SCHEMAS
+from levelbook.sources.schemas import LOOKUPS, SCHEMAS
+
+# Up to this many rows of a lookup table, a few megabytes, go to every executor.
+LOOKUP_ROWS = 50_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is.
+
+    For sources that tell Spark no sizes. Counts no further than one row past the limit.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
 @dataclass(frozen=True)
@@ -55,12 +67,16 @@ class TableSet:
         options: Mapping[str, str],
         splits: Mapping[str, JdbcSplit] | None = None,
     ) -> TableSet:
-        """``options`` as for ``spark.read.format("jdbc")``; ``splits`` per big table."""
+        """``options`` as for ``spark.read.format("jdbc")``; ``splits`` per big table.
+
+        Lookup tables are counted when opened, and broadcast if that proves them small.
+        """
 
         def load(name: str) -> DataFrame:
             split = (splits or {}).get(name)
             reader = spark.read.format("jdbc").options(**options).option("dbtable", name)
-            return reader.options(**(split.options() if split else {})).load()
+            df = reader.options(**(split.options() if split else {})).load()
+            return broadcast_if_small(df) if name in LOOKUPS else df
 
         return cls(load)
 

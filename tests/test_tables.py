@@ -4,6 +4,7 @@ import pytest
 
 from levelbook.plans import logins
 from levelbook.sources import KEYS, SCHEMAS, JdbcSplit, TableSet
+from levelbook.sources.tables import broadcast_if_small
 
 
 def test_schemas():
@@ -53,3 +54,11 @@ def test_jdbc_split_options():
     assert JdbcSplit("id", 0, 100, 8).options() == {
         "partitionColumn": "id", "lowerBound": "0", "upperBound": "100", "numPartitions": "8",
     }
+
+
+@pytest.mark.parametrize("max_rows,hinted", [(3, True), (4, True), (2, False)])
+def test_lookups_are_broadcast_only_if_counted_small(spark, conf, max_rows, hinted):
+    conf(spark__sql__autoBroadcastJoinThreshold="-1")
+    lookup = broadcast_if_small(spark.range(3), max_rows).selectExpr("CAST(id AS int) AS id")
+    plan = spark.range(9).join(lookup, "id")._jdf.queryExecution().executedPlan().toString()
+    assert ("BroadcastHashJoin" in plan) == hinted
