@@ -151,24 +151,24 @@ def students_by_class(tables: TableSet, ordered: bool = False, pairs_per_task: i
 
 
 def assessed_students(tables: TableSet) -> DataFrame:
-    """The students that occur in :func:`students_by_class`, once per level, without its pairs."""
-    known_levels = tables.table("diagnostic_assessment_type_hypothesis").select(
-        F.col("id").alias("hipotese"), F.col("name").alias("nome_hipotese")
-    )
+    """The students that occur in :func:`students_by_class`, once each, without its pairs.
+
+    ``hipotese`` is the student's level with the largest id among those with a name.
+    """
+    level = tables.table("diagnostic_assessment_type_hypothesis").select(F.col("id").alias("hypothesis_id"), "name")
+    named = F.when(F.col("name").isNotNull(), F.col("hypothesis_id"))
     levels = (
         tables.table("diagnostic_assessment_students")
-        .select("student_id", F.col("hypothesis_id").alias("hipotese"))
-        .distinct()
-        .join(known_levels, "hipotese")
+        .join(level, "hypothesis_id")
+        .groupBy("student_id")
+        .agg(F.max(named).alias("hipotese"))
     )
     assessed = _assessments(tables).select(F.col("class_id").alias("id_turma")).distinct()
     in_school = classes_with_school(tables).select("id_turma", "cod_inep").join(assessed, "id_turma", "left_semi")
-    students = (
-        tables.table("student")
-        .select(F.col("id").alias("student_id"), F.col("class_id").alias("id_turma"))
-        .join(in_school, "id_turma")
+    student = tables.table("student").select(F.col("id").alias("id_aluno"), F.col("class_id").alias("id_turma"))
+    return levels.join(student.join(in_school, "id_turma"), F.col("student_id") == F.col("id_aluno")).select(
+        "id_aluno", "id_turma", "cod_inep", "hipotese"
     )
-    return levels.join(students, "student_id").withColumnRenamed("student_id", "id_aluno")
 
 
 def student_class_kpis(rows: DataFrame) -> DataFrame:
@@ -185,11 +185,14 @@ def first_hypothesis_counts(tables: TableSet) -> DataFrame:
     """How many students have each level first, with their newest assessment on top.
 
     A student's levels pair with all assessments of the class alike, so the order by
-    assessment leaves a tie between them; the larger level id wins it.
+    assessment leaves a tie between them; the larger level id wins it. Names are looked up
+    for the counts, not for the students.
     """
-    named = assessed_students(tables).filter(F.col("nome_hipotese").isNotNull())
-    first = named.groupBy("id_aluno").agg(F.max_by("nome_hipotese", "hipotese").alias("nome_hipotese"))
-    return first.groupBy("nome_hipotese").agg(F.count(F.lit(1)).alias("count"))
+    level = tables.table("diagnostic_assessment_type_hypothesis").select(
+        F.col("id").alias("hipotese"), F.col("name").alias("nome_hipotese")
+    )
+    first = assessed_students(tables).groupBy("hipotese").agg(F.count(F.lit(1)).alias("count"))
+    return first.join(level, "hipotese").groupBy("nome_hipotese").agg(F.sum("count").alias("count"))
 
 
 # Figures on the rows of teacher_class_student.

@@ -2,7 +2,8 @@ from __future__ import annotations
 
 import pytest
 
-from levelbook.plans import logins
+from levelbook.operators.filters import FilterSpec, apply_filters
+from levelbook.plans import logins, roster
 from levelbook.sources import KEYS, SCHEMAS, JdbcSplit, TableSet
 from levelbook.sources.tables import broadcast_if_small
 
@@ -38,6 +39,27 @@ def test_only_used_columns_are_scanned(spark, written):
     assert "EqualTo(onboarding_completed,1)" in plan
 
 
+def test_filters_of_the_outer_roster_reach_every_scan(spark, make_tables, tmp_path, conf):
+    conf(spark__sql__maxMetadataStringLength="1000")
+    frames = make_tables()
+    for name in ("teacher", "class", "student", "school"):
+        frames.table(name).write.parquet(str(tmp_path / f"{name}.parquet"))
+    rows = roster.teacher_class_student(TableSet.from_parquet(spark, str(tmp_path)), ["x"])
+    chosen = apply_filters(rows, [
+        FilterSpec("ano_turma", "numeric", lo=2023, hi=2024),
+        FilterSpec("estado_escola", "categorical", values=["SP"]),
+        FilterSpec("data_cadastro_professor", "datetime", lo="2024-01-01", hi="2024-02-01"),
+    ])
+    plan = chosen.select("id_professor")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" not in plan
+    scans = chosen.select("id_professor")._jdf.queryExecution().executedPlan().toString()
+    # The rows without a class cannot match, so two of the three parts are left.
+    assert scans.count("EqualTo(uf,SP)") == 2
+    assert scans.count("GreaterThanOrEqual(year,2023)") == 2
+    assert scans.count("LessThanOrEqual(created_at,2024-02-01T00:00)") == 2
+    assert "nome_aluno" not in scans and "municipio" not in scans
+
+
 def test_tables_of_the_catalog(spark, written):
     spark.sql(f"CREATE DATABASE IF NOT EXISTS levelbook_test LOCATION '{written}/db'")
     try:
