@@ -5,6 +5,8 @@ The texts run in Spark SQL and in DuckDB. ``{name}`` stands for a test table.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 
 from levelbook.sources import TableSet, tuned
@@ -83,8 +85,9 @@ TEST_TABLES = {
 EXCLUDED = ("3", "6", "18", "64")
 
 
+@lru_cache(maxsize=8)
 def sample_tables(spark: SparkSession, sf_dir: str) -> TableSet:
-    """The table set over one directory of test tables."""
+    """The table set over one directory of test tables, opened once per session."""
     tuned(spark)
 
     def test_table(name: str) -> DataFrame:

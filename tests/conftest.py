@@ -11,6 +11,16 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from levelbook.sources import SCHEMAS, TableSet, tuned  # noqa: E402
 
+# No broadcasts, and partitions of a few kilobytes already count as skewed.
+SMALL_SKEW = {
+    "spark__sql__autoBroadcastJoinThreshold": "-1",
+    "spark__sql__adaptive__autoBroadcastJoinThreshold": "-1",
+    "spark__sql__adaptive__skewJoin__skewedPartitionFactor": "1.5",
+    "spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes": "4k",
+    "spark__sql__adaptive__advisoryPartitionSizeInBytes": "4k",
+    "spark__sql__shuffle__partitions": "8",
+}
+
 TESTDATA = os.environ.get("LEVELBOOK_TESTDATA", "/root/testdata/sf0.001")
 
 

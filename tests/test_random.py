@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 
 import pyarrow as pa
 import pytest
-from conftest import duck, duck_rows, spark_rows
+from conftest import SMALL_SKEW, duck, duck_rows, spark_rows
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from levelbook.checks.oracle import REPORTS, on
@@ -69,8 +69,9 @@ def random_rows(seed: int) -> dict[str, list[dict]]:
     }
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_reports_equal_sql(make_tables, seed):
+@pytest.mark.parametrize("seed,settings", [(0, {}), (1, {}), (2, SMALL_SKEW)])
+def test_reports_equal_sql(make_tables, conf, seed, settings):
+    conf(**settings)
     rows = random_rows(seed)
     tables = make_tables(**rows)
     connection = duck()

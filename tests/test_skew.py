@@ -7,6 +7,7 @@ from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
+from conftest import SMALL_SKEW
 from pyspark.sql import functions as F
 
 from levelbook.operators.skew import fan_out_join, hot_keys, row_numbered
@@ -131,16 +132,6 @@ def test_pairs_of_a_hot_class(make_tables):
     assert Counter(map(tuple, roster.students_by_class(t, pairs_per_task=50).collect())) == plain
 
 
-SMALL_SKEW = {
-    "spark__sql__autoBroadcastJoinThreshold": "-1",
-    "spark__sql__adaptive__autoBroadcastJoinThreshold": "-1",
-    "spark__sql__adaptive__skewJoin__skewedPartitionFactor": "1.5",
-    "spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes": "4k",
-    "spark__sql__adaptive__advisoryPartitionSizeInBytes": "4k",
-    "spark__sql__shuffle__partitions": "8",
-}
-
-
 def test_a_hot_class_of_the_roster_is_split(make_tables, conf):
     """Also in the outer roster, and also under an aggregate that could reuse the join's partitioning."""
     t = school(make_tables, n=4000, hot=0.6)
