@@ -19,4 +19,5 @@ def exclude_accounts(df: DataFrame, ids: Collection[str] | DataFrame, col: str =
     if isinstance(ids, DataFrame):
         listed = ids.select(F.col(ids.columns[0]).alias(col)).dropna()
         return known.join(listed, col, "left_anti").select(*df.columns)
-    return known.filter(~F.col(col).isin(sorted(set(ids)))) if ids else known
+    listed = sorted({i for i in ids if i is not None})
+    return known.filter(~F.col(col).isin(listed)) if listed else known

@@ -24,13 +24,23 @@ def count_distinct(df: DataFrame, col: str, where: Column | None = None, name: s
 
 
 def distinct_kpis(df: DataFrame, kpis: Mapping[str, Kpi]) -> DataFrame:
-    """Several distinct counts of one frame in one pass; each may have its own condition."""
-    def one(name: str, kpi: Kpi) -> Column:
-        col, where = (kpi, None) if isinstance(kpi, str) else kpi
-        value = F.col(col) if where is None else F.when(where, F.col(col))
-        return F.count_distinct(value).alias(name)
+    """Several distinct counts of one frame in one pass; each may have its own condition.
 
-    return df.agg(*[one(name, kpi) for name, kpi in kpis.items()])
+    Counts of one column under different conditions become one flag per condition and
+    value. Counts of different columns copy each row once per column before the shuffle,
+    which combines equal values on the map side.
+    """
+    parts = {name: (kpi, None) if isinstance(kpi, str) else kpi for name, kpi in kpis.items()}
+    counted = {col for col, _ in parts.values()}
+    if len(counted) == 1:
+        col = counted.pop()
+        met = [F.bool_or(F.lit(True) if where is None else where).alias(name) for name, (_, where) in parts.items()]
+        flags = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("_value")).agg(*met)
+        return flags.agg(*[F.count_if(name).alias(name) for name in parts])
+    return df.agg(*[
+        F.count_distinct(col if where is None else F.when(where, F.col(col))).alias(name)
+        for name, (col, where) in parts.items()
+    ])
 
 
 def groups_with_more_than(df: DataFrame, keys: Sequence[str], col: str, n: int) -> DataFrame:

@@ -38,8 +38,8 @@ class FilterSpec:
 
 
 def filter_in(df: DataFrame, column: str, values: Collection[object]) -> DataFrame:
-    """Keep the chosen values. NULL is a choosable value; choosing nothing keeps nothing."""
-    present = [v for v in values if v is not None]
+    """Keep the chosen values. NULL (None or NaN) can be chosen; choosing nothing keeps nothing."""
+    present = [v for v in values if v is not None and v == v]
     chosen = F.col(column).isin(present) if present else F.lit(False)
     if len(present) < len(values):
         chosen = chosen | F.col(column).isNull()

@@ -36,7 +36,7 @@ def ids(df):
 
 
 @pytest.mark.parametrize("values,expected", [
-    (["SP"], [1, 2]), (["SP", None], [1, 2, 4]), ([None], [4]), ([], []), (["AC", "SP"], [1, 2, 3]), (["ZZ"], []),
+    (["SP"], [1, 2]), (["SP", None], [1, 2, 4]), ([None], [4]), ([float("nan"), "AC"], [3, 4]), ([], []), (["AC", "SP"], [1, 2, 3]), (["ZZ"], []),
 ])
 def test_chosen_values(people, values, expected):
     assert ids(apply_filters(people, [FilterSpec("uf", CATEGORICAL, values=values)])) == expected

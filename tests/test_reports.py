@@ -35,7 +35,7 @@ def test_unknown_accounts_are_left_out(make_tables):
     t = make_tables(teacher=[dict(id=i, auth_id=a, onboarding_completed=1) for i, a in [(1, "a"), (2, None), (3, "x")]])
     assert [r.id_professor for r in logins.logins(t, ["x"]).collect()] == [1]
     assert logins.onboardings_total(t, ["x"]).first()[0] == 1
-    assert logins.logins(t, []).count() == 2
+    assert logins.logins(t, []).count() == logins.logins(t, [None]).count() == 2
 
 
 def test_accounts_as_a_frame(make_tables, spark):
@@ -122,6 +122,15 @@ def test_teacher_kpis_skip_the_filled_id(spark):
     assert tuple(roster.teacher_kpis(rows).first()) == (2, 1, 1)
 
 
+def test_kpis_of_one_column_under_conditions(spark):
+    from levelbook.operators.counts import distinct_kpis
+    rows = spark.createDataFrame([(1, 1), (1, None), (2, 0), (3, None), (None, 1)], "id long, ok int")
+    kpis = {"all": "id", "good": ("id", F.col("ok") == 1), "bad": ("id", F.col("ok") == 0)}
+    assert tuple(distinct_kpis(rows, kpis).first()) == (3, 1, 1)
+    assert tuple(distinct_kpis(rows.limit(0), kpis).first()) == (0, 0, 0)
+    assert tuple(distinct_kpis(rows, {**kpis, "oks": "ok"}).first()) == (3, 1, 1, 2)
+
+
 def test_spread_is_a_range_in_minutes(spark):
     rows = spark.createDataFrame(
         [(at(1, 10, 0, 0, 250000),), (at(1, 11, 30),), (at(1, 10, 30),), (at(2),), (None,)], "data_cadastro_professor timestamp_ntz"

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import pytest
+from conftest import TESTDATA
 
+from levelbook.checks.sample import EXCLUDED, sample_tables
 from levelbook.operators.filters import FilterSpec, apply_filters
-from levelbook.plans import logins, roster
+from levelbook.plans import improvement, logins, roster
 from levelbook.sources import KEYS, SCHEMAS, JdbcSplit, TableSet
 from levelbook.sources.tables import broadcast_if_small
 
@@ -72,6 +74,15 @@ def test_tables_of_the_catalog(spark, written):
         spark.sql("DROP DATABASE levelbook_test CASCADE")
 
 
+def test_results_go_to_files(spark, tmp_path):
+    rows = improvement.class_improvement(sample_tables(spark, TESTDATA), by_month=True, excluded=EXCLUDED)
+    rows.write.partitionBy("estado_escola").parquet(str(tmp_path / "rows"))
+    stored = spark.read.parquet(str(tmp_path / "rows")).select(*rows.columns)
+    assert stored.exceptAll(rows).count() == 0 and stored.count() == rows.count()
+    improvement.improvement_kpis(rows).write.option("header", True).csv(str(tmp_path / "kpis"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "kpis")).count() == 1
+
+
 def test_jdbc_split_options():
     assert JdbcSplit("id", 0, 100, 8).options() == {
         "partitionColumn": "id", "lowerBound": "0", "upperBound": "100", "numPartitions": "8",
