@@ -29,6 +29,15 @@ from levelbook.operators.filters import (
 from levelbook.plans import improvement, levels, logins, questionnaire, roster
 from levelbook.sources import TableSet
 
+try:  # the text operators are an optional part
+    from levelbook.llm import queries as text_queries
+except ImportError:
+    text_queries = None
+try:
+    import corpus_pipeline
+except ImportError:
+    corpus_pipeline = None
+
 STATES = ["NATION_1", "NATION_2"]
 ANSWER_LABELS = {"click": "cli<br>ck", "purchase": "pur<br>chase"}
 
@@ -195,8 +204,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bound(query: Callable[[TableSet], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: query(sample_tables(spark, sf_dir))
 
-    return {name: bound(query) for name, query in _QUERIES.items()}
+    registered = {name: bound(query) for name, query in _QUERIES.items()}
+    if text_queries:
+        registered |= text_queries.QUERIES
+    if corpus_pipeline:
+        registered["pipeline"] = corpus_pipeline.run
+    return registered
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries()
+    twins = oracle_queries()
+    if text_queries:
+        twins |= text_queries.ORACLES
+    if corpus_pipeline and corpus_pipeline.ORACLE_SQL:
+        twins["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return twins
