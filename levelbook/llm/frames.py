@@ -46,8 +46,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def bytes_of(df: DataFrame) -> int:
-    """Bytes of all values of ``df``, a few per value and the lengths of texts and binaries."""
-    long = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    """Bytes of all values of ``df``: a few per value, the lengths of texts and binaries, and
+    what lists hold (of numbers, or structs of numbers)."""
+    long = [
+        F.coalesce(F.sum(F.octet_length(c) if kind in ("string", "binary") else 8 * (1 + kind.count(",")) * F.size(c)), F.lit(0))
+        for c, kind in df.dtypes
+        if kind in ("string", "binary") or kind.startswith("array")
+    ]
     row = df.agg(F.count(F.lit(1)).alias("rows"), *[c.alias(f"b{i}") for i, c in enumerate(long)]).first()
     return row[0] * (16 + 8 * len(df.columns)) + sum(row[1:])
 

@@ -121,21 +121,42 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def runs(keys: np.ndarray, breaks: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of runs of equal ``keys``, cut where ``breaks`` and after ``longest``."""
-    if not len(keys):
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    new = np.ones(len(keys), dtype=bool)
-    new[1:] = (keys[1:] != keys[:-1]) | breaks[1:]
-    starts = np.flatnonzero(new)
-    lengths = np.diff(np.append(starts, len(keys)))
-    if lengths.max(initial=0) > longest:
-        pieces = -(-lengths // longest)
-        offset = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        whole_starts, whole_lengths = np.repeat(starts, pieces), np.repeat(lengths, pieces)
-        starts = whole_starts + offset * longest
-        lengths = np.minimum(longest, whole_lengths - offset * longest)
-    return starts, lengths
+def anchored_runs(hasher: RangeHash, valid: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Runs of neighbouring windows that share their anchor.
+
+    The anchor of a window of ``window`` values is the leftmost of its ``gram``-value parts with
+    the least hash, so equal windows have equal anchors at equal places, wherever they stand.
+    ``valid`` says of each start whether its window counts. Returns the starts of the runs, their
+    numbers of windows and the anchors' hashes. A run has at most ``window - gram + 1`` windows.
+    """
+    grams = hasher.windows(gram)
+    least = sliding_min(grams, window - gram + 1)
+    at = np.flatnonzero(valid[: len(least)])
+    if not len(at):
+        return at, at, least[:0]
+    anchors = least[at]
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (at[1:] != at[:-1] + 1) | (anchors[1:] != anchors[:-1]) | (grams[at[:-1]] == anchors[:-1])
+    first = np.flatnonzero(new)
+    return at[first], np.diff(np.append(first, len(at))), anchors[first]
+
+
+def spans_of(flags: np.ndarray) -> list[tuple[int, int]]:
+    """The maximal runs of true values as (begin, end)."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
+    return list(zip(edges[0::2].tolist(), edges[1::2].tolist(), strict=True))
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of spans as sorted spans that neither overlap nor touch."""
+    out: list[tuple[int, int]] = []
+    for begin, end in sorted(spans):
+        if out and begin <= out[-1][1]:
+            if end > out[-1][1]:
+                out[-1] = out[-1][0], end
+        else:
+            out.append((begin, end))
+    return out
 
 
 def by_bytes(items: Iterable, size: int, length=len) -> Iterator[list]:
