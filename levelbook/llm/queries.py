@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from levelbook.llm import contamination, html, jaccard, licenses, packing, phrases, pieces, quality, suffixes
+from levelbook.llm import contamination, html, jaccard, licenses, mixing, packing, phrases, pieces, quality, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components_of(_table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.score(_table(spark, sf_dir, "documents"))
+
+
 def op5_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_benchmark_decontamination,
         op2_suffix_array_dedup,
         op3_ngram_jaccard_join,
+        op4_lm_scoring,
         op5_token_packing,
         op6_sentencepiece,
         op7_html_extraction,
