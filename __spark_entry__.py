@@ -27,7 +27,7 @@ from levelbook.operators.filters import (
     state_filter,
 )
 from levelbook.plans import improvement, levels, logins, questionnaire, roster
-from levelbook.sources import TableSet
+from levelbook.sources import TableSet, check_keys
 
 try:  # the text operators are an optional part
     from levelbook.llm import queries as text_queries
@@ -150,6 +150,10 @@ _QUERIES: dict[str, Callable[[TableSet], DataFrame]] = {
     "classes_by_state_total": lambda t: roster.classes_by_state_total(roster.classes_by_state(_roster(t))),
     "onboarding_rate": lambda t: roster.onboarding_rate(_roster(t)),
     "state_filtered": lambda t: state_filter(_roster(t), STATES),
+    "teachers_by_state_filtered": lambda t: roster.teachers_by_state(state_filter(_roster(t), STATES), _roster(t)),
+    "classes_by_state_filtered": lambda t: roster.classes_by_state(state_filter(_roster(t), [*STATES, None]), _roster(t)),
+    "state_choices": lambda t: roster.state_choices(_roster(t)),
+    "key_violations": check_keys,
     "state_filtered_kpis": lambda t: roster.teacher_kpis(state_filter(_roster(t), STATES)),
     "class_kpis": lambda t: roster.class_kpis(_registered(t)),
     "class_teachers_per_day": lambda t: roster.teachers_per_day(_registered(t)),
@@ -180,6 +184,10 @@ _QUERIES: dict[str, Callable[[TableSet], DataFrame]] = {
     "filter_range_num": lambda t: apply_filters(
         improvement.class_improvement(t), [FilterSpec("porcentagem_melhoria", NUMERIC, lo=25.0, hi=50.0)]
     ),
+    "filter_in_default": lambda t: apply_filters(_registered(t), [FilterSpec("cidade_escola", CATEGORICAL)]),
+    "filter_range_num_open": lambda t: apply_filters(
+        improvement.class_improvement(t), [FilterSpec("porcentagem_melhoria", NUMERIC, lo=50.0)]
+    ),
     "filter_range_date": lambda t: apply_filters(
         _logins(t), [FilterSpec("data_criacao", DATETIME, lo=date(2024, 1, 5), hi=date(2024, 1, 15))]
     ),

@@ -8,7 +8,9 @@ joins. ``REPORTS`` holds the reports, each as a chain of CTEs ending in ``report
 from __future__ import annotations
 
 from levelbook.checks.sample import EXCLUDED, sample_ctes
+from levelbook.sources import KEYS
 from levelbook.functions.vocabulary import (
+    ALL_STATES,
     ANSWERED_ALL,
     ANSWERED_PARTLY,
     HAS_CLASS,
@@ -308,10 +310,28 @@ SELECT {total} AS total_professores, {done} AS professores_onboarding_completo,
        {done} / {total} * 100 AS taxa_onboarding_completo, {total} - {done} AS professores_onboarding_incompleto
 FROM report""")
     chosen = "FROM report WHERE estado_escola IN ('NATION_1', 'NATION_2')"
+    sql["teachers_by_state_filtered"] = on(roster, f"""
+SELECT estado_escola, count(DISTINCT id_professor) AS total_professores, CAST(any_value(ordem) AS INTEGER) AS ordem
+FROM report JOIN {_FIRST_SEEN} ON uf = estado_escola
+WHERE estado_escola IN ('NATION_1', 'NATION_2') GROUP BY estado_escola""")
+    sql["classes_by_state_filtered"] = on(roster, f"""
+SELECT coalesce(estado_escola, '{UNKNOWN_STATE}') AS estado_escola, count(DISTINCT id_turma) AS total_turmas,
+       CAST(coalesce(any_value(ordem), (SELECT count(DISTINCT estado_escola) FROM report)) AS INTEGER) AS ordem
+FROM report LEFT JOIN {_FIRST_SEEN} ON uf = estado_escola
+WHERE estado_escola IN ('NATION_1', 'NATION_2') OR estado_escola IS NULL GROUP BY report.estado_escola""")
+    sql["state_choices"] = on(roster, f"""
+SELECT '{ALL_STATES}' AS estado_escola, CAST(0 AS INTEGER) AS ordem
+UNION ALL SELECT uf, CAST(ordem + 1 AS INTEGER) FROM {_FIRST_SEEN}
+UNION ALL SELECT DISTINCT estado_escola, CAST((SELECT count(DISTINCT estado_escola) + 1 FROM report) AS INTEGER)
+FROM report WHERE estado_escola IS NULL""")
+    sql["key_violations"] = over(*KEYS, select=" UNION ALL ".join(f"""
+SELECT '{name}' AS "table", '{key}' AS "key", count(*) FILTER (WHERE k IS NOT NULL AND n > 1) AS repeated_keys,
+       CAST(coalesce(sum(n) FILTER (WHERE k IS NULL), 0) AS BIGINT) AS rows_without_key
+FROM (SELECT {key} AS k, count(*) AS n FROM {name} GROUP BY {key})""" for name, key in KEYS.items()))
     sql["state_filtered"] = on(roster, f"SELECT * {chosen}")
     sql["state_filtered_kpis"] = on(roster, f"""
 SELECT count(DISTINCT id_professor) AS total_professores, count(DISTINCT id_turma) AS total_turmas,
-       count(DISTINCT id_aluno) AS total_alunos {chosen}""")
+       count(DISTINCT nullif(id_aluno, 0)) AS total_alunos {chosen}""")
     sql["class_kpis"] = on("registered_classes", _THREE.format("id_professor", "id_turma", "id_aluno"))
     sql["class_teachers_per_day"] = on("registered_classes", per_day.format("data_cadastro_professor", ""))
     sql["student_class_kpis"] = on("students_by_class", """
@@ -353,6 +373,8 @@ FROM report""")
     sql["filter_in"] = on(roster, """
 SELECT * FROM report WHERE cidade_escola IN ('ASIA', 'EUROPE') OR cidade_escola IS NULL""")
     sql["filter_range_num"] = on("class_improvement_total", "SELECT * FROM report WHERE porcentagem_melhoria BETWEEN 25 AND 50")
+    sql["filter_in_default"] = on("registered_classes", "SELECT * FROM report")
+    sql["filter_range_num_open"] = on("class_improvement_total", "SELECT * FROM report WHERE porcentagem_melhoria >= 50")
     sql["filter_range_date"] = on("logins", """
 SELECT * FROM report WHERE data_criacao BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-15 00:00:00'""")
     sql["filter_text"] = on("registered_classes", "SELECT * FROM report WHERE regexp_matches(estado_escola, '_1[0-4]$')")

@@ -22,12 +22,6 @@ UNKNOWN_STATE = "Não informado"
 
 ONBOARDING_TYPE = "Onboarding"
 
-ONBOARDING_QUESTIONS = (
-    "1) Nos últimos 6 meses, com que frequência você realizou uma sondagem com sua turma?",
-    "2) Você se sente confiante para realizar uma sondagem com a sua turma?",
-    "3) Para você, quais os principais desafios para realizar uma sondagem?",
-)
-
 CHALLENGE_LABELS = {
     "Falta de conhecimento do que fazer após a sondagem": "Falta de conhecimento<br>do que fazer<br>após a sondagem",
     "Falta de conhecimento sobre sondagem": "Falta de conhecimento<br>sobre sondagem",

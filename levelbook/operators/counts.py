@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import DoubleType, FloatType
+
 from levelbook.functions.columns import minutes_between, relabel
 
 Kpi = str | tuple[str, Column | None]
@@ -43,6 +45,32 @@ def distinct_kpis(df: DataFrame, kpis: Mapping[str, Kpi]) -> DataFrame:
     ])
 
 
+def nested_kpis(df: DataFrame, levels: Mapping[str, str], where: Mapping[str, Column] | None = None,
+                **measures: Column) -> DataFrame:
+    """Distinct counts of keys that contain each other, outermost first, without copying rows.
+
+    Every key belongs to one key of the level before (a student to one class, a class to one
+    teacher), so a key is one row once the rows are grouped by the levels down to it: the
+    innermost grouping shrinks the rows on the map side, the others see its result. ``levels``
+    maps result names to columns; ``where`` says by level which keys count (non-null ones by
+    default); ``measures`` are aggregates over the rows, summed up.
+    """
+    names = list(levels)
+    columns = [levels[n] for n in names]
+    counted = {n: F.coalesce((where or {}).get(n, F.col(levels[n]).isNotNull()), F.lit(False)) for n in names}
+    rows = df.groupBy(*columns).agg(*[m.alias(f"_{n}") for n, m in measures.items()], F.lit(1).alias("_one"))
+    sums = {f"_{n}": F.sum(f"_{n}") for n in measures}
+    below: list[str] = []
+    for i in range(len(names) - 1, 0, -1):
+        own = F.count_if(counted[names[i]]).alias(f"_{names[i]}")
+        rows = rows.groupBy(*columns[:i]).agg(own, *[F.sum(b).alias(b) for b in below], *[s.alias(n) for n, s in sums.items()])
+        below.append(f"_{names[i]}")
+    total = [F.count_if(counted[names[0]]).alias(names[0])]
+    total += [F.coalesce(F.sum(f"_{n}"), F.lit(0)).alias(n) for n in names[1:]]
+    total += [F.sum(f"_{n}").alias(n) for n in measures]
+    return rows.agg(*total)
+
+
 def groups_with_more_than(df: DataFrame, keys: Sequence[str], col: str, n: int) -> DataFrame:
     """The keys whose group holds more than ``n`` non-null values of ``col``."""
     return df.groupBy(*keys).agg(F.count(col).alias("n_values")).filter(F.col("n_values") > n).select(*keys)
@@ -119,12 +147,15 @@ def series_for(df: DataFrame, col: str, value: object) -> DataFrame:
     return df.filter(F.col(col) == F.lit(value))
 
 
-def mean_per(df: DataFrame, key: str, col: str, digits: int = 2) -> DataFrame:
-    """Unweighted mean of ``col``, which has at most ``digits`` decimals, per non-null ``key``.
+def mean_per(df: DataFrame, key: str, col: str) -> DataFrame:
+    """Unweighted mean of ``col`` per non-null ``key``.
 
-    Added as decimals, so the mean does not depend on the order of the rows.
+    Added as decimals, so the mean does not depend on the order of the rows: decimals and whole
+    numbers at their own scale, doubles at 15 decimals, which leaves 13 digits for a whole sum.
     """
-    exact = F.sum(F.col(col).cast(f"decimal(18,{digits})")).cast("double")
+    kind = df.schema[col].dataType
+    number = F.col(col).cast("decimal(28,15)") if isinstance(kind, (DoubleType, FloatType)) else F.col(col)
+    exact = F.sum(number).cast("double")
     return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.try_divide(exact, F.count(col).cast("double")).alias(col))
 
 

@@ -26,19 +26,23 @@ class FilterSpec:
 
     ``categorical`` uses ``values`` (None in them stands for NULL), ``numeric`` and
     ``datetime`` use ``lo`` and ``hi``, ``text`` uses the regular expression ``pattern``.
+    A filter starts from everything: ``values=None``, no bound and no pattern keep all rows.
     """
 
     column: str
     kind: str
-    values: Collection[object] = ()
+    values: Collection[object] | None = None
     lo: object = None
     hi: object = None
     pattern: str = ""
     whole_day: bool = False
 
 
-def filter_in(df: DataFrame, column: str, values: Collection[object]) -> DataFrame:
-    """Keep the chosen values. NULL (None or NaN) can be chosen; choosing nothing keeps nothing."""
+def filter_in(df: DataFrame, column: str, values: Collection[object] | None) -> DataFrame:
+    """Keep the chosen values. NULL (None or NaN) can be chosen; an empty choice keeps nothing, and
+    None, no choice made yet, keeps everything."""
+    if values is None:
+        return df
     present = [v for v in values if v is not None and v == v]
     chosen = F.col(column).isin(present) if present else F.lit(False)
     if len(present) < len(values):
@@ -47,8 +51,10 @@ def filter_in(df: DataFrame, column: str, values: Collection[object]) -> DataFra
 
 
 def filter_range(df: DataFrame, column: str, lo: object, hi: object) -> DataFrame:
-    """Keep ``lo <= column <= hi``."""
-    return df.filter(F.col(column).between(F.lit(lo), F.lit(hi)))
+    """Keep ``lo <= column <= hi``; a bound that is None does not count."""
+    if lo is not None:
+        df = df.filter(F.col(column) >= F.lit(lo))
+    return df if hi is None else df.filter(F.col(column) <= F.lit(hi))
 
 
 def _midnight(day: date | datetime | str) -> datetime:
@@ -136,13 +142,15 @@ def profile_columns(
     returned plan reads the other columns only, and collects their values: the sketch
     bounds them to a few. ``exact_counts`` costs a shuffle of every column's values.
     """
-    if not 0 < max_values <= 200:
-        raise ValueError("max_values must be between 1 and 200")
+    if max_values < 1:
+        raise ValueError("max_values must be at least 1")
     names = list(columns or df.columns)
-    # At most max_values - 1 values fill at most that many of the sketch's 512 registers,
-    # which it reads as less than twice as many. So a larger estimate is proof of more.
+    # The sketch has at least 2.56 registers per value asked about. At most max_values - 1 values
+    # fill at most that many of them, which it reads as less than twice as many. So a larger
+    # estimate is proof of more.
+    error = min(0.05, 1.106 / (2.56 * max_values) ** 0.5)
     sketch = df.agg(*[measure.alias(f"{c}|{name}") for c in names for name, measure in (
-        ("estimate", F.approx_count_distinct(c, 0.05)),
+        ("estimate", F.approx_count_distinct(c, error)),
         ("min", F.min(c).cast("string")),
         ("max", F.max(c).cast("string")),
         ("has_null", F.bool_or(F.col(c).isNull())),

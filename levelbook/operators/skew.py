@@ -14,25 +14,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from levelbook.sources.session import require_checkpoint_dir
-
-# A group of up to this many rows, or a key of up to this many joined pairs, is ordinary
-# work for one task.
-HOT_ROWS = 2_000_000
+# A key of up to this many joined pairs is ordinary work for one task.
 HOT_PAIRS = 50_000_000
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> DataFrame:
-    """The keys that hold at least ``min_rows`` rows, with ``n_rows``.
-
-    Reads only the key columns and combines on the map side. The result has at most
-    ``rows / min_rows`` keys however the data is spread, which is why it may be broadcast:
-    a trillion rows give at most half a million keys, a few megabytes.
-    """
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-    return counted.filter(F.col("n_rows") >= min_rows)
-
-
 def _renamed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
     """``df`` with its keys renamed, and the NULL-safe condition that joins them to their like."""
     other = df.withColumnsRenamed({key: f"_other_{key}" for key in keys})
@@ -96,56 +81,25 @@ def fan_out_join(
 
 
 def row_numbered(
-    df: DataFrame,
-    partition: Sequence[str],
-    order: Sequence[str],
-    name: str = "rn",
-    group_rows: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, partition: Sequence[str], order: Sequence[str], chunk: Column, name: str = "rn"
 ) -> DataFrame:
-    """``df`` with rows numbered 1, 2, .. inside each ``partition`` by ``order``, ascending.
+    """``df`` with rows numbered 1, 2, .. inside each ``partition`` by ``order``, ascending, NULL first.
 
-    Groups under ``hot_rows`` rows use an ordinary window. A larger group is cut by range
-    into ordered chunks, numbered inside each chunk, and shifted by the sizes of the chunks
-    before. Whether such groups exist is asked of ``group_rows`` (a frame with at least as
-    many rows per group; ``df`` by default) with one aggregate over its key columns.
-
-    The chunks of a row must not change between the two reads of them, also when executors
-    are lost, so hot rows are checkpointed: first with a row id, so that equal rows can be
-    told apart and spread, then with their chunk.
+    ``chunk`` is a coarser form of the order, such as the month of its first key: of two rows of
+    a group, the one with the smaller chunk (NULL first) comes first. Rows are numbered inside
+    their chunk and shifted by the sizes of the group's chunks before, which are counted on the
+    map side. So a hot group is as many pieces of work as it has chunks, and the plan is one and
+    the same at any size. Groups with a NULL among ``partition`` are numbered like others.
     """
-    counted = df if group_rows is None else group_rows
-    hot = hot_keys(counted.select(*partition), partition, hot_rows).drop("n_rows")
-    window = Window.partitionBy(*partition).orderBy(*order)
-    rank = F.row_number().over(window).cast("long")
-    if hot.isEmpty():
-        return df.withColumn(name, rank)
-
-    hot, is_hot = _renamed(hot, partition)
-    hot = F.broadcast(hot)
-    cool = df.join(hot, is_hot, "left_anti").withColumn(name, rank)
-
-    require_checkpoint_dir(df.sparkSession)
-    identified = (
-        df.join(hot, is_hot, "left_semi")
-        .withColumn("_row", F.monotonically_increasing_id())
-        .checkpoint()
-    )
-    chunks = (
-        identified.repartitionByRange(*partition, *order, "_row")
-        .withColumn("_chunk", F.spark_partition_id())
-        .checkpoint()
-    )
-    chunk_keys = [*partition, "_chunk"]
+    keys = [*partition, "_chunk"]
+    chunked = df.withColumn("_chunk", chunk)
     earlier = Window.partitionBy(*partition).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        chunks.groupBy(*chunk_keys)
+        chunked.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*chunk_keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    )
-    in_chunk = F.row_number().over(Window.partitionBy(*chunk_keys).orderBy(*order))
-    offsets, same_chunk = _renamed(offsets, chunk_keys)
-    shifted = chunks.withColumn("_in_chunk", in_chunk).join(offsets, same_chunk).select(
-        *df.columns, (F.col("_before") + F.col("_in_chunk")).alias(name)
+        .select(*keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     )
-    return cool.unionByName(shifted)
+    offsets, same_chunk = _renamed(offsets, keys)
+    in_chunk = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    numbered = chunked.withColumn("_in_chunk", in_chunk).join(offsets, same_chunk)
+    return numbered.select(*df.columns, (F.col("_before") + F.col("_in_chunk")).alias(name))

@@ -101,14 +101,22 @@ def improvement_kpis(rows: DataFrame, at_least: float = 50) -> DataFrame:
     ``soma_alunos`` counts a class once per month row. ``total_professores_50`` counts
     teachers with a row of ``at_least`` percent.
     """
-    return rows.agg(
-        F.count_distinct("id_professor").alias("total_professores"),
-        F.count_distinct("id_turma").alias("total_turmas"),
-        F.coalesce(F.sum("total_alunos"), F.lit(0)).alias("soma_alunos"),
-        F.coalesce(F.sum("alunos_com_melhoria"), F.lit(0)).alias("alunos_evid"),
-        F.count_distinct(
-            F.when(F.col("porcentagem_melhoria") >= at_least, F.col("id_professor"))
-        ).alias("total_professores_50"),
+    # A class has one teacher: one row per class, then one per teacher, then one.
+    per_class = rows.groupBy("id_professor", "id_turma").agg(
+        F.sum("total_alunos").alias("soma"),
+        F.sum("alunos_com_melhoria").alias("evid"),
+        F.coalesce(F.bool_or(F.col("porcentagem_melhoria") >= at_least), F.lit(False)).alias("enough"),
+    )
+    per_teacher = per_class.groupBy("id_professor").agg(
+        F.count("id_turma").alias("turmas"), F.sum("soma").alias("soma"), F.sum("evid").alias("evid"),
+        F.bool_or("enough").alias("enough"),
+    )
+    return per_teacher.agg(
+        F.count("id_professor").alias("total_professores"),
+        F.coalesce(F.sum("turmas"), F.lit(0)).alias("total_turmas"),
+        F.coalesce(F.sum("soma"), F.lit(0)).alias("soma_alunos"),
+        F.coalesce(F.sum("evid"), F.lit(0)).alias("alunos_evid"),
+        F.count_if(F.col("enough") & F.col("id_professor").isNotNull()).alias("total_professores_50"),
     )
 
 

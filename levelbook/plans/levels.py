@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from levelbook.operators.counts import groups_with_more_than
-from levelbook.operators.skew import HOT_ROWS, row_numbered
+from levelbook.operators.skew import row_numbered
 from levelbook.plans.roster import classes_with_school
 from levelbook.sources import TableSet
 
@@ -96,11 +96,11 @@ def classes_multi_assessment_n(tables: TableSet) -> DataFrame:
     )
 
 
-def hypothesis_history(tables: TableSet, ordered: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
+def hypothesis_history(tables: TableSet, ordered: bool = False) -> DataFrame:
     """Every level a student got, numbered by assessment date (then assessment, then level).
 
     Numbered before the student, class and school are joined: those keep or drop a student
-    as a whole, so the numbers are the same, and the join reuses the window's partitioning.
+    as a whole, so the numbers are the same. A student's months are numbered apart.
     """
     assessment = tables.table("diagnostic_assessment").select(
         F.col("id").alias("diagnostic_assessment_id"), F.col("created_at").alias("assessed_at")
@@ -115,8 +115,7 @@ def hypothesis_history(tables: TableSet, ordered: bool = False, hot_rows: int =
         levels,
         ["student_id"],
         ["assessed_at", "diagnostic_assessment_id", "hypothesis_id"],
-        group_rows=tables.table("diagnostic_assessment_students"),
-        hot_rows=hot_rows,
+        chunk=F.date_trunc("month", "assessed_at"),
     )
     student = tables.table("student").select(
         F.col("id").alias("student_id"), F.col("name").alias("nome_aluno"), F.col("class_id").alias("id_turma")

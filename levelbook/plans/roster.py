@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from levelbook.functions.columns import share
-from levelbook.functions.vocabulary import HAS_CLASS, NO_CLASS, ONBOARDING_DONE, ONBOARDING_OPEN, UNKNOWN_STATE
+from levelbook.functions.vocabulary import ALL_STATES, HAS_CLASS, NO_CLASS, ONBOARDING_DONE, ONBOARDING_OPEN, UNKNOWN_STATE
 from levelbook.operators.accounts import exclude_accounts
-from levelbook.operators.counts import distinct_kpis, distinct_per, first_appearance_rank, per_day, spread_minutes
+from levelbook.operators.counts import distinct_kpis, distinct_per, first_appearance_rank, nested_kpis, per_day, spread_minutes
 from levelbook.operators.skew import HOT_PAIRS, fan_out_join
 from levelbook.plans.logins import Accounts
 from levelbook.sources import TableSet
@@ -131,8 +131,10 @@ def students_by_class(tables: TableSet, ordered: bool = False, pairs_per_task: i
         F.col("month").alias("mes_avaliacao"),
         F.col("created_at").alias("data_criacao_avaliacao"),
     )
-    in_school = classes_with_school(tables).select(
-        "id_turma", "nome_turma", "ano_turma", "cod_inep", "nome_escola", "cidade_escola", "estado_escola"
+    # The report groups by its school columns, so a school that is stored twice still gives one row.
+    in_school = (
+        classes(tables).join(schools(tables).distinct(), F.col("cod_inep") == F.col("_inep"))
+        .select("id_turma", "nome_turma", "ano_turma", "cod_inep", "nome_escola", "cidade_escola", "estado_escola")
     )
     rows = fan_out_join(
         assessments.join(in_school, "id_turma"),
@@ -164,7 +166,12 @@ def assessed_students(tables: TableSet) -> DataFrame:
         .agg(F.max(named).alias("hipotese"))
     )
     assessed = _assessments(tables).select(F.col("class_id").alias("id_turma")).distinct()
-    in_school = classes_with_school(tables).select("id_turma", "cod_inep").join(assessed, "id_turma", "left_semi")
+    known = tables.table("school").select(F.col("cod_inep").alias("_inep"))
+    in_school = (
+        classes(tables).select("id_turma", "cod_inep")
+        .join(known, F.col("cod_inep") == F.col("_inep"), "left_semi")
+        .join(assessed, "id_turma", "left_semi")
+    )
     student = tables.table("student").select(F.col("id").alias("id_aluno"), F.col("class_id").alias("id_turma"))
     return levels.join(student.join(in_school, "id_turma"), F.col("student_id") == F.col("id_aluno")).select(
         "id_aluno", "id_turma", "cod_inep", "hipotese"
@@ -176,9 +183,8 @@ def student_class_kpis(rows: DataFrame) -> DataFrame:
 
     :func:`assessed_students` gives the same figures from far fewer rows.
     """
-    return distinct_kpis(
-        rows, {"total_alunos": "id_aluno", "total_turmas": "id_turma", "total_escolas": "cod_inep"}
-    )
+    kpis = nested_kpis(rows, {"total_escolas": "cod_inep", "total_turmas": "id_turma", "total_alunos": "id_aluno"})
+    return kpis.select("total_alunos", "total_turmas", "total_escolas")
 
 
 def first_hypothesis_counts(tables: TableSet) -> DataFrame:
@@ -197,22 +203,16 @@ def first_hypothesis_counts(tables: TableSet) -> DataFrame:
 
 # Figures on the rows of teacher_class_student.
 
+_TEACHING = {"total_professores": "id_professor", "total_turmas": "id_turma", "total_alunos": "id_aluno"}
+
+
 def teacher_kpis(rows: DataFrame) -> DataFrame:
     """Distinct teachers, classes and students; the id 0 stands for a filled NULL."""
-    def real(col: str) -> tuple:
-        return col, F.col(col) != 0
-
-    return distinct_kpis(rows, {
-        "total_professores": real("id_professor"),
-        "total_turmas": real("id_turma"),
-        "total_alunos": real("id_aluno"),
-    })
+    return nested_kpis(rows, _TEACHING, {name: F.col(column) != 0 for name, column in _TEACHING.items()})
 
 
 def class_kpis(rows: DataFrame) -> DataFrame:
-    return distinct_kpis(
-        rows, {"total_professores": "id_professor", "total_turmas": "id_turma", "total_alunos": "id_aluno"}
-    )
+    return nested_kpis(rows, _TEACHING)
 
 
 def teachers_per_day(rows: DataFrame, name: str = "total_professores") -> DataFrame:
@@ -228,6 +228,14 @@ def state_order(rows: DataFrame) -> DataFrame:
     return first_appearance_rank(rows, "estado_escola", ROSTER_KEYS).filter(F.col("estado_escola").isNotNull())
 
 
+def state_choices(rows: DataFrame) -> DataFrame:
+    """What a choice of states offers: the all-token, then the states by first appearance, then the
+    missing one as NULL if there is one."""
+    ranked = first_appearance_rank(rows, "estado_escola", ROSTER_KEYS).withColumn("ordem", F.col("ordem") + 1)
+    every = rows.sparkSession.range(1).select(F.lit(ALL_STATES).alias("estado_escola"), F.lit(0).alias("ordem"))
+    return every.unionByName(ranked)
+
+
 def _state_rank(all_rows: DataFrame | None) -> DataFrame | tuple[str, ...]:
     return ROSTER_KEYS if all_rows is None else first_appearance_rank(all_rows, "estado_escola", ROSTER_KEYS)
 

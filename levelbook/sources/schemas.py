@@ -1,8 +1,9 @@
 """Schemas of the twelve input tables.
 
 ``KEYS`` is a contract with the data, as the primary keys of an operational database
-are: at most one row per key. The plans use it to join a table by its key without
-grouping the (much larger) join result again.
+are: at most one row per key. The plans use it to count ids without a shuffle, and to join a
+table by its key without grouping the (much larger) join result again.
+:func:`levelbook.sources.keys.check_keys` counts violations.
 """
 
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType, TimestampNTZType

@@ -1,9 +1,7 @@
-"""Session settings the plans rely on, and the shared folder for checkpoints."""
+"""Session settings the plans rely on."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Runtime SQL settings. The last one lets adaptive execution split a hot join partition
@@ -21,18 +19,3 @@ def tuned(spark: SparkSession) -> SparkSession:
     for name, value in SETTINGS.items():
         spark.conf.set(name, value)
     return spark
-
-
-def require_checkpoint_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session.
-
-    A cluster names a shared one in ``spark.checkpoint.dir``. Only a local master, where
-    driver and executors share one disk, may fall back to a temporary folder.
-    """
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if context.getCheckpointDir() is None:
-        if named is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="levelbook-checkpoint-"))
-    return context.getCheckpointDir()

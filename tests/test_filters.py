@@ -37,11 +37,17 @@ def ids(df):
 
 @pytest.mark.parametrize("values,expected", [
     (["SP"], [1, 2]), (["SP", None], [1, 2, 4]), ([None], [4]), ([float("nan"), "AC"], [3, 4]), ([], []), (["AC", "SP"], [1, 2, 3]), (["ZZ"], []),
+    (None, [1, 2, 3, 4]),
 ])
 def test_chosen_values(people, values, expected):
     assert ids(apply_filters(people, [FilterSpec("uf", CATEGORICAL, values=values)])) == expected
 
 
+@pytest.mark.parametrize("lo,hi,expected", [(1, None, [1, 2, 3, 4]), (None, 1, [0, 1]), (None, None, [0, 1, 2, 3, 4]), (2, 3, [2, 3])])
+def test_open_ranges(spark, lo, hi, expected):
+    assert ids(apply_filters(spark.range(5), [FilterSpec("id", NUMERIC, lo=lo, hi=hi)])) == expected
+
+
 @pytest.mark.parametrize("states,expected", [
     (["Todos"], [1, 2, 3, 4]), (["AC", "Todos"], [1, 2, 3, 4]), ([], []), (["AC"], [3]), ([None], [4]),
 ])
@@ -125,6 +131,7 @@ def test_profile_kinds_and_bounds(spark):
 def test_the_limit_is_exact(spark, n):
     df = spark.range(3000).select((F.col("id") % n).alias("c"))
     assert profile(df)["c"].kind == (CATEGORICAL if n < 10 else NUMERIC)
+    assert profile(df, max_values=1000)["c"].kind == CATEGORICAL
     assert profile(df, max_values=60)["c"].kind == (CATEGORICAL if n < 60 else NUMERIC)
 
 

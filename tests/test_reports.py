@@ -309,6 +309,30 @@ def test_class_sums_count_once_per_month_row(spark):
     assert tuple(improvement.overall_improvement_rate(rows.limit(0)).first()) == (0, 0, 0.0)
 
 
+@pytest.mark.parametrize("kind, values, mean", [
+    ("double", [0.004, 0.004], 0.004), ("double", [0.1] * 10, 0.1), ("decimal(9,4)", ["0.0004", "0.0006"], 0.0005),
+    ("long", [10**17, 10**17 + 2], 1e17 + 1), ("double", [None, 2.5], 2.5),
+])
+def test_means_keep_all_digits(spark, kind, values, mean):
+    from levelbook.operators.counts import mean_per
+
+    rows = spark.createDataFrame([("a", None if v is None else str(v)) for v in values], "k string, v string")
+    found = mean_per(rows.withColumn("v", F.col("v").cast(kind)), "k", "v").first()
+    assert found["v"] == mean
+
+
+def test_a_school_stored_twice_gives_one_row(make_tables):
+    t = make_tables(
+        teacher=[dict(id=1, auth_id="a")], **{"class": [dict(id=2, teacher_id=1, cod_inep=3)]},
+        student=[dict(id=4, class_id=2)], school=[dict(cod_inep=3, uf="SP"), dict(cod_inep=3, uf="SP")],
+        diagnostic_assessment=[dict(id=5, teacher_id=1, class_id=2)],
+        diagnostic_assessment_type_hypothesis=[dict(id=6, name="n", ordering=1)],
+        diagnostic_assessment_students=[dict(student_id=4, diagnostic_assessment_id=5, hypothesis_id=6)],
+    )
+    assert roster.students_by_class(t).count() == 1
+    assert roster.assessed_students(t).count() == 1
+
+
 def test_top_states_break_ties_by_name(spark):
     by_state = spark.createDataFrame([(s, 10.0) for s in "FEDCBA"] + [("Z", 99.0)], "estado_escola string, porcentagem_melhoria double")
     assert [r[0] for r in improvement.top_states(by_state).collect()] == ["Z", "A", "B", "C", "D"]

@@ -6,7 +6,7 @@ from conftest import TESTDATA
 from levelbook.checks.sample import EXCLUDED, sample_tables
 from levelbook.operators.filters import FilterSpec, apply_filters
 from levelbook.plans import improvement, logins, roster
-from levelbook.sources import KEYS, SCHEMAS, JdbcSplit, TableSet
+from levelbook.sources import KEYS, SCHEMAS, JdbcSplit, TableSet, check_keys
 from levelbook.sources.tables import broadcast_if_small
 
 
@@ -83,15 +83,35 @@ def test_results_go_to_files(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "kpis")).count() == 1
 
 
+def test_big_jdbc_tables_need_a_split(spark):
+    tables = TableSet.from_jdbc(spark, {"url": "jdbc:none"}, {"student": JdbcSplit("id", 0, 9, 3)})
+    with pytest.raises(ValueError, match="diagnostic_assessment_students needs a split"):
+        tables.table("diagnostic_assessment_students")
+    assert JdbcSplit.whole().options() == {}
+
+
+def test_opening_a_set_applies_the_settings(spark, conf, tmp_path):
+    conf(spark__sql__adaptive__forceOptimizeSkewedJoin="false")
+    TableSet.from_parquet(spark, str(tmp_path))
+    assert spark.conf.get("spark.sql.adaptive.forceOptimizeSkewedJoin") == "true"
+
+
+def test_key_violations(make_tables):
+    tables = make_tables(school=[dict(cod_inep=1), dict(cod_inep=1), dict(cod_inep=None)], student=[dict(id=1)])
+    found = {r["table"]: (r["repeated_keys"], r["rows_without_key"]) for r in check_keys(tables).collect()}
+    assert set(found) == set(KEYS) and found["school"] == (1, 1) and found["student"] == (0, 0)
+
+
 def test_jdbc_split_options():
     assert JdbcSplit("id", 0, 100, 8).options() == {
         "partitionColumn": "id", "lowerBound": "0", "upperBound": "100", "numPartitions": "8",
     }
 
 
-@pytest.mark.parametrize("max_rows,hinted", [(3, True), (4, True), (2, False)])
-def test_lookups_are_broadcast_only_if_counted_small(spark, conf, max_rows, hinted):
+@pytest.mark.parametrize("label,hinted", [("a", True), ("a" * 200, False)])
+def test_lookups_are_broadcast_only_if_their_bytes_are_few(spark, conf, label, hinted):
     conf(spark__sql__autoBroadcastJoinThreshold="-1")
-    lookup = broadcast_if_small(spark.range(3), max_rows).selectExpr("CAST(id AS int) AS id")
+    rows = spark.range(3).selectExpr("CAST(id AS int) AS id", f"'{label}' AS label")
+    lookup = broadcast_if_small(rows, 400)
     plan = spark.range(9).join(lookup, "id")._jdf.queryExecution().executedPlan().toString()
     assert ("BroadcastHashJoin" in plan) == hinted
