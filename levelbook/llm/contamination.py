@@ -197,3 +197,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
         F.array_sort(F.col("hits.item_id")).alias("item_ids"),
         F.array_min("hits.distance").cast("long").alias("least_distance"),
     )
+
+
+def keep_clean(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_id_col: str = "item_id",
+    item_text_col: str = "text",
+    rate: float = ERROR_RATE,
+    shard_bytes: int = SHARD_BYTES,
+) -> DataFrame:
+    """The rows of ``docs`` that hold no test item, with all their columns; one pass per shard."""
+    context = docs.sparkSession.sparkContext
+    for items in _shards(benchmark, item_id_col, item_text_col, shard_bytes):
+        sent = context.broadcast(items)
+
+        def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(sent.value, rate)
+            for batch in batches:
+                for part in sub_batches(batch, text_col):
+                    texts = part.column(text_col).cast(pa.string()).to_pylist()
+                    yield part.filter(pa.array([not text or next(matcher.matches(text), None) is None for text in texts], pa.bool_()))
+
+        docs = docs.mapInArrow(work, docs.schema)
+    return docs

@@ -1,4 +1,4 @@
-"""Small Spark helpers of the text operators: Arrow batches, shared tables, checked broadcasts."""
+"""Small Spark helpers of the text operators: Arrow batches, shared tables, joins of few rows."""
 
 from __future__ import annotations
 
@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-# Above this many bytes a table is joined by shuffle, below it is sent to every executor.
-BROADCAST_BYTES = 32 << 20
+# Keys are told apart by this many buckets before a join of few rows with many: the buckets that
+# occur, at most so many numbers, are all that is sent to every executor.
+KEY_BUCKETS = 1 << 20
 # Texts are handled in batches of about this many bytes; a longer text is a batch of its own.
 BATCH_BYTES = 1 << 20
 
@@ -45,24 +46,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bytes_of(df: DataFrame) -> int:
-    """Bytes of all values of ``df``: a few per value, the lengths of texts and binaries, and
-    what lists hold (of numbers, or structs of numbers)."""
-    long = [
-        F.coalesce(F.sum(F.octet_length(c) if kind in ("string", "binary") else 8 * (1 + kind.count(",")) * F.size(c)), F.lit(0))
-        for c, kind in df.dtypes
-        if kind in ("string", "binary") or kind.startswith("array")
-    ]
-    row = df.agg(F.count(F.lit(1)).alias("rows"), *[c.alias(f"b{i}") for i, c in enumerate(long)]).first()
-    return row[0] * (16 + 8 * len(df.columns)) + sum(row[1:])
-
-
-def small(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """A written table with a broadcast hint if it is at most ``limit`` bytes, else unchanged,
-    so that Spark joins it by shuffle. Checked by one aggregate on every call."""
-    return F.broadcast(df) if bytes_of(df) <= (BROADCAST_BYTES if limit is None else limit) else df
-
-
 def equal_keys(left: Sequence[str], right: Sequence[str]) -> Column:
     """NULL-safe equality of two lists of columns."""
     condition = F.lit(True)
@@ -72,6 +55,34 @@ def equal_keys(left: Sequence[str], right: Sequence[str]) -> Column:
     return condition
 
 
+def join_few(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str], how: str) -> DataFrame:
+    """A NULL-safe join of a large ``left`` whose rows mostly have no partner in ``right``.
+
+    Keys are hashed into :data:`KEY_BUCKETS` buckets. Rows of ``left`` in a bucket that ``right``
+    does not use have no partner and are not shuffled; only the others are joined. The broadcast
+    buckets are bounded whatever the sizes; with very many keys in ``right`` the join becomes the
+    plain one. ``how`` is inner, left, left_semi or left_anti; ``right`` should be a written table,
+    its key columns named differently from all columns of ``left``, and they are dropped.
+    """
+    name = "_bucket"
+    while name in left.columns or name in right.columns:
+        name += "_"
+
+    def bucket(keys: Sequence[str]) -> Column:
+        return F.pmod(F.xxhash64(*keys), F.lit(KEY_BUCKETS)).cast("int").alias(name)
+
+    used = F.broadcast(right.select(bucket(right_keys)).distinct())
+    marked = left.withColumn(name, bucket(left_keys))
+    near = marked.join(used, name, "left_semi").drop(name)
+    joined = near.join(right, equal_keys(left_keys, right_keys), how)
+    if how in ("inner", "left"):
+        joined = joined.drop(*right_keys)
+    if how in ("inner", "left_semi"):
+        return joined
+    far = marked.join(used, name, "left_anti").drop(name)
+    return far.unionByName(joined, allowMissingColumns=True)
+
+
 def documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc_id``, ``text`` (NULL becomes empty) and ``text_key``, whatever else ``docs`` holds.
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from levelbook.llm.components import components
-from levelbook.llm.frames import documents, map_arrow, small, sub_batches, texts_of, written
+from levelbook.llm.frames import documents, join_few, map_arrow, sub_batches, texts_of, written
 from levelbook.llm.scan import RangeHash, mix, split_words
 
 SHINGLE = 5
@@ -50,6 +50,10 @@ FREQUENT_MOST = 1 << 18
 # Shared elements are searched on this many leading bits of their hashes.
 SHORT_BITS = 44
 BUCKET_BITS = 10
+# A bit table over this many leading bits, 8 MB, tells most of the elements that no other set has.
+TABLE_BITS = 26
+# Elements travel to their comparison by so many bytes of their hashes.
+ELEMENT_BYTES = 6
 
 
 def shingle_sets(texts: list[bytes], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -136,6 +140,36 @@ def _elements_of(
     return (*_first_elements(hashes, bounds, frequent, numerator, denominator), np.diff(bounds))
 
 
+def _bit_table(shared: DataFrame) -> np.ndarray:
+    """A bit per value of the leading bits of short hashes, joined from pages that tasks combine."""
+    page_bits = 16
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        pages: dict[int, np.ndarray] = {}
+        for batch in batches:
+            lead = np.unique(batch.column("short").to_numpy(zero_copy_only=False) >> (SHORT_BITS - TABLE_BITS))
+            for page in np.unique(lead >> page_bits).tolist():
+                own = pages.setdefault(page, np.zeros(1 << page_bits, dtype=bool))
+                own[lead[lead >> page_bits == page] & ((1 << page_bits) - 1)] = True
+        for page, own in pages.items():
+            yield {"page": [page], "marks": [np.packbits(own, bitorder="little").tobytes()]}
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        pages: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for page, marks in zip(batch.column("page").to_pylist(), batch.column("marks").to_pylist(), strict=True):
+                own = np.frombuffer(marks, dtype=np.uint8)
+                pages[page] = pages[page] | own if page in pages else own
+        for page, own in pages.items():
+            yield {"page": [page], "marks": [own.tobytes()]}
+
+    parts = map_arrow(shared, mark, "page int, marks binary").repartition("page")
+    table = np.zeros((1 << (TABLE_BITS - page_bits), 1 << (page_bits - 3)), dtype=np.uint8)
+    for row in map_arrow(parts, unite, "page int, marks binary").collect():
+        table[row["page"]] = np.frombuffer(row["marks"], dtype=np.uint8)
+    return table.ravel()
+
+
 class _Join:
     """The steps of one join over prepared documents."""
 
@@ -159,8 +193,13 @@ class _Join:
             .select("n", "k1", "k2", F.col("r.doc_id").alias("rep"), F.col("r.text_key").alias("text_key")),
             "jaccard-classes",
         )
-        chosen = self.classes.select(F.col("rep").alias("doc_id"), "text_key")
-        self.representatives = self.docs.join(small(chosen), ["doc_id", "text_key"], "left_semi")
+        copies = written(
+            self.sets.join(self.classes.select("n", "k1", "k2", "rep", F.col("text_key").alias("rep_key")), ["n", "k1", "k2"])
+            .filter("doc_id <> rep OR text_key <> rep_key")
+            .select(F.col("doc_id").alias("copy_id"), F.col("text_key").alias("copy_key")).distinct(),
+            "jaccard-copies",
+        )
+        self.representatives = join_few(self.docs, copies, ["doc_id", "text_key"], ["copy_id", "copy_key"], "left_anti")
 
     def shared(self) -> DataFrame:
         """Short hashes of first elements that two or more sets have. Each batch sends its distinct
@@ -210,13 +249,23 @@ class _Join:
         return written(map_arrow(dealt, count, "short long"), "jaccard-shared")
 
     def entries(self) -> DataFrame:
-        """(element, rep, n): first elements of sets that at least one other set has too."""
-        frequent, rule = self.frequent, (self.width, self.numerator, self.denominator)
+        """(element, rep, n): first elements of sets that at least one other set has too.
+
+        A bit table of fixed size, by the leading bits, keeps most other elements from being
+        sent to the join that decides.
+        """
+        shared = self.shared()
+        rule, frequent = (self.width, self.numerator, self.denominator), self.frequent
+        bits = self.spark.sparkContext.broadcast(_bit_table(shared))
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+            table = bits.value
             for batch in batches:
                 for part in sub_batches(batch):
                     hashes, owner, sizes = _elements_of(texts_of(part.column("text")), frequent.value, *rule)
+                    lead = hashes >> np.uint64(64 - TABLE_BITS)
+                    likely = table[lead >> np.uint64(3)] >> (lead & np.uint64(7)).astype(np.uint8) & 1 > 0
+                    hashes, owner = hashes[likely], owner[likely]
                     yield {
                         "element": hashes.view(np.int64),
                         "short": (hashes >> np.uint64(64 - SHORT_BITS)).astype(np.int64),
@@ -225,7 +274,7 @@ class _Join:
                     }
 
         every = map_arrow(self.representatives, work, f"element long, short long, rep {self.kind}, n int")
-        return written(every.join(small(self.shared()), "short", "left_semi").drop("short"), "jaccard-entries")
+        return written(every.join(shared, "short", "left_semi").drop("short").distinct(), "jaccard-entries")
 
     def keys(self) -> DataFrame:
         """(key, light, rep, n): subset keys of light sets and list keys of heavy ones."""
@@ -257,7 +306,7 @@ class _Join:
         """The rows of ``pairs`` (a, b) whose sets are similar enough."""
         pairs = written(pairs, "jaccard-pairs")
         needed = written(
-            pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(),
+            pairs.select(F.col("a").alias("needed")).unionByName(pairs.select(F.col("b").alias("needed"))).distinct(),
             "jaccard-needed",
         )
         width, numerator, denominator = self.width, self.numerator, self.denominator
@@ -266,21 +315,20 @@ class _Join:
             for batch in batches:
                 for part in sub_batches(batch):
                     hashes, bounds = shingle_sets(texts_of(part.column("text")), width)
-                    edges = (bounds * 8).tolist()
-                    raw = hashes.astype("<u8").tobytes()
+                    raw = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - ELEMENT_BYTES:].tobytes()
+                    edges = (bounds * ELEMENT_BYTES).tolist()
                     yield {"rep": part.column("doc_id"), "elements": [raw[x:y] for x, y in zip(edges, edges[1:], strict=False)]}
 
-        chosen = self.representatives.join(small(needed), "doc_id", "left_semi")
-        sets = written(map_arrow(chosen, read, f"rep {self.kind}, elements binary"), "jaccard-elements")
-        left = sets.withColumnsRenamed({"rep": "a", "elements": "x"}).join(small(pairs), "a")
-        both = left.join(sets.withColumnsRenamed({"rep": "b", "elements": "y"}), "b")
+        chosen = join_few(self.representatives, needed, ["doc_id"], ["needed"], "left_semi")
+        sets = written(map_arrow(chosen, read, f"rep {self.kind}, elements binary").dropDuplicates(["rep"]), "jaccard-elements")
+        left = join_few(sets.withColumnsRenamed({"elements": "x"}), pairs.withColumnRenamed("a", "pair_a"), ["rep"], ["pair_a"], "inner")
+        both = left.withColumnRenamed("rep", "a").join(sets.withColumnsRenamed({"rep": "b", "elements": "y"}), "b")
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             for batch in batches:
                 keep = []
-                for i in range(batch.num_rows):
-                    x = np.frombuffer(batch.column("x")[i].as_buffer(), dtype="<u8")
-                    y = np.frombuffer(batch.column("y")[i].as_buffer(), dtype="<u8")
+                for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                    x, y = _numbers(x), _numbers(y)
                     together = np.concatenate([x, y])
                     together.sort(kind="stable")
                     common = int((together[1:] == together[:-1]).sum())
@@ -342,6 +390,13 @@ def _packed(steps: np.ndarray) -> bytes:
     return bytes([width]) + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
+def _numbers(raw: bytes) -> np.ndarray:
+    parts = np.frombuffer(raw, dtype=np.uint8).reshape(-1, ELEMENT_BYTES)
+    out = np.zeros((len(parts), 8), dtype=np.uint8)
+    out[:, 8 - ELEMENT_BYTES:] = parts
+    return out.view("<u8").ravel()
+
+
 def _unpacked(packed: bytes) -> np.ndarray:
     width = packed[0]
     raw = np.frombuffer(packed, dtype=np.uint8, offset=1).reshape(-1, width)
@@ -377,3 +432,21 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id")
     )
     return rows.unionByName(nameless)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` without those that a smaller id stands for, with all their columns.
+
+    Of rows with equal id and text one stays. Rows with a NULL id and empty documents stay.
+    """
+    found = written(components_of(docs, id_col, text_col, **options).filter(F.col("doc_id").isNotNull()), "jaccard-found")
+    dropped = written(found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_dropped")).distinct(), "jaccard-dropped")
+    again = written(
+        found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_again")),
+        "jaccard-again",
+    )
+    kept = join_few(docs, dropped, [id_col], ["_dropped"], "left_anti")
+    if again.isEmpty():
+        return kept
+    once = join_few(kept, again, [id_col], ["_again"], "left_semi").dropDuplicates([id_col, text_col])
+    return join_few(kept, again, [id_col], ["_again"], "left_anti").unionByName(once)

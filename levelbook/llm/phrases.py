@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from levelbook.llm.frames import documents, map_arrow, small, sub_batches, texts_of, written
+from levelbook.llm.frames import documents, join_few, map_arrow, sub_batches, texts_of, written
 from levelbook.llm.scan import RangeHash, anchored_runs, merged, spans_of, split_words
 
 WINDOW = 50
@@ -75,7 +75,9 @@ def _passages(docs: DataFrame, window: int, gram: int) -> DataFrame:
 def _texts(docs: DataFrame, firsts: DataFrame, window: int) -> DataFrame:
     """The words of passages, joined by spaces, read from the first document of each."""
     wanted = written(
-        firsts.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "passage", "start", "n")).alias("wanted")),
+        firsts.groupBy(F.col("doc_id").alias("first_id"), F.col("text_key").alias("first_key")).agg(
+            F.collect_list(F.struct("anchor", "passage", "start", "n")).alias("wanted")
+        ),
         "phrase-places",
     )
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -97,10 +99,10 @@ def _texts(docs: DataFrame, firsts: DataFrame, window: int) -> DataFrame:
                 yield out
 
     return map_arrow(
-        docs.join(small(wanted), ["doc_id", "text_key"]),
+        join_few(docs, wanted, ["doc_id", "text_key"], ["first_id", "first_key"], "inner"),
         work,
         f"anchor long, passage long, doc_id {kind}, n int, words binary",
-    ).dropDuplicates(["anchor", "passage"])
+    )
 
 
 class _Shard:
@@ -203,7 +205,7 @@ def repeated_spans(
         passages.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("anchor"),
         "phrase-anchors",
     )
-    kept = written(passages.join(small(recurring), "anchor", "left_semi"), "phrase-recurring")
+    kept = written(passages.join(recurring, "anchor", "left_semi"), "phrase-recurring")
     firsts = written(
         kept.groupBy("anchor", "passage", "n")
         .agg(F.min(F.struct("doc_id", "text_key", "start")).alias("at"))
@@ -217,7 +219,8 @@ def repeated_spans(
     hot = several.filter(F.col("passages") > most_passages)
     if not hot.isEmpty():
         found = found.unionByName(_search_by_window(_texts(named, hot, window), window))
-    held = written(found, "phrase-held")
+    # Rows repeated under one id bring a passage twice.
+    held = written(found.dropDuplicates(["anchor", "passage"]), "phrase-held")
 
     # Later occurrences go as a whole; of the first document what an earlier one holds goes.
     places = kept.join(firsts.select("anchor", "passage", F.col("doc_id").alias("first")), ["anchor", "passage"])
@@ -242,7 +245,8 @@ def remove_repeats(
     """One row per document row: ``doc_id``, ``n_words``, ``n_removed``, ``kept`` (the words that
     stay, joined by one space), ``kept_sha256``, ``spans`` (removed words, as begins and ends)."""
     chosen = documents(docs, id_col, text_col)
-    spans = written(repeated_spans(chosen, window, **options), "phrase-spans")
+    found = repeated_spans(chosen, window, **options)
+    spans = written(found.withColumnsRenamed({"doc_id": "cut_id", "text_key": "cut_key"}), "phrase-spans")
     kind = chosen.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -263,7 +267,7 @@ def remove_repeats(
                 yield {"doc_id": part.column("doc_id"), **out}
 
     return map_arrow(
-        chosen.join(small(spans), ["doc_id", "text_key"], "left"),
+        join_few(chosen, spans, ["doc_id", "text_key"], ["cut_id", "cut_key"], "left"),
         work,
         f"doc_id {kind}, n_words long, n_removed long, kept string, kept_sha256 string, spans array<int>",
     )

@@ -16,8 +16,10 @@ A byte is removed if it lies in a string of ``length`` bytes that starts anywher
    suffix has such a neighbour stands twice.
 
 Anchors with more than ``MOST_PASSAGES`` different passages (a frequent short string in ever
-other surroundings) would make one task's shard unbounded. Their windows are dealt out and
-counted by their own hashes instead, combined on the map side.
+other surroundings) would make one task's shard unbounded. Their passages are cut into blocks of
+windows, by the place of the anchor in the window, and dealt out by the longer string that all
+windows of a block share; where that is not enough, by smaller blocks, down to single windows,
+which are equal under their key and only need to be counted.
 
 Defined cases: a NULL or empty text has no bytes; texts shorter than ``length`` keep all;
 repeated rows are documents like others, so rows equal to each other lose what is long enough;
@@ -28,13 +30,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from levelbook.llm.frames import documents, equal_keys, map_arrow, small, sub_batches, texts_of, written
+from levelbook.llm.frames import documents, join_few, map_arrow, sub_batches, texts_of, written
 from levelbook.llm.scan import RangeHash, anchored_runs, merged, spans_of
 
 LENGTH = 400
@@ -43,6 +46,8 @@ GRAM = 32
 SEED = 28
 MOST_PASSAGES = 1024
 SHARD_BYTES = 1 << 19
+# Windows in a block of a passage with a frequent anchor, level by level; the last is one window.
+BLOCKS = (64, 8, 1)
 
 
 def _ranks_at(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,11 +184,10 @@ def _passages(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return map_arrow(docs, work, f"anchor long, passage long, doc_id {kind}, text_key long, start long, n int")
 
 
-def _join_documents(docs: DataFrame, rows: DataFrame, how: str = "inner") -> DataFrame:
-    """Rows keyed by (doc_id, text_key) to their documents; NULL ids are equal to each other."""
+def _join_documents(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """Documents with the rows keyed by their (doc_id, text_key)."""
     other = rows.withColumnsRenamed({"doc_id": "_doc_id", "text_key": "_text_key"})
-    on = equal_keys(["doc_id", "text_key"], ["_doc_id", "_text_key"])
-    return docs.join(small(other), on, how).drop("_doc_id", "_text_key")
+    return join_few(docs, other, ["doc_id", "text_key"], ["_doc_id", "_text_key"], how)
 
 
 def _texts(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
@@ -205,7 +209,7 @@ def _texts(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
                 yield {name: [row[i] for row in rows] for i, name in enumerate(names)}
 
     return map_arrow(
-        _join_documents(docs, wanted),
+        _join_documents(docs, wanted, "inner"),
         work,
         f"anchor long, copies long, doc_id {kind}, text_key long, start long, bytes binary",
     )
@@ -261,39 +265,54 @@ def _search(texts: DataFrame, length: int) -> DataFrame:
     return map_arrow(dealt, work, f"doc_id {kind}, text_key long, spans array<long>")
 
 
-def _search_by_window(texts: DataFrame, length: int) -> DataFrame:
-    """The same for frequent anchors: windows are counted by two hashes of 64 bits."""
+def _key(text: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+
+
+def _in_blocks(texts: DataFrame, length: int, gram: int, block: int) -> DataFrame:
+    """The passages cut into blocks, under the key of what the windows of their block share.
+
+    A block holds the windows in which the anchor stands at one of ``block`` neighbouring places.
+    """
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        names = ("anchor", "copies", "doc_id", "text_key", "start", "bytes")
         for batch in batches:
             for part in sub_batches(batch, "bytes"):
-                pieces = texts_of(part.column("bytes"))
-                sizes = np.array([len(x) for x in pieces], dtype=np.int64)
-                buffer = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-                first = np.concatenate([[0], np.cumsum(sizes)])
-                at = np.flatnonzero(np.arange(len(buffer)) + length <= np.repeat(first[1:], sizes))
-                row = np.searchsorted(first, at, side="right") - 1
-                rows = pa.array(row)
-                starts = part.column("start").to_numpy(zero_copy_only=False)
-                yield {
-                    "copies": part.column("copies").take(rows),
-                    "doc_id": part.column("doc_id").take(rows),
-                    "text_key": part.column("text_key").take(rows),
-                    "start": starts[row] + at - first[row],
-                    "h1": RangeHash(buffer).of(at, at + length).view(np.int64),
-                    "h2": RangeHash(buffer ^ np.uint8(0xA5)).of(at, at + length).view(np.int64),
-                }
+                rows = []
+                for anchor, copies, doc_id, key, start, text in zip(*[part.column(c).to_pylist() for c in names], strict=True):
+                    n = len(text) - length + 1
+                    at = int(np.argmin(RangeHash(np.frombuffer(text[:length], dtype=np.uint8)).windows(gram)))
+                    for far in range((at - n + 1) // block, at // block + 1):
+                        low, high = at - far * block - block + 1, at - far * block
+                        shared = text[high:low + length]
+                        a, b = max(0, low), min(n - 1, high)
+                        rows.append((_key(b"%d %d " % (anchor, far) + shared), copies, doc_id, key, start + a, text[a:b + length]))
+                yield {name: [row[i] for row in rows] for i, name in enumerate(names)}
 
-    windows = written(
-        map_arrow(texts, work, f"copies long, doc_id {kind}, text_key long, start long, h1 long, h2 long"), "suffix-windows"
-    )
-    repeated = windows.groupBy("h1", "h2").agg(F.sum("copies").alias("n")).filter("n > 1").select("h1", "h2")
-    return (
-        windows.filter("copies = 1")
-        .join(repeated, ["h1", "h2"], "left_semi")
-        .select("doc_id", "text_key", F.array("start", F.col("start") + length).alias("spans"))
-    )
+    return map_arrow(texts, work, f"anchor long, copies long, doc_id {kind}, text_key long, start long, bytes binary")
+
+
+def _search_frequent(texts: DataFrame, length: int, gram: int, most_passages: int) -> DataFrame:
+    """The same for passages of frequent anchors, level by level."""
+    found = []
+    for block in BLOCKS:
+        pieces = written(_in_blocks(texts, length, gram, block), "suffix-blocks")
+        if block == 1:
+            repeated = pieces.groupBy("anchor").agg(F.sum("copies").alias("n")).filter("n > 1").select("anchor")
+            found.append(
+                pieces.filter("copies = 1").join(repeated, "anchor", "left_semi")
+                .select("doc_id", "text_key", F.array("start", F.col("start") + length).alias("spans"))
+            )
+            break
+        counts = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("passages")).filter("passages > 1")
+        several = pieces.join(counts, "anchor")
+        found.append(_search(several.filter(F.col("passages") <= most_passages).drop("passages"), length))
+        texts = several.filter(F.col("passages") > most_passages).drop("passages")
+        if texts.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found)
 
 
 def repeated_spans(
@@ -305,7 +324,7 @@ def repeated_spans(
     recurring = written(
         passages.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "suffix-anchors"
     )
-    kept = written(passages.join(small(recurring), "anchor", "left_semi"), "suffix-recurring")
+    kept = written(passages.join(recurring, "anchor", "left_semi"), "suffix-recurring")
     different = written(
         kept.groupBy("anchor", "passage", "n")
         .agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "text_key", "start")).alias("first"))
@@ -319,7 +338,7 @@ def repeated_spans(
     found = _search(_texts(docs, several.filter(F.col("passages") <= most_passages), length), length)
     hot = several.filter(F.col("passages") > most_passages)
     if not hot.isEmpty():
-        found = found.unionByName(_search_by_window(_texts(docs, hot, length), length))
+        found = found.unionByName(_search_frequent(_texts(docs, hot, length), length, gram, most_passages))
     partly = written(found, "suffix-found")
     copied = different.filter("copies > 1").select("anchor", "passage")
     wholly = kept.join(copied, ["anchor", "passage"], "left_semi").select(
@@ -373,17 +392,20 @@ def cut_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     """``docs`` with repeated strings cut out of their texts and all other columns kept. A
     character of which some bytes were cut goes as a whole; a NULL text stays NULL."""
     spans = written(repeated_spans(documents(docs, id_col, text_col), length), "suffix-spans")
-    other = spans.withColumnsRenamed({"doc_id": "_doc_id", "text_key": "_text_key", "spans": "_spans"})
-    key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    same = F.col(id_col).eqNullSafe(F.col("_doc_id")) & key.eqNullSafe(F.col("_text_key"))
-    joined = docs.join(small(other), same, "left").drop("_doc_id", "_text_key")
+    own = "_cut"
+    while any(c.startswith(own) for c in docs.columns):
+        own += "_"
+    other = spans.select(*[F.col(c).alias(f"{own}_{c}") for c in ("doc_id", "text_key", "spans")])
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = docs.withColumn(f"{own}_key", F.xxhash64(text))
+    joined = join_few(keyed, other, [id_col, f"{own}_key"], [f"{own}_doc_id", f"{own}_text_key"], "left").drop(f"{own}_key")
     columns = docs.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sub_batches(batch, text_col):
                 raw = part.column(text_col)
-                runs = part.column("_spans").to_pylist()
+                runs = part.column(f"{own}_spans").to_pylist()
                 texts = [
                     None if text is None else _cut(text, _pairs(spans)).decode(errors="ignore")
                     for text, spans in zip(raw.cast(pa.binary()).to_pylist(), runs, strict=True)
