@@ -39,7 +39,7 @@ from levelbook.llm.frames import map_arrow, sub_batches, texts_of, written
 from levelbook.llm.scan import RangeHash, mix
 
 #: Slots of each predictor, as a power of two. All predictors take 8 bytes a slot.
-SLOT_BITS = 20
+SLOT_BITS = 19
 PAGE_BITS = 13
 CONTEXTS = 6
 BLOCK_BYTES = 16 << 20
