@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 # occur, at most so many numbers, are all that is sent to every executor.
 KEY_BUCKETS = 1 << 20
 # Texts are handled in batches of about this many bytes; a longer text is a batch of its own.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:

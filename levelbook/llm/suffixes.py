@@ -44,8 +44,8 @@ LENGTH = 400
 GRAM = 32
 # Strings of this many characters are the first intervals; shorter common prefixes do not matter.
 SEED = 28
-MOST_PASSAGES = 1024
-SHARD_BYTES = 1 << 19
+MOST_PASSAGES = 256
+SHARD_BYTES = 1 << 18
 # Windows in a block of a passage with a frequent anchor, level by level; the last is one window.
 BLOCKS = (64, 8, 1)
 
@@ -68,9 +68,10 @@ def sorted_suffixes(symbols: np.ndarray, seed: int, depth: int) -> tuple[np.ndar
     n = len(symbols)
     padded = np.zeros(n + 7, dtype=np.int64)
     padded[:n] = symbols + 1
-    keys = np.zeros(n, dtype=np.int64)
-    for i in range(7):
-        keys = keys * 514 + padded[i:i + n] if i else padded[:n].copy()
+    keys = padded[:n].copy()
+    for i in range(1, 7):
+        keys *= 514
+        keys += padded[i:i + n]
     order, new = _ranks_at(keys)
     seeds = new
     if seed < 7:
@@ -286,7 +287,7 @@ def _in_blocks(texts: DataFrame, length: int, gram: int, block: int) -> DataFram
                     at = int(np.argmin(RangeHash(np.frombuffer(text[:length], dtype=np.uint8)).windows(gram)))
                     for far in range((at - n + 1) // block, at // block + 1):
                         low, high = at - far * block - block + 1, at - far * block
-                        shared = text[high:low + length]
+                        shared = text[high:max(high, low + length)]
                         a, b = max(0, low), min(n - 1, high)
                         rows.append((_key(b"%d %d " % (anchor, far) + shared), copies, doc_id, key, start + a, text[a:b + length]))
                 yield {name: [row[i] for row in rows] for i, name in enumerate(names)}
