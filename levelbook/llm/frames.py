@@ -61,12 +61,14 @@ def join_few(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_
     Keys are hashed into :data:`KEY_BUCKETS` buckets. Rows of ``left`` in a bucket that ``right``
     does not use have no partner and are not shuffled; only the others are joined. The broadcast
     buckets are bounded whatever the sizes; with very many keys in ``right`` the join becomes the
-    plain one. ``how`` is inner, left, left_semi or left_anti; ``right`` should be a written table,
-    its key columns named differently from all columns of ``left``, and they are dropped.
+    plain one. ``how`` is inner, left, left_semi or left_anti; ``right`` should be a written table;
+    its keys are dropped, and its other columns have names of their own.
     """
     name = "_bucket"
-    while name in left.columns or name in right.columns:
+    while any(c.startswith(name) for c in [*left.columns, *right.columns]):
         name += "_"
+    right = right.withColumnsRenamed({key: f"{name}{i}" for i, key in enumerate(right_keys)})
+    right_keys = [f"{name}{i}" for i in range(len(right_keys))]
 
     def bucket(keys: Sequence[str]) -> Column:
         return F.pmod(F.xxhash64(*keys), F.lit(KEY_BUCKETS)).cast("int").alias(name)
