@@ -3,7 +3,7 @@
 Two documents link when their sets of shingles have a Jaccard similarity of at least
 ``numerator / denominator``. Documents with equal sets are one class from the start.
 
-Elements are ordered: frequent ones last, otherwise by hash. A set of size ``s`` shares at least
+Elements are ordered: those seen often last, by the logarithm of how often, otherwise by hash. A set of size ``s`` shares at least
 ``c = ceil(t * s)`` elements with any partner, so partners share one of its first ``s - c + 1``
 elements, and two of its first ``s - c + 2``.
 
@@ -16,7 +16,8 @@ The boundary is the one with the least cost, the sum of subset keys and of list
 computed from the sizes and list lengths of all sets. Elements that only one set has among its
 first are dropped before, from counts that each task combines first.
 
-Candidates are verified on whole sets. For components, not all pairs of a list are needed:
+Candidates are first compared by histograms of their hashes, whose common part is never smaller
+than the overlap of the sets, and then verified on whole sets. For components, not all pairs of a list are needed:
 first every member meets the least member of its lists; what links joins, and only lists that
 then still hold several components are paired, across components. :func:`links` pairs all.
 
@@ -43,15 +44,17 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
 # The boundary between light and heavy sets is at most this size.
 LIGHT_MOST = 64
-# An element of at least this share of a batch's documents (and 3 of them) counts as frequent there,
-# and at most this many are ordered last. The order decides about cost, never about results.
-FREQUENT_SHARE = 0.002
-FREQUENT_MOST = 1 << 18
+# Each batch reports the elements that several of its documents have. Those seen this often in all,
+# at most so many of them (9 MB), are ordered last. The order decides about cost, never about results.
+FREQUENT_LEAST = 6
+FREQUENT_MOST = 1 << 20
 # Shared elements are searched on this many leading bits of their hashes.
 SHORT_BITS = 44
 BUCKET_BITS = 10
 # A bit table over this many leading bits, 8 MB, tells most of the elements that no other set has.
 TABLE_BITS = 26
+# Buckets of the histograms.
+SKETCH = 256
 # Elements travel to their comparison by so many bytes of their hashes.
 ELEMENT_BYTES = 6
 
@@ -84,11 +87,10 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            seen, rows = [], 0
+            seen = []
             for part in sub_batches(batch):
                 hashes, bounds = shingle_sets(texts_of(part.column("text")), width)
                 seen.append(hashes)
-                rows += part.num_rows
                 none = [None] * part.num_rows
                 yield {
                     "doc_id": part.column("doc_id"),
@@ -100,7 +102,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                     "seen": none,
                 }
             values, counts = np.unique(np.concatenate(seen), return_counts=True)
-            often = counts >= max(3, FREQUENT_SHARE * rows)
+            often = counts > 1
             values, counts = values[often], counts[often]
             none = [None] * len(values)
             yield {
@@ -117,15 +119,16 @@ def least_overlap(sizes: np.ndarray, numerator: int, denominator: int) -> np.nda
 
 
 def _first_elements(
-    hashes: np.ndarray, bounds: np.ndarray, frequent: np.ndarray, numerator: int, denominator: int
+    hashes: np.ndarray, bounds: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], numerator: int, denominator: int
 ) -> tuple[np.ndarray, np.ndarray]:
     """Per set its first elements (one more for sets that can be light), and the sets they are of."""
     sizes = np.diff(bounds)
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    if len(frequent):
-        late = frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] == hashes
-        order = np.lexsort((hashes, late, owner))
-        hashes = hashes[order]
+    elements, levels = frequent
+    if len(elements):
+        at = np.minimum(np.searchsorted(elements, hashes), len(elements) - 1)
+        late = np.where(elements[at] == hashes, levels[at], 0)
+        hashes = hashes[np.lexsort((hashes, late, owner))]
     length = sizes - least_overlap(sizes, numerator, denominator) + 1 + (sizes <= LIGHT_MOST)
     rank = np.arange(len(hashes)) - np.repeat(bounds[:-1], sizes)
     chosen = rank < np.repeat(length, sizes)
@@ -133,7 +136,7 @@ def _first_elements(
 
 
 def _elements_of(
-    texts: list[bytes], frequent: np.ndarray, width: int, numerator: int, denominator: int
+    texts: list[bytes], frequent: tuple[np.ndarray, np.ndarray], width: int, numerator: int, denominator: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First elements of the sets of texts, their owners, and the sizes of the sets."""
     hashes, bounds = shingle_sets(texts, width)
@@ -178,14 +181,18 @@ class _Join:
         self.width, self.numerator, self.denominator = width, numerator, denominator
         self.kind = docs.schema["doc_id"].dataType.simpleString()
         self.spark = docs.sparkSession
+        self._sketches: DataFrame | None = None
         found = written(_sets(self.docs, width), "jaccard-sets")
         self.sets = found.filter(F.col("n").isNotNull()).drop("element", "seen")
-        rows = (
+        often = (
             found.filter(F.col("element").isNotNull())
-            .groupBy("element").agg(F.sum("seen").alias("seen"))
-            .orderBy(F.desc("seen"), "element").limit(FREQUENT_MOST).select("element").collect()
+            .groupBy("element").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= FREQUENT_LEAST)
+            .orderBy(F.desc("seen"), "element").limit(FREQUENT_MOST).toArrow()
         )
-        self.frequent = self.spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64)))
+        elements = often.column("element").to_numpy().view(np.uint64)
+        levels = np.log2(np.maximum(often.column("seen").to_numpy(), 1)).astype(np.uint8)
+        order = np.argsort(elements)
+        self.frequent = self.spark.sparkContext.broadcast((elements[order], levels[order]))
         # One document stands for all with an equal set.
         self.classes = written(
             self.sets.filter("n > 0").groupBy("n", "k1", "k2")
@@ -296,15 +303,58 @@ class _Join:
             F.slice("e", i + 2, F.greatest(F.size("e") - i - 1, F.lit(0))), lambda y: F.xxhash64(x, y)
         )))
         subsets = light.select(F.explode(pairs).alias("key"), F.lit(True).alias("light"), "rep", "n")
-        return written(heavy.unionByName(subsets), "jaccard-keys")
+        self._keys = written(heavy.unionByName(subsets), "jaccard-keys")
+        return self._keys
 
     def _near(self, n: str, m: str):
         """Whether sizes allow the similarity."""
         return F.least(n, m) * self.denominator >= F.greatest(n, m) * self.numerator
 
+    def _sketched(self, pairs: DataFrame) -> DataFrame:
+        """The rows of ``pairs`` (a, b) that their histograms do not rule out."""
+        numerator, denominator = self.numerator, self.denominator
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+            for batch in batches:
+                x, y = (
+                    np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u2").reshape(-1, SKETCH).astype(np.int64)
+                    for c in ("x", "y")
+                )
+                common = np.minimum(x, y).sum(axis=1)
+                total = x.sum(axis=1) + y.sum(axis=1)
+                # A full bucket says nothing about how many more elements there are.
+                full = (x == 65535).any(axis=1) | (y == 65535).any(axis=1)
+                keep = pa.array(full | (denominator * common >= numerator * (total - common)), type=pa.bool_())
+                yield {"a": batch.column("a").filter(keep), "b": batch.column("b").filter(keep)}
+
+        left = pairs.join(self.sketches().withColumnsRenamed({"rep": "a", "sketch": "x"}), "a")
+        both = left.join(self.sketches().withColumnsRenamed({"rep": "b", "sketch": "y"}), "b")
+        return map_arrow(both.select("a", "b", "x", "y"), compare, f"a {self.kind}, b {self.kind}")
+
+    def sketches(self) -> DataFrame:
+        """(rep, sketch) of the sets that have keys: how many elements fall into each bucket."""
+        if self._sketches is None:
+            width = self.width
+            wanted = written(self._keys.select(F.col("rep").alias("keyed")).distinct(), "jaccard-keyed")
+
+            def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+                for batch in batches:
+                    for part in sub_batches(batch):
+                        hashes, bounds = shingle_sets(texts_of(part.column("text")), width)
+                        owner = np.repeat(np.arange(part.num_rows), np.diff(bounds))
+                        bucket = (hashes & np.uint64(SKETCH - 1)).astype(np.int64)
+                        counts = np.bincount(owner * SKETCH + bucket, minlength=part.num_rows * SKETCH)
+                        rows = np.minimum(counts, 65535).astype("<u2").reshape(-1, SKETCH)
+                        yield {"rep": part.column("doc_id"), "sketch": [row.tobytes() for row in rows]}
+
+            chosen = join_few(self.representatives, wanted, ["doc_id"], ["keyed"], "left_semi")
+            made = map_arrow(chosen, sketch, f"rep {self.kind}, sketch binary").dropDuplicates(["rep"])
+            self._sketches = written(made, "jaccard-sketches")
+        return self._sketches
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The rows of ``pairs`` (a, b) whose sets are similar enough."""
-        pairs = written(pairs, "jaccard-pairs")
+        pairs = written(self._sketched(pairs), "jaccard-pairs")
         needed = written(
             pairs.select(F.col("a").alias("needed")).unionByName(pairs.select(F.col("b").alias("needed"))).distinct(),
             "jaccard-needed",

@@ -57,6 +57,7 @@ POWER = 100.0
 #: Counts are told apart by their logarithm in this many levels.
 LEVELS = 10
 GATES = LEVELS * 8, LEVELS * LEVELS
+GATING = [5, 2, 4]  # the contexts whose levels choose weights
 _LEVEL_OF = np.frexp(np.arange((1 << (LEVELS - 2)) + 1))[1].astype(np.int64)
 # Steps of the mixed log odds in the refinement, from -12 to 12.
 STEPS = 25
@@ -117,13 +118,19 @@ def _level(counts: np.ndarray) -> np.ndarray:
 
 
 def _gates(levels: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
-    """The weights' rows in both sets, from the count levels of all contexts."""
-    return levels[5] * 8 + bit, levels[2] * LEVELS + levels[4]
+    """The weights' rows in both sets, from the count levels of the gating contexts."""
+    return levels[0] * 8 + bit, levels[1] * LEVELS + levels[2]
 
 
 def _mixed(odds: np.ndarray, gates: tuple[np.ndarray, np.ndarray], weights: list[np.ndarray]) -> list[np.ndarray]:
     """The log odds that each set of weights gives."""
-    return [np.clip(np.einsum("nk,kn->n", w[g], odds), -12.0, 12.0) for g, w in zip(gates, weights, strict=True)]
+    out = []
+    for gate, own in zip(gates, weights, strict=True):
+        total = own[:, 0][gate] * odds[0]
+        for k in range(1, CONTEXTS):
+            total += own[:, k][gate] * odds[k]
+        out.append(np.clip(total, -12.0, 12.0))
+    return out
 
 
 def _step(mixed: np.ndarray) -> np.ndarray:
@@ -140,11 +147,11 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 
 def _less_one(counts: np.ndarray, slots: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log odds of the slots as if what is coded had come once less, and their count levels."""
-    pair = counts[slots].astype(np.float64)
-    zeros, ones = pair[..., 0], pair[..., 1]
-    ones = np.where(value, np.maximum(ones - 1, 0), ones)
-    zeros = np.where(value, zeros, np.maximum(zeros - 1, 0))
-    return np.log((ones + PRIOR) / (zeros + PRIOR)), _level(zeros + ones)
+    pair = counts[slots].astype(np.float32)
+    own = value.astype(np.float32)
+    ones = np.maximum(pair[..., 1] - own, 0)
+    zeros = np.maximum(pair[..., 0] - (1 - own), 0)
+    return np.log((ones + np.float32(PRIOR)) / (zeros + np.float32(PRIOR))), _level((zeros + ones)[GATING])
 
 
 def first_weights() -> list[np.ndarray]:
@@ -211,7 +218,7 @@ class Scorer:
         for group, _, place in _groups(words, np.ones(len(words))):
             bits = np.zeros(len(group.symbols))
             for bit, value, slots, _ in group.bits(self.slot_bits):
-                gates = _gates(self.level[slots].astype(np.int64), bit)
+                gates = _gates(self.level[slots[GATING]].astype(np.int64), bit)
                 mixed = sum(_mixed(self.odds[slots], gates, self.weights)) / 2
                 p = 0.5 * _logistic(mixed) + 0.5 * self.refined[_cell(group.last, bit, mixed)]
                 p = np.clip(p, 1e-7, 1 - 1e-7)
