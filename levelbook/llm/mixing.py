@@ -1,9 +1,9 @@
-"""Scoring of texts by logistic mixing of hashed-context bit predictors.
+"""Scoring of texts by logistic mixing of bit predictors that know contexts.
 
 Texts are sequences of words, lower-cased in A-Z, closed by an end. A word is coded byte by
 byte, bit by bit, with a space after its last byte; the end is a byte that no word holds. Six
 predictors, one per context (the last 1, 2, 3, 4 and 6 bytes of the word and its whole
-beginning), hold counts of zeros and ones in hashed slots. Their log odds are mixed with weights
+beginning), hold counts of zeros and ones per context and bit. Their log odds are mixed with weights
 chosen by gates, and the mixed probability is refined by a table of what came true after it, per last byte and bit. All together give the
 probability of the text, hence its bits per byte. The gates say how much is known: one set of
 weights is chosen by how often the word's beginning was seen, another by the middle contexts;
@@ -12,10 +12,13 @@ each learns from its own error, and their log odds are averaged.
 How it scales. Documents are read in blocks; a block gives its distinct words once, and each
 document as numbers of the block's words. Words are then counted over all blocks. Everything
 that learns works on distinct words with their counts, in parallel, so the work grows with the
-corpus and nothing of it passes through one place but tables of fixed size: the slots (their
-number is a parameter) are summed over tasks page by page; every task learns the weights online
-over its words, each predicted as if it had been seen once less, and the weights are averaged;
-the refinement is counted the same way. Scores of words go back to the blocks that hold them.
+corpus and nothing of it passes through one place but weights and refinement, which have a
+fixed size. Contexts are told apart by 64-bit hashes and counted in a table of (context, next byte)
+that grows with the corpus. Words are dealt out in chunks of about equal bytes; a chunk asks for
+each of its contexts once, and the counts are joined to it, so no task holds more than the contexts
+of one chunk. Every task learns the weights online over its chunks, each word predicted as if it
+had been seen once less, and the weights are averaged; the refinement is counted the same way.
+Scores of words go back to the blocks that hold them.
 
 Defined cases: a NULL or empty text is an end alone; documents whose id's CRC-32 as text is a
 multiple of 10 are held out (a NULL id counts as empty text, so it is held out); repeated rows
@@ -38,10 +41,10 @@ from pyspark.sql import functions as F
 from levelbook.llm.frames import map_arrow, sub_batches, texts_of, written
 from levelbook.llm.scan import RangeHash, mix
 
-#: Slots of each predictor, as a power of two. All predictors take 8 bytes a slot.
 SLOT_BITS = 19
-PAGE_BITS = 13
 CONTEXTS = 6
+# Words are dealt out in chunks of about this many bytes.
+CHUNK_BYTES = 1 << 19
 BLOCK_BYTES = 16 << 20
 # Words are coded in groups of about this many bytes.
 GROUP_BYTES = 1 << 17
@@ -87,20 +90,64 @@ class Symbols:
         self.last = np.where(inside > 0, self.symbols[np.maximum(at - 1, 0)], np.uint64(0)).astype(np.int64)
         self.word = np.repeat(np.arange(len(words)), self.sizes)
 
-    def bits(self, slot_bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """Per bit, the highest first: its number, its value, the slots (one row per context,
-        each in its own range) and the node, the bits before it."""
+    def bits(self, where: int | Nodes) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per bit, the highest first: its number, its value, the rows of the counts (one row per
+        context) and the node, the bits before it. The counts are those of :class:`Nodes`, or a
+        small table in memory with a power of two of hashed slots per context."""
+        slots = None
         for b in range(8):
             node = (np.uint64(1) << np.uint64(b)) | (self.symbols >> np.uint64(8 - b))
             value = ((self.symbols >> np.uint64(7 - b)) & np.uint64(1)).astype(bool)
+            if isinstance(where, Nodes):
+                slots = where.roots(self.contexts) if slots is None else where.child[slots * 2 + before]
+                before = value
+                yield b, value, slots, node
+                continue
             step = node * np.uint64(0xD6E8FEB86659FD93)
             slots = np.stack([
-                (mix(c + step) >> np.uint64(64 - slot_bits)).astype(np.int64) + (k << slot_bits)
+                (mix(c + step) >> np.uint64(64 - where)).astype(np.int64) + (k << where)
                 for k, c in enumerate(self.contexts)
             ])
             yield b, value, slots, node
 
 
+class Nodes:
+    """Counts of contexts as binary trees over the bits of the next byte: ``counts`` (zeros and
+    ones) and ``child`` per node; node 0 is what was never seen.
+
+    ``contexts``, ``symbols`` and ``seen`` are sorted by context and next byte, each pair once.
+    """
+
+    def __init__(self, contexts: np.ndarray, symbols: np.ndarray, seen: np.ndarray):
+        new = np.ones(len(contexts), dtype=bool)
+        new[1:] = contexts[1:] != contexts[:-1]
+        self.contexts = contexts[new]
+        path = (np.cumsum(new) - 1) << 8 | symbols.astype(np.int64)
+        counts, edges, base, last = [np.zeros((1, 2))], [], 1, None
+        for b in range(8):
+            prefix = path >> (8 - b)
+            new[1:] = prefix[1:] != prefix[:-1]
+            node = base - 1 + np.cumsum(new)
+            if last is not None:
+                edges.append((last[new], node[new]))
+            last = node * 2 + (path >> (7 - b) & 1)
+            size = int(new.sum())
+            counts.append(np.bincount(last - base * 2, weights=seen, minlength=size * 2).reshape(-1, 2))
+            base += size
+        self.counts = np.concatenate(counts)
+        self.child = np.zeros(base * 2, dtype=np.int64)
+        for place, node in edges:
+            self.child[place] = node
+
+    def roots(self, contexts: list[np.ndarray]) -> np.ndarray:
+        """The first nodes of some contexts."""
+        wanted = np.stack(contexts)
+        if not len(self.contexts):
+            return np.zeros(wanted.shape, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.contexts, wanted), len(self.contexts) - 1)
+        return np.where(self.contexts[at] == wanted, at + 1, 0)
+
+
 def _groups(words: list[bytes], weights: np.ndarray, size: int = GROUP_BYTES) -> Iterator[tuple[Symbols, np.ndarray, slice]]:
     start, total = 0, 0
     for i, word in enumerate(words):
@@ -158,6 +205,17 @@ def first_weights() -> list[np.ndarray]:
     return [np.full((n, CONTEXTS), 0.3) for n in GATES]
 
 
+def count_contexts(group: Symbols, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The contexts of ``group``, the bytes after them and how often, sorted, each pair once."""
+    contexts, symbols = np.concatenate(group.contexts), np.tile(group.symbols.astype(np.uint8), CONTEXTS)
+    order = np.lexsort((symbols, contexts))
+    contexts, symbols = contexts[order], symbols[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (contexts[1:] != contexts[:-1]) | (symbols[1:] != symbols[:-1])
+    first = np.flatnonzero(new)
+    return contexts[first], symbols[first], np.add.reduceat(np.tile(weight[group.word], CONTEXTS)[order], first)
+
+
 def count_slots(words: list[bytes], counts: np.ndarray, slot_bits: int, table: np.ndarray) -> None:
     """Add the bits of ``words``, each as often as it was seen, to ``table`` (slots by 2)."""
     flat = table.reshape(-1)
@@ -169,7 +227,7 @@ def count_slots(words: list[bytes], counts: np.ndarray, slot_bits: int, table: n
 
 
 def learn_weights(
-    words: list[bytes], counts: np.ndarray, slot_bits: int, table: np.ndarray, weights: list[np.ndarray]
+    words: list[bytes], counts: np.ndarray, where: int | Nodes, table: np.ndarray, weights: list[np.ndarray]
 ) -> float:
     """Online learning of the gated weights, in place, group by group. Returns the weight of
     what was learnt from."""
@@ -177,7 +235,7 @@ def learn_weights(
     for group, seen, _ in _groups(words, counts, LEARN_BYTES):
         importance = (seen ** IMPORTANCE)[group.word]
         total += float(importance.sum())
-        for bit, value, slots, _ in group.bits(slot_bits):
+        for bit, value, slots, _ in group.bits(where):
             odds, levels = _less_one(table, slots, value)
             gates = _gates(levels, bit)
             for gate, mixed, own in zip(gates, _mixed(odds, gates, weights), weights, strict=True):
@@ -189,12 +247,12 @@ def learn_weights(
 
 
 def count_refinement(
-    words: list[bytes], counts: np.ndarray, slot_bits: int, table: np.ndarray, weights: list[np.ndarray], cells: np.ndarray
+    words: list[bytes], counts: np.ndarray, where: int | Nodes, table: np.ndarray, weights: list[np.ndarray], cells: np.ndarray
 ) -> None:
     """Count what came true, per last byte, bit and step of the mixed log odds, into ``cells``."""
     for group, seen, _ in _groups(words, counts):
         weight = seen[group.word].astype(np.float64)
-        for bit, value, slots, _ in group.bits(slot_bits):
+        for bit, value, slots, _ in group.bits(where):
             odds, levels = _less_one(table, slots, value)
             mixed = sum(_mixed(odds, _gates(levels, bit), weights)) / 2
             cell = _cell(group.last, bit, mixed)
@@ -205,8 +263,8 @@ def count_refinement(
 class Scorer:
     """Log10 probabilities of words under learnt tables."""
 
-    def __init__(self, table: np.ndarray, weights: list[np.ndarray], cells: np.ndarray, slot_bits: int):
-        self.slot_bits, self.weights = slot_bits, weights
+    def __init__(self, table: np.ndarray, weights: list[np.ndarray], cells: np.ndarray, where: int | Nodes):
+        self.where, self.weights = where, weights
         pair = table.astype(np.float32)
         self.odds = np.log((pair[:, 1] + np.float32(PRIOR)) / (pair[:, 0] + np.float32(PRIOR)))
         self.level = _level(pair.sum(axis=1)).astype(np.int8)
@@ -217,7 +275,7 @@ class Scorer:
         out = np.zeros(len(words))
         for group, _, place in _groups(words, np.ones(len(words))):
             bits = np.zeros(len(group.symbols))
-            for bit, value, slots, _ in group.bits(self.slot_bits):
+            for bit, value, slots, _ in group.bits(self.where):
                 gates = _gates(self.level[slots[GATING]].astype(np.int64), bit)
                 mixed = sum(_mixed(self.odds[slots], gates, self.weights)) / 2
                 p = 0.5 * _logistic(mixed) + 0.5 * self.refined[_cell(group.last, bit, mixed)]
@@ -309,60 +367,87 @@ def _block_words(blocks: DataFrame) -> DataFrame:
     return map_arrow(chosen, work, "block long, number int, word binary, train long")
 
 
-def _training(words: DataFrame, work, schema: str) -> DataFrame:
-    return map_arrow(words.filter("c > 0").select("word", "c"), work, schema)
+def _context_counts(words: DataFrame) -> DataFrame:
+    """(context, symbol, seen): how often each byte follows each context in the training words."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            seen = batch.column("c").to_numpy(zero_copy_only=False).astype(np.int64)
+            for group, weight, _ in _groups(texts_of(batch.column("word")), seen):
+                contexts, symbols, times = count_contexts(group, weight)
+                yield {"context": contexts.view(np.int64), "symbol": symbols.astype(np.int16), "seen": times}
+
+    found = map_arrow(words.filter("c > 0").select("word", "c"), count, "context long, symbol short, seen long")
+    return written(found.groupBy("context", "symbol").agg(F.sum("seen").alias("seen")), "mixing-contexts")
+
+
+def _chunks(words: DataFrame, n_bytes: int, chunk_bytes: int) -> DataFrame:
+    """One row per chunk of words: the words, their counts in training documents, and what is
+    known of all their contexts."""
+    n_chunks = max(1, -(-n_bytes // chunk_bytes))
+    dealt = words.withColumn("chunk", F.pmod(F.xxhash64("word"), F.lit(n_chunks)).cast("int"))
+
+    def ask(found: pa.Table) -> pa.Table:
+        own = [np.unique(np.concatenate(group.contexts)) for group, _, _ in
+               _groups(texts_of(found.column("word")), np.zeros(found.num_rows))]
+        contexts = np.unique(np.concatenate(own)).view(np.int64)
+        chunk = np.full(len(contexts), found.column("chunk")[0].as_py(), dtype=np.int32)
+        return pa.table({"chunk": chunk, "context": contexts})
+
+    def pack(found: pa.Table, known: pa.Table) -> pa.Table:
+        # The same order whenever the task runs, but mixed, as weights are learnt along it.
+        found = found.sort_by("word").take(np.random.default_rng(0).permutation(found.num_rows))
+        contexts = known.column("context").to_numpy().view(np.uint64)
+        symbols = known.column("symbol").to_numpy()
+        order = np.lexsort((symbols, contexts))
+
+        def packed(values: np.ndarray, kind: str) -> list[bytes]:
+            return [zlib.compress(values.astype(kind).tobytes(), 1)]
+
+        return pa.table({
+            "words": pa.array([zlib.compress(b"\n".join(texts_of(found.column("word"))), 1)], pa.binary()),
+            "counts": pa.array(packed(found.column("c").to_numpy(), "<i8"), pa.binary()),
+            "contexts": pa.array(packed(contexts[order], "<u8"), pa.binary()),
+            "symbols": pa.array(packed(symbols[order], "u1"), pa.binary()),
+            "seen": pa.array(packed(known.column("seen").to_numpy()[order], "<i8"), pa.binary()),
+        })
+
+    asked = dealt.groupBy("chunk").applyInArrow(ask, "chunk int, context long")
+    known = asked.join(_context_counts(words), "context")
+    return written(
+        dealt.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(
+            pack, "words binary, counts binary, contexts binary, symbols binary, seen binary"
+        ),
+        "mixing-chunks",
+    )
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray, Nodes]]:
     for batch in batches:
-        yield texts_of(batch.column("word")), batch.column("c").to_numpy(zero_copy_only=False).astype(np.int64)
+        for i in range(batch.num_rows):
+            def part(name: str, kind: str) -> np.ndarray:
+                return np.frombuffer(zlib.decompress(batch.column(name)[i].as_py()), dtype=kind)
 
+            words = zlib.decompress(batch.column("words")[i].as_py()).split(b"\n")
+            yield words, part("counts", "<i8"), Nodes(part("contexts", "<u8"), part("symbols", "u1"), part("seen", "<i8"))
 
-def _slot_table(words: DataFrame, slot_bits: int) -> np.ndarray:
-    """The counts of all slots, summed over tasks page by page."""
-    n = CONTEXTS << slot_bits
-    page = 1 << min(PAGE_BITS, slot_bits)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        table, any_words = np.zeros((n, 2), dtype=np.int64), False
-        for found, seen in _lists(batches):
-            count_slots(found, seen, slot_bits, table)
-            any_words = any_words or bool(len(found))
-        pages = table.reshape(-1, page * 2)
-        for k in np.flatnonzero(pages.any(axis=1)) if any_words else ():
-            yield {"page": [int(k)], "counts": [zlib.compress(pages[k].astype("<i8").tobytes(), 1)]}
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, raw in zip(batch.column("page").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                counts = np.frombuffer(zlib.decompress(raw), dtype="<i8")
-                sums[k] = sums[k] + counts if k in sums else counts
-        for k, counts in sums.items():
-            # Log odds need no more than 32 bits: halve both counts of a slot that has more.
-            pair = counts.reshape(-1, 2)
-            shift = np.maximum(0, np.ceil(np.log2(np.maximum(pair.max(axis=1), 1) / 2**31))).astype(np.int64)
-            yield {"page": [k], "counts": [zlib.compress((pair >> shift[:, None]).astype("<u4").tobytes(), 1)]}
-
-    parts = _training(words, count, "page int, counts binary")
-    summed = written(map_arrow(parts.repartition("page"), add, "page int, counts binary"), "mixing-slots")
-    table = np.zeros((n // page, page * 2), dtype=np.uint32)
-    for row in summed.toLocalIterator():
-        table[row["page"]] = np.frombuffer(zlib.decompress(row["counts"]), dtype="<u4")
-    return table.reshape(n, 2)
-
-
-def _weight_table(words: DataFrame, slot_bits: int, table) -> list[np.ndarray]:
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray, Nodes]]:
+    """The words of training documents in each chunk."""
+    for words, counts, nodes in _opened(batches):
+        yield [w for w, c in zip(words, counts, strict=True) if c], counts[counts > 0], nodes
+
+
+def _weight_table(chunks: DataFrame) -> list[np.ndarray]:
     """Each task's weights after learning online over its words, averaged by what they learnt from."""
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         weights, total = first_weights(), 0.0
-        for found, seen in _lists(batches):
-            total += learn_weights(found, seen, slot_bits, table.value, weights)
+        for found, seen, nodes in _trained(batches):
+            total += learn_weights(found, seen, nodes, nodes.counts, weights)
         if total:
             flat = np.concatenate([w.ravel() for w in weights])
             yield {"k": np.arange(len(flat)), "sum": flat * total, "total": np.full(len(flat), total)}
 
-    rows = _training(words, learn, "k int, sum double, total double").groupBy("k").agg(
+    rows = map_arrow(chunks, learn, "k int, sum double, total double").groupBy("k").agg(
         (F.sum("sum") / F.sum("total")).alias("w")
     ).collect()
     weights = first_weights()
@@ -373,17 +458,17 @@ def _weight_table(words: DataFrame, slot_bits: int, table) -> list[np.ndarray]:
     return [flat[:edge].reshape(-1, CONTEXTS), flat[edge:].reshape(-1, CONTEXTS)]
 
 
-def _refinement_table(words: DataFrame, slot_bits: int, table, weights: list[np.ndarray]) -> np.ndarray:
+def _refinement_table(chunks: DataFrame, weights: list[np.ndarray]) -> np.ndarray:
     n = 256 * 8 * STEPS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         cells = np.zeros((n, 2))
-        for found, seen in _lists(batches):
-            count_refinement(found, seen, slot_bits, table.value, weights, cells)
+        for found, seen, nodes in _trained(batches):
+            count_refinement(found, seen, nodes, nodes.counts, weights, cells)
         used = np.flatnonzero(cells.any(axis=1))
         yield {"k": used.astype(np.int32), "zeros": cells[used, 0], "ones": cells[used, 1]}
 
-    rows = _training(words, count, "k int, zeros double, ones double").groupBy("k").agg(F.sum("zeros"), F.sum("ones")).collect()
+    rows = map_arrow(chunks, count, "k int, zeros double, ones double").groupBy("k").agg(F.sum("zeros"), F.sum("ones")).collect()
     cells = np.zeros((n, 2))
     for k, zeros, ones in rows:
         cells[k] = zeros, ones
@@ -396,31 +481,27 @@ def score(
     text_col: str = "text",
     slot_bits: int = SLOT_BITS,
     block_bytes: int = BLOCK_BYTES,
+    chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
     """One row per document row: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``,
     ``train_tokens``, ``base_score`` (smoothed word frequencies), ``score`` (the model's log10
-    probability) and ``bits_per_byte`` (of the whole text, NULL for an empty one)."""
-    context = docs.sparkSession.sparkContext
+    probability) and ``bits_per_byte`` (of the whole text, NULL for an empty one). ``slot_bits``
+    is taken for callers of older versions; contexts share no slots, so it changes nothing."""
     blocks = _blocks(docs, id_col, text_col, block_bytes)
     in_blocks = _block_words(blocks)
     words = written(in_blocks.groupBy("word").agg(F.sum("train").alias("c")), "mixing-words")
-    totals = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    n_train, n_distinct = int(totals[0]), int(totals[1])
+    totals = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.sum(F.octet_length("word") + 1)).first()
+    n_train, n_distinct, n_bytes = int(totals[0]), int(totals[1]), int(totals[2] or 0)
 
-    table = context.broadcast(_slot_table(words, slot_bits))
-    weights = _weight_table(words, slot_bits, table)
-    cells = _refinement_table(words, slot_bits, table, weights)
+    chunks = _chunks(words, n_bytes, chunk_bytes)
+    weights = _weight_table(chunks)
+    cells = _refinement_table(chunks, weights)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        scorer = None
-        for batch in batches:
-            scorer = scorer or Scorer(table.value, weights, cells, slot_bits)
-            yield {
-                "word": batch.column("word"), "c": batch.column("c"),
-                "score": scorer.score(texts_of(batch.column("word"))),
-            }
+        for found, seen, nodes in _opened(batches):
+            yield {"word": found, "c": seen, "score": Scorer(nodes.counts, weights, cells, nodes).score(found)}
 
-    rated = written(map_arrow(words, rate, "word binary, c long, score double"), "mixing-rated")
+    rated = written(map_arrow(chunks, rate, "word binary, c long, score double"), "mixing-rated")
     back = in_blocks.select("block", "number", "word").join(rated, "word").select("block", "number", "c", "score")
     kind = blocks.schema["doc_id"].dataType.simpleString()
     least = 0.1 / (n_train + 0.1 * (n_distinct + 1))

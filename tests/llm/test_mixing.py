@@ -82,3 +82,34 @@ def test_defined_cases(spark):
     assert sorted(r.score for r in found)[1] == pytest.approx(8 * math.log10(0.5), rel=1e-6)
     twice = mixing.score(docs_of(spark, [(1, "a b"), (1, "a b"), (2, "a")]), slot_bits=10).collect()
     assert len(twice) == 3
+
+
+def test_contexts_share_no_counts(spark):
+    """Every context has counts of its own, however many there are and however words are dealt out."""
+    rows = list(enumerate(corpus(), 1))
+    few = {r.doc_id: r.score for r in mixing.score(docs_of(spark, rows), slot_bits=4).collect()}
+    many = {r.doc_id: r.score for r in mixing.score(docs_of(spark, rows), slot_bits=18).collect()}
+    assert few == pytest.approx(many, rel=1e-9)
+
+
+@pytest.mark.parametrize("chunk_bytes", [40, 1 << 19])
+def test_context_table_holds_all_counts(spark, chunk_bytes):
+    seen = {b"the": 5, b"then": 2, b"that": 1, b"hat": 4, b"": 3, b"new": 0}
+    words = spark.createDataFrame([(bytearray(w), c) for w, c in seen.items()], "word binary, c long")
+    found = {}
+    for row in mixing._chunks(words, sum(len(w) + 1 for w in seen), chunk_bytes).collect():
+        batch = mixing.pa.RecordBatch.from_pylist([row.asDict()])
+        for own, counts, nodes in mixing._opened([batch]):
+            assert dict(zip(own, counts.tolist(), strict=True)).items() <= seen.items()
+            for word in own:
+                # Bit by bit, the counts of the whole beginning are those of words that begin alike.
+                symbols = mixing.Symbols([word])
+                coded = [(w + b" " if w else b"\n", c) for w, c in seen.items()]
+                mine = word + b" " if word else b"\n"
+                for bit, _, slots, _ in symbols.bits(nodes):
+                    for i in range(len(mine)):
+                        after = [(w[i], c) for w, c in coded if w[:i] == mine[:i] and i < len(w) and w[i] >> (8 - bit) == mine[i] >> (8 - bit)]
+                        ones = sum(c for b, c in after if b >> (7 - bit) & 1)
+                        assert nodes.counts[slots[5, i]].tolist() == [sum(c for _, c in after) - ones, ones]
+                found[word] = True
+    assert set(found) == set(seen)
