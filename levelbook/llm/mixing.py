@@ -1,24 +1,25 @@
 """Scoring of texts by logistic mixing of bit predictors that know contexts.
 
 Texts are sequences of words, lower-cased in A-Z, closed by an end. A word is coded byte by
-byte, bit by bit, with a space after its last byte; the end is a byte that no word holds. Six
-predictors, one per context (the last 1, 2, 3, 4 and 6 bytes of the word and its whole
-beginning), hold counts of zeros and ones per context and bit. Their log odds are mixed with weights
+byte, bit by bit, with a space after its last byte; the end is a byte that no word holds. Seven
+predictors, one per context (the last 1, 2, 3, 4 and 6 bytes of the word, its whole beginning, and
+its whole beginning after the word before it), hold counts of zeros and ones per context and bit. Their log odds are mixed with weights
 chosen by gates, and the mixed probability is refined by a table of what came true after it, per last byte and bit. All together give the
 probability of the text, hence its bits per byte. The gates say how much is known: one set of
-weights is chosen by how often the word's beginning was seen, another by the middle contexts;
-each learns from its own error, and their log odds are averaged.
+weights is chosen by how often the word's beginning was seen, another by the middle contexts, a
+third by how often the beginning was seen after the word before; each learns from its own error, and their log odds are averaged.
 
-How it scales. Documents are read in blocks; a block gives its distinct words once, and each
-document as numbers of the block's words. Words are then counted over all blocks. Everything
-that learns works on distinct words with their counts, in parallel, so the work grows with the
+How it scales. Documents are read in order, in blocks; a block gives its distinct steps (a word
+and the one before it; the first word follows an empty one) once, and each document as numbers of
+the block's steps. Steps are then counted over all blocks. What a word costs depends on the step
+alone, so everything that learns works on distinct steps with their counts, in parallel, so the work grows with the
 corpus and nothing of it passes through one place but weights and refinement, which have a
 fixed size. Contexts are told apart by 64-bit hashes and counted in a table of (context, next byte)
-that grows with the corpus. Words are dealt out in chunks of about equal bytes; a chunk asks for
+that grows with the corpus. Steps are dealt out in chunks of about equal bytes; a chunk asks for
 each of its contexts once, and the counts are joined to it, so no task holds more than the contexts
-of one chunk. Every task learns the weights online over its chunks, each word predicted as if it
+of one chunk. Every task learns the weights online over its chunks, each step predicted as if it
 had been seen once less, and the weights are averaged; the refinement is counted the same way.
-Scores of words go back to the blocks that hold them.
+Scores of steps go back to the blocks that hold them.
 
 Defined cases: a NULL or empty text is an end alone; documents whose id's CRC-32 as text is a
 multiple of 10 are held out (a NULL id counts as empty text, so it is held out); repeated rows
@@ -42,8 +43,8 @@ from levelbook.llm.frames import map_arrow, sub_batches, texts_of, written
 from levelbook.llm.scan import RangeHash, mix
 
 SLOT_BITS = 19
-CONTEXTS = 6
-# Words are dealt out in chunks of about this many bytes.
+CONTEXTS = 7
+# Steps are dealt out in chunks of about this many bytes.
 CHUNK_BYTES = 1 << 19
 BLOCK_BYTES = 16 << 20
 # Words are coded in groups of about this many bytes.
@@ -59,8 +60,8 @@ IMPORTANCE = 1.0
 POWER = 100.0
 #: Counts are told apart by their logarithm in this many levels.
 LEVELS = 10
-GATES = LEVELS * 8, LEVELS * LEVELS
-GATING = [5, 2, 4]  # the contexts whose levels choose weights
+GATES = LEVELS * 8, LEVELS * LEVELS, LEVELS * 8
+GATING = [5, 2, 4, 6]  # the contexts whose levels choose weights
 _LEVEL_OF = np.frexp(np.arange((1 << (LEVELS - 2)) + 1))[1].astype(np.int64)
 # Steps of the mixed log odds in the refinement, from -12 to 12.
 STEPS = 25
@@ -70,10 +71,12 @@ SPACE = 0x20
 
 
 class Symbols:
-    """The bytes of some words with their closing bytes, and the contexts of each."""
+    """The bytes of some words with their closing bytes, and the contexts of each. The word
+    before may stand in front, with a space between."""
 
     def __init__(self, words: list[bytes]):
-        coded = [w + b" " if w else b"\n" for w in words]
+        steps = [w.rpartition(b" ") for w in words]
+        coded = [w + b" " if w else b"\n" for _, _, w in steps]
         self.sizes = np.array([len(c) for c in coded], dtype=np.int64)
         self.symbols = np.frombuffer(b"".join(coded), dtype=np.uint8).astype(np.uint64)
         n = len(self.symbols)
@@ -87,6 +90,10 @@ class Symbols:
             begin = np.maximum(start, at - order)
             self.contexts.append(mix(hasher.of(begin, at) + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
                                      + np.minimum(inside, order).astype(np.uint64)))
+        ends = np.cumsum([len(before) for before, _, _ in steps])
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        before = RangeHash(np.frombuffer(b"".join(before for before, _, _ in steps), dtype=np.uint8)).of(starts, ends)
+        self.contexts.append(mix(self.contexts[-1] ^ mix(before + np.uint64(CONTEXTS))[np.repeat(np.arange(len(words)), self.sizes)]))
         self.last = np.where(inside > 0, self.symbols[np.maximum(at - 1, 0)], np.uint64(0)).astype(np.int64)
         self.word = np.repeat(np.arange(len(words)), self.sizes)
 
@@ -164,12 +171,12 @@ def _level(counts: np.ndarray) -> np.ndarray:
     return _LEVEL_OF[np.minimum(counts, len(_LEVEL_OF) - 1).astype(np.int64)]
 
 
-def _gates(levels: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
-    """The weights' rows in both sets, from the count levels of the gating contexts."""
-    return levels[0] * 8 + bit, levels[1] * LEVELS + levels[2]
+def _gates(levels: np.ndarray, bit: int) -> tuple[np.ndarray, ...]:
+    """The weights' rows in all sets, from the count levels of the gating contexts."""
+    return levels[0] * 8 + bit, levels[1] * LEVELS + levels[2], levels[3] * 8 + bit
 
 
-def _mixed(odds: np.ndarray, gates: tuple[np.ndarray, np.ndarray], weights: list[np.ndarray]) -> list[np.ndarray]:
+def _mixed(odds: np.ndarray, gates: tuple[np.ndarray, ...], weights: list[np.ndarray]) -> list[np.ndarray]:
     """The log odds that each set of weights gives."""
     out = []
     for gate, own in zip(gates, weights, strict=True):
@@ -254,7 +261,7 @@ def count_refinement(
         weight = seen[group.word].astype(np.float64)
         for bit, value, slots, _ in group.bits(where):
             odds, levels = _less_one(table, slots, value)
-            mixed = sum(_mixed(odds, _gates(levels, bit), weights)) / 2
+            mixed = sum(_mixed(odds, _gates(levels, bit), weights)) / len(GATES)
             cell = _cell(group.last, bit, mixed)
             cells[:, 0] += np.bincount(cell, weights=weight * ~value, minlength=len(cells))
             cells[:, 1] += np.bincount(cell, weights=weight * value, minlength=len(cells))
@@ -277,7 +284,7 @@ class Scorer:
             bits = np.zeros(len(group.symbols))
             for bit, value, slots, _ in group.bits(self.where):
                 gates = _gates(self.level[slots[GATING]].astype(np.int64), bit)
-                mixed = sum(_mixed(self.odds[slots], gates, self.weights)) / 2
+                mixed = sum(_mixed(self.odds[slots], gates, self.weights)) / len(GATES)
                 p = 0.5 * _logistic(mixed) + 0.5 * self.refined[_cell(group.last, bit, mixed)]
                 p = np.clip(p, 1e-7, 1 - 1e-7)
                 bits += np.log10(np.where(value, p, 1 - p))
@@ -289,8 +296,8 @@ class Scorer:
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
-    """One row per block with its words and their counts in training documents, and one row per
-    document with the numbers of its words in the block and how often it holds them."""
+    """One row per block with its steps and their counts in training documents, and one row per
+    document with the numbers of its steps in the block and how often it holds them."""
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     chosen = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -301,7 +308,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Da
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         part, number, size = TaskContext.get().partitionId(), 0, 0
-        index: dict[bytes, int] = {b"": 0}
+        index: dict[bytes, int] = {b" ": 0}
         seen = Counter()
 
         def close(id_type) -> dict:
@@ -318,8 +325,8 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Da
             for some in sub_batches(batch):
                 out = {"n_tokens": [], "n_bytes": [], "numbers": []}
                 for text, held in zip(texts_of(some.column("text")), some.column("held_out").to_pylist(), strict=True):
-                    found = Counter(text.lower().split())
-                    found[b""] = 1
+                    own = text.lower().split()
+                    found = Counter(map(b" ".join, zip([b"", *own], [*own, b""], strict=True)))
                     if not held:
                         seen.update(found)
                     numbers = np.array([index.setdefault(w, len(index)) for w in found], dtype=np.int64)
@@ -338,7 +345,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Da
                 if size >= block_bytes:
                     yield close(id_type)
                     number, size = number + 1, 0
-                    index, seen = {b"": 0}, Counter()
+                    index, seen = {b" ": 0}, Counter()
         if size or len(index) > 1 or seen or id_type is not None:
             yield close(id_type)
 
@@ -348,7 +355,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Da
 
 
 def _block_words(blocks: DataFrame) -> DataFrame:
-    """(block, number, word, train), one row per distinct word of a block."""
+    """(block, number, step, train), one row per distinct step of a block."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -359,12 +366,12 @@ def _block_words(blocks: DataFrame) -> DataFrame:
                     yield {
                         "block": np.full(len(some), batch.column("block")[i].as_py()),
                         "number": np.arange(a, a + len(some), dtype=np.int32),
-                        "word": some,
+                        "step": some,
                         "train": train[a:a + len(some)],
                     }
 
     chosen = blocks.filter(F.col("words").isNotNull()).select("block", "words", "numbers")
-    return map_arrow(chosen, work, "block long, number int, word binary, train long")
+    return map_arrow(chosen, work, "block long, number int, step binary, train long")
 
 
 def _context_counts(words: DataFrame) -> DataFrame:
@@ -454,8 +461,7 @@ def _weight_table(chunks: DataFrame) -> list[np.ndarray]:
     flat = np.concatenate([w.ravel() for w in weights])
     for k, w in rows:
         flat[k] = w
-    edge = GATES[0] * CONTEXTS
-    return [flat[:edge].reshape(-1, CONTEXTS), flat[edge:].reshape(-1, CONTEXTS)]
+    return [w.reshape(-1, CONTEXTS) for w in np.split(flat, np.cumsum(GATES)[:-1] * CONTEXTS)]
 
 
 def _refinement_table(chunks: DataFrame, weights: list[np.ndarray]) -> np.ndarray:
@@ -489,20 +495,25 @@ def score(
     is taken for callers of older versions; contexts share no slots, so it changes nothing."""
     blocks = _blocks(docs, id_col, text_col, block_bytes)
     in_blocks = _block_words(blocks)
-    words = written(in_blocks.groupBy("word").agg(F.sum("train").alias("c")), "mixing-words")
-    totals = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.sum(F.octet_length("word") + 1)).first()
-    n_train, n_distinct, n_bytes = int(totals[0]), int(totals[1]), int(totals[2] or 0)
-
-    chunks = _chunks(words, n_bytes, chunk_bytes)
+    steps = written(in_blocks.groupBy("step").agg(F.sum("train").alias("c")), "mixing-steps")
+    word = F.substring_index(F.col("step").cast("string"), " ", -1).cast("binary")
+    own = steps.withColumn("word", word)
+    words = written(own.groupBy("word").agg(F.sum("c").alias("c_word")), "mixing-words")
+    totals = words.agg(F.coalesce(F.sum("c_word"), F.lit(0)), F.count_if(F.col("c_word") > 0)).first()
+    n_train, n_distinct = int(totals[0]), int(totals[1])
+    n_bytes = int(own.agg(F.sum(F.octet_length("word") + 1)).first()[0] or 0)
+
+    chunks = _chunks(steps.withColumnRenamed("step", "word"), n_bytes, chunk_bytes)
     weights = _weight_table(chunks)
     cells = _refinement_table(chunks, weights)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for found, seen, nodes in _opened(batches):
-            yield {"word": found, "c": seen, "score": Scorer(nodes.counts, weights, cells, nodes).score(found)}
+            yield {"step": found, "score": Scorer(nodes.counts, weights, cells, nodes).score(found)}
 
-    rated = written(map_arrow(chunks, rate, "word binary, c long, score double"), "mixing-rated")
-    back = in_blocks.select("block", "number", "word").join(rated, "word").select("block", "number", "c", "score")
+    rated = map_arrow(chunks, rate, "step binary, score double").withColumn("word", word)
+    rated = written(rated.join(words, "word").select("step", F.col("c_word").alias("c"), "score"), "mixing-rated")
+    back = in_blocks.select("block", "number", "step").join(rated, "step").select("block", "number", "c", "score")
     kind = blocks.schema["doc_id"].dataType.simpleString()
     least = 0.1 / (n_train + 0.1 * (n_distinct + 1))
 

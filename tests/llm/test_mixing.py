@@ -113,3 +113,23 @@ def test_context_table_holds_all_counts(spark, chunk_bytes):
                         assert nodes.counts[slots[5, i]].tolist() == [sum(c for _, c in after) - ones, ones]
                 found[word] = True
     assert set(found) == set(seen)
+
+
+def test_order_of_words_counts(spark):
+    """Text in its usual order costs less than the same words in another order."""
+    usual = "one two three four five six seven eight nine ten " * 3
+    words = usual.split()
+    other = " ".join(words[::-1])
+    rows = [(i, usual) for i in range(1, 41)]
+    held = [i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    rows += [(held[0], usual.strip()), (held[1], other)]
+    found = {r.doc_id: r for r in mixing.score(docs_of(spark, rows)).collect()}
+    assert found[held[0]].base_score == pytest.approx(found[held[1]].base_score)
+    assert found[held[0]].bits_per_byte < 0.5 * found[held[1]].bits_per_byte
+
+
+def test_base_after_words_of_wide_characters(spark):
+    rows = [(i, t) for i, t in enumerate(["é日本 été a", "日本 été é", "a été 日本 日本", "b é"] * 5, 1)]
+    expected = base_of(rows)
+    for r in mixing.score(docs_of(spark, rows)).collect():
+        assert (r.n_known, r.base_score) == (expected[r.doc_id][2], pytest.approx(expected[r.doc_id][4], rel=1e-9))
