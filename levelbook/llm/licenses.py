@@ -96,6 +96,18 @@ def normal(sentence: str) -> str:
     return re.sub(r"[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
+def _parts(key: str) -> dict[str, str]:
+    """The sentences that the cutting of texts makes of one entry of ``SENTENCES``: their
+    identifiers (the entry's, numbered from the second part on) and normalised forms."""
+    found = [normal(x) for x in re.sub(SENTENCE_END, r"\1\n", SENTENCES[key]).split("\n")]
+    return {key if i == 0 else f"{key}-{i + 1}": part for i, part in enumerate(x for x in found if x)}
+
+
+def parts_of(rule: Rule) -> tuple[str, ...]:
+    """The sentences of ``rule`` as texts are cut."""
+    return tuple(part for key in rule.sentences for part in _parts(key))
+
+
 def _sentences(text: Column) -> Column:
     cut = F.regexp_replace(text, SENTENCE_END, "$1\n")
     flat = F.regexp_replace(F.lower(cut), r"[^a-z0-9\n]+", " ")
@@ -104,7 +116,7 @@ def _sentences(text: Column) -> Column:
 
 def _known(text: Column) -> Column:
     """The identifiers of the known sentences of ``text``, in order."""
-    table = F.create_map(*[F.lit(x) for key, s in SENTENCES.items() for x in (normal(s), key)])
+    table = F.create_map(*[F.lit(x) for entry in SENTENCES for key, s in _parts(entry).items() for x in (s, key)])
     return F.filter(F.transform(_sentences(text), lambda s: table[s]), lambda key: key.isNotNull())
 
 
@@ -133,7 +145,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     sequence = F.concat(F.lit(" "), F.array_join("sentence_ids", "  "), F.lit(" "))
 
     def matched(rule: Rule) -> Column:
-        return sequence.contains("  ".join(rule.sentences).join("  "))
+        return sequence.contains("  ".join(parts_of(rule)).join("  "))
 
     names = []
     for rule in RULES:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import textwrap
 
 import numpy as np
 import pytest
@@ -76,6 +77,18 @@ def test_licences(spark):
         assert __import__("re").search(licenses.HINTS, sentence)
 
 
+def test_every_rule_is_found_in_its_own_text(spark):
+    rules = licenses.RULES
+    texts = [" ".join(licenses.SENTENCES[k] for k in rule.sentences) for rule in rules]
+    wrapped = [textwrap.fill(t, 60, break_on_hyphens=False) for t in texts]
+    found = {r.doc_id: r.licences for r in licenses.scan(docs_of(spark, [*texts, *wrapped])).collect()}
+    n = len(rules)
+    for i, rule in enumerate(rules, 1):
+        # A rule that a longer one of the same licence holds names the same licence.
+        assert found[i] == [rule.licence], rule
+        assert found[n + i] == [rule.licence], (rule, "wrapped")
+
+
 def test_licence_plan_is_native(spark):
     plan = licenses.scan(docs_of(spark, ODD))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
