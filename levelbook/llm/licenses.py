@@ -88,7 +88,8 @@ RULES = (
 )
 
 # Every known sentence holds one of these, so other texts need not be cut into sentences.
-HINTS = r"(?i)licen[cs]e|permission|permitted|redistribut|free software|public domain|rights reserved|distributed"
+# They are single words, as any space, line end or mark may stand between two.
+HINTS = r"(?i)licen[cs]e|permission|permitted|redistribut|software|domain|reserved|distributed"
 SENTENCE_END = r"([.!?;:])[ \t\r]+"
 
 

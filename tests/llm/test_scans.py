@@ -89,6 +89,25 @@ def test_every_rule_is_found_in_its_own_text(spark):
         assert found[n + i] == [rule.licence], (rule, "wrapped")
 
 
+def test_sentences_are_known_wrapped_at_every_word(spark):
+    texts, expected = [], []
+    known = {licenses.normal(s) for s in licenses.SENTENCES.values()}
+    for key, sentence in licenses.SENTENCES.items():
+        words = sentence.split(" ")
+        for i in range(1, len(words)):
+            for gap in ("\n", " \n\t", "  ", "\u00a0"):
+                before, after = " ".join(words[:i]), " ".join(words[i:])
+                if gap == "\u00a0" and before[-1] in ".:;":
+                    continue  # only spaces and line ends close a sentence
+                if licenses.normal(before) in known:
+                    continue  # a tie of both readings, which the first one wins
+                texts.append(before + gap + after)
+                expected.append(list(licenses._parts(key)))
+    found = {r.doc_id: r.sentence_ids for r in licenses.scan(docs_of(spark, texts)).collect()}
+    for i, (text, ids) in enumerate(zip(texts, expected, strict=True), 1):
+        assert found[i] == ids, text
+
+
 def test_licence_plan_is_native(spark):
     plan = licenses.scan(docs_of(spark, ODD))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
