@@ -7,7 +7,9 @@ of characters to tags, smoothed over neighbouring lines with a Gaussian, is spli
 content, an ``article`` or ``main`` where the page has one with content, is the region, and all
 of its lines from there on are its text, short ones included. Elements that by name, class, id
 or role are menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts or
-styles give no lines at all.
+styles give no lines at all. A name is a whole token of class, id or role, alone or put together
+from such words and words of place or shape ("cookie-notice", "comment-list"); a token with any other
+word ("overflow-hidden", "has-sidebar", "related-to-health") says nothing, and "hidden" stands alone.
 
 Defined cases: NULL and empty pages, and pages without content, give an empty text; repeated
 pages are read each for themselves; NULL ids and urls stay; an empty table gives an empty
@@ -49,6 +51,12 @@ NOISE = frozenset(
     "disqus commentlist discussion reactions topbar".split()
 )
 
+# Words that leave a name of NOISE what it is, as in "site-footer" or "comment-list".
+BESIDE = frozenset(
+    "area bar bottom box block btn button buttons container fixed form item items link links list main page post posts "
+    "primary secondary section site thread top wrap wrapper".split()
+)
+
 # Standard deviation of the smoothing, in lines, and the threshold as a share of the deviation of the ratios.
 SIGMA = 1.0
 THRESHOLD = 0.5
@@ -59,9 +67,11 @@ def _is_noise(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if name in ("hidden",) or (name == "aria-hidden" and value == "true"):
             return True
         if value and name in ("class", "id", "role"):
-            words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
-            if words & NOISE or (name == "role" and words & {"banner", "form"}):
-                return True
+            for token in value.split():
+                words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())) - {""}
+                named = words == {"hidden"} or "hidden" not in words and words & NOISE and words <= NOISE | BESIDE
+                if named or (name == "role" and words & {"banner", "form"}):
+                    return True
     return False
 
 

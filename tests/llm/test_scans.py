@@ -286,6 +286,24 @@ def test_odd_pages(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize("name", [
+    "overflow-hidden", "elementor-widget-text-editor", "has-sidebar", "no-sidebar", "related-to-health", "layout no-sidebar wide",
+    "content-sidebar-wrap", "sidebar-right", "hidden-mobile",
+])
+def test_names_that_only_hold_a_word_of_noise(name):
+    for page in (f'<article><h1>A</h1><div class="{name}"><p>Some text of the page, long enough.</p></div></article>',
+                 f'<body class="x"><div id="{name}"><h1>A</h1><p>Some text of the page, long enough.</p></div></body>'):
+        assert html.main_text(page) == "A\n\nSome text of the page, long enough."
+
+
+@pytest.mark.parametrize("name", [
+    "ad", "cookie-notice", "hidden", "sidebar-wrapper", "x sidebar", "siteFooter", "comment-list", "related-posts", "ad_1", "social-share-buttons",
+])
+def test_names_of_noise(name):
+    page = f'<article><p>Some text of the page.</p><div class="{name}"><p>Other text of the page.</p></div></article>'
+    assert html.main_text(page) == "Some text of the page."
+
+
 def test_extract(spark):
     pages = spark.createDataFrame(
         [(1, "u", PAGE % BODY, "x"), (None, None, None, "y"), (1, "u", PAGE % BODY, "x")],
