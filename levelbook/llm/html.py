@@ -3,17 +3,19 @@
 The standard library's parser streams a page's events. Text is gathered into lines, one per
 block element; each line knows its characters and tags and the element that holds it. The ratio
 of characters to tags, smoothed over neighbouring lines with a Gaussian, is split by a threshold
-(a share of its deviation); runs of lines above it are the content. The element with most
-content, an ``article`` or ``main`` where the page has one with content, is the region, and all
-of its lines from there on are its text, short ones included. Elements that by name, class, id
-or role are menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts or
-styles give no lines at all. A name is a whole token of class, id or role, alone or put together
-from such words and words of place or shape ("cookie-notice", "comment-list"); a token with any other
-word ("overflow-hidden", "has-sidebar", "related-to-health") says nothing, and "hidden" stands alone.
+(a share of its deviation); runs of lines above it are the content. Where the articles of a page
+hold the bulk of its content, all those with content are its text, else the ``main`` that does,
+with all of their lines, short ones included. On other pages the text is the lowest element
+that holds all content, from the line before the first content to the last. Elements that by
+name, class, id or role are menus, headers, footers, sidebars, notices, adverts, forms, comments,
+scripts or styles give no lines at all. A name is a whole token of class, id or role, alone or put
+together from such words and words of place or shape ("cookie-notice", "comment-list"); a token with
+any other word ("overflow-hidden", "has-sidebar", "related-to-health") says nothing, and "hidden"
+stands alone.
 
 Defined cases: NULL and empty pages, and pages without content, give an empty text; repeated
 pages are read each for themselves; NULL ids and urls stay; an empty table gives an empty
-result; other columns are ignored; of two regions with equal content the first counts; broken
+result; other columns are ignored; an article in another one belongs to the outer one; broken
 nesting and missing end tags are closed by the next block or by the end of an outer element.
 """
 
@@ -60,6 +62,8 @@ BESIDE = frozenset(
 # Standard deviation of the smoothing, in lines, and the threshold as a share of the deviation of the ratios.
 SIGMA = 1.0
 THRESHOLD = 0.5
+# The share of the content that is the bulk of it.
+BULK = 0.7
 
 
 def _is_noise(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -189,16 +193,25 @@ def main_text(html: str | None) -> str:
             mass[container] += len(text)
             container = parser.parents[container]
     # Containers are numbered in page order, parents first.
-    regions = [i for i, name in enumerate(parser.names) if name in REGIONS and mass[i] > 0]
-    if regions:
-        best = max(regions, key=lambda i: (parser.names[i] == "article", mass[i], -i))
-    else:
-        enough = 0.7 * mass[0]
-        best = max(i for i in range(len(mass)) if mass[i] >= enough)
-    chosen = [i for i, (_, _, container) in enumerate(lines) if _within(container, best, parser.parents)]
-    if not regions and chosen:
-        inside = [i for i in chosen if content[i]]
-        chosen = [i for i in chosen if inside[0] - 1 <= i <= inside[-1]]
+    for name in ("article", "main"):
+        regions = []
+        for i, own in enumerate(parser.names):
+            if own == name and mass[i] > 0 and not any(_within(i, outer, parser.parents) for outer in regions[-1:]):
+                regions.append(i)
+        if sum(mass[i] for i in regions) >= BULK * mass[0]:
+            chosen = [
+                i for i, (_, _, container) in enumerate(lines)
+                if any(_within(container, region, parser.parents) for region in regions)
+            ]
+            return "\n\n".join(lines[i][0] for i in chosen)
+    inside = np.flatnonzero(content)
+    best = lines[inside[0]][2]
+    while mass[best] < mass[0]:
+        best = parser.parents[best]
+    chosen = [
+        i for i, (_, _, container) in enumerate(lines)
+        if inside[0] - 1 <= i <= inside[-1] and _within(container, best, parser.parents)
+    ]
     return "\n\n".join(lines[i][0] for i in chosen)
 
 

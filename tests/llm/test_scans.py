@@ -304,6 +304,35 @@ def test_names_of_noise(name):
     assert html.main_text(page) == "Some text of the page."
 
 
+def paragraphs(name, n):
+    return [f"{name} {i} is a paragraph of the story that is long enough to be its content." for i in range(n)]
+
+
+def marked(texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+@pytest.mark.parametrize("page", [
+    "<body><div><section>%s</section><section>%s</section></div></body>",
+    "<body><div>%s<blockquote>%s</blockquote></div></body>",
+    "<body><article>%s</article><article>%s</article></body>",
+    "<body><main><article>%s</article><section>%s</section></main></body>",
+    "<body><main><div>%s</div><div>%s</div></main></body>",
+])
+@pytest.mark.parametrize("n, m", [(18, 7), (7, 18), (12, 13)])
+def test_all_parts_of_a_story_stay(page, n, m):
+    if "section>%s</section></main>" in page and n > m:
+        n = m  # an article with the bulk of the content is the text
+    one, two = paragraphs("One", n), paragraphs("Two", m)
+    assert html.main_text(page % (marked(one), marked(two))) == "\n\n".join([*one, *two])
+
+
+def test_a_teaser_article_does_not_replace_the_story():
+    story = paragraphs("Story", 9)
+    page = f"<body><main>{marked(story)}<article><p>Teaser of another story, to be read on its own page.</p></article></main></body>"
+    assert html.main_text(page).startswith("\n\n".join(story))
+
+
 def test_extract(spark):
     pages = spark.createDataFrame(
         [(1, "u", PAGE % BODY, "x"), (None, None, None, "y"), (1, "u", PAGE % BODY, "x")],
