@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -23,8 +22,8 @@ BATCH_BYTES = 1 << 19
 def shared_dir(spark: SparkSession) -> str:
     """The folder for written tables: ``spark.checkpoint.dir``, which a cluster has to name.
 
-    Only a local master, where driver and executors are one process, may fall back to a
-    folder of its own.
+    Only a local master, where driver and executors are one process, may fall back to the folder
+    of Spark's own tables.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
@@ -32,18 +31,31 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = tempfile.mkdtemp(prefix="levelbook-llm-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/levelbook-llm"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: lineage ends here, and a
-    lost executor costs nothing that was written. The caller of the job clears the folder."""
+    lost executor costs nothing that was written. :func:`discard` removes it after its last reader;
+    what a lazy result still reads stays until the caller clears the folder."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that :func:`written` made and nothing reads any more."""
+    for table in tables:
+        remove(table.sparkSession, table.written_to)
 
 
 def equal_keys(left: Sequence[str], right: Sequence[str]) -> Column:

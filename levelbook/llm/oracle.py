@@ -89,9 +89,48 @@ SELECT split.doc_id, coalesce(n, 0) AS n_shingles,
 FROM split LEFT JOIN sizes USING (doc_id)
 LEFT JOIN (SELECT node, min(other) AS component FROM reached GROUP BY node) ON node = split.doc_id"""
 
+NEGATIVES = """
+WITH whole AS (
+    SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scores AS (
+    SELECT a.id AS anchor_id, b.id AS other_id, a.label = b.label AS same,
+           CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+    FROM whole a JOIN whole b ON a.id % 50 = 0 AND a.id <> b.id),
+positives AS (
+    SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scores WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3"""
+
+_BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+LINES = f"""
+WITH split AS (
+    SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (
+    SELECT r, doc_id, pos, lines[pos] AS line, {_LOWER.format(f"trim(lines[pos], {_BLANK})")} AS key
+    FROM (SELECT r, doc_id, lines, unnest(range(1, len(lines) + 1)) AS pos FROM split)),
+repeated AS (
+    SELECT key, max(doc_id) AS owner FROM lines WHERE length(key) >= 40
+    GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+marked AS (
+    SELECT lines.*, owner IS NOT NULL AND doc_id IS DISTINCT FROM owner AS goes FROM lines LEFT JOIN repeated USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE goes) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT goes), '')) AS kept_sha256
+FROM marked GROUP BY r"""
+
 ORACLES: dict[str, str] = {
     "op3_ngram_jaccard_join": JACCARD,
     "op8_quality_rules": QUALITY,
     "op9_substring_dedup": PHRASES,
     "op10_license_scan": licence_oracle(),
+    "op11_hard_negatives": NEGATIVES,
+    "op12_line_dedup": LINES,
 }

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from levelbook.llm import contamination, html, jaccard, licenses, mixing, packing, phrases, pieces, quality, suffixes
+from levelbook.llm import (
+    contamination,
+    html,
+    jaccard,
+    licenses,
+    lines,
+    mixing,
+    negatives,
+    packing,
+    phrases,
+    pieces,
+    quality,
+    spelling,
+    suffixes,
+)
 from levelbook.llm.oracle import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -65,6 +79,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.array_join(c, " ") for c in ("sentence_ids", "licences")})
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    noisy = F.when(F.col("vec_id") % 7 == 0, ((F.col("label") + 1) % 10).cast("int")).otherwise(F.col("label"))
+    return negatives.mine(vectors.withColumn("label", noisy), F.col("id") % 50 == 0)
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.drop_lines(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -78,5 +107,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_substring_dedup,
         op10_license_scan,
+        op11_hard_negatives,
+        op12_line_dedup,
+        op13_spelling_variants,
     )
 }
