@@ -191,7 +191,9 @@ def drop_lines(
     dropped = written(dropped, "dropped-lines")
     discard(lines, repeated)
 
-    marked = join_few(texts.withColumn("_doc", _doc()), dropped, ["_doc", "text_key"], ["doc", "_text_key"], "left")
+    # Merged at any size: the small files of such a table say little of the rows they unpack to.
+    drops = dropped.hint("merge")
+    marked = join_few(texts.withColumn("_doc", _doc()), drops, ["_doc", "text_key"], ["doc", "_text_key"], "left")
     own = F.split("text", "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), "dropped")
     kept = F.array_join(F.transform(stay, lambda i: F.get(own, i)), "\n")
