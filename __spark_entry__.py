@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from levelbook.checks.oracle import oracle_queries
 from levelbook.checks.sample import EXCLUDED, sample_tables
 from levelbook.functions.columns import month_number
+from levelbook.operators.bitmaps import DAY, DailyCounts, day_bitmaps, rolled_up
 from levelbook.operators.cleaning import fill_null_numeric, ids_as_text, infer_dates, normalize_ints, strip_tz
 from levelbook.operators.filters import (
     CATEGORICAL,
@@ -23,11 +24,14 @@ from levelbook.operators.filters import (
     TEXT,
     FilterSpec,
     apply_filters,
+    filter_facets,
     profile_columns,
     state_filter,
 )
-from levelbook.plans import improvement, levels, logins, questionnaire, roster
+from levelbook.operators.pages import SortedReport
+from levelbook.plans import improvement, levels, logins, questionnaire, roster, series
 from levelbook.sources import TableSet, check_keys
+from levelbook.sources.staging import staged_path
 
 try:  # the text operators are an optional part
     from levelbook.llm import queries as text_queries
@@ -95,13 +99,25 @@ def _zoned(t: TableSet) -> DataFrame:
     return strip_tz(_logins(t).select("id_professor", F.col("data_criacao").cast("timestamp").alias("data_criacao")))
 
 
-def _chained(t: TableSet) -> DataFrame:
-    return apply_filters(_roster(t), [
-        FilterSpec("flag_turma", CATEGORICAL, values=["Tem Turma"]),
-        FilterSpec("ano_turma", NUMERIC, lo=1995, hi=1997),
-        FilterSpec("data_cadastro_professor", DATETIME, lo=date(2024, 1, 5), hi=date(2024, 1, 15)),
-        FilterSpec("estado_escola", TEXT, pattern="^NATION_[1-9]$"),
-    ])
+CHAIN = [
+    FilterSpec("flag_turma", CATEGORICAL, values=["Tem Turma"]),
+    FilterSpec("ano_turma", NUMERIC, lo=1995, hi=1997),
+    FilterSpec("data_cadastro_professor", DATETIME, lo=date(2024, 1, 5), hi=date(2024, 1, 15)),
+    FilterSpec("estado_escola", TEXT, pattern="^NATION_[1-9]$"),
+]
+
+
+def _in_order(report: DataFrame, *order: str | Column) -> DataFrame:
+    """The report with the place of every row in its display order."""
+    return SortedReport.store(report, order, staged_path(report.sparkSession, "sorted")).rows()
+
+
+def _teacher_days(t: TableSet, col: str = "id_professor", *keys: str) -> DataFrame:
+    """The roster's daily bitmaps, stored day by day and read again."""
+    rows = _roster(t)
+    stored = DailyCounts(rows.sparkSession, staged_path(rows.sparkSession, "days"))
+    stored.add(day_bitmaps(rows, "data_cadastro_professor", col, keys))
+    return stored.read()
 
 
 _TEXT_IDS = ["id_professor", "id_turma", "ano_turma", "id_aluno", "cod_inep", "id_avaliacao"]
@@ -150,8 +166,8 @@ _QUERIES: dict[str, Callable[[TableSet], DataFrame]] = {
     "classes_by_state_total": lambda t: roster.classes_by_state_total(roster.classes_by_state(_roster(t))),
     "onboarding_rate": lambda t: roster.onboarding_rate(_roster(t)),
     "state_filtered": lambda t: state_filter(_roster(t), STATES),
-    "teachers_by_state_filtered": lambda t: roster.teachers_by_state(state_filter(_roster(t), STATES), _roster(t)),
-    "classes_by_state_filtered": lambda t: roster.classes_by_state(state_filter(_roster(t), [*STATES, None]), _roster(t)),
+    "teachers_by_state_filtered": lambda t: roster.teachers_by_state(_roster(t), states=STATES),
+    "classes_by_state_filtered": lambda t: roster.classes_by_state(_roster(t), states=[*STATES, None]),
     "state_choices": lambda t: roster.state_choices(_roster(t)),
     "key_violations": check_keys,
     "state_filtered_kpis": lambda t: roster.teacher_kpis(state_filter(_roster(t), STATES)),
@@ -160,6 +176,19 @@ _QUERIES: dict[str, Callable[[TableSet], DataFrame]] = {
     "student_class_kpis": lambda t: roster.student_class_kpis(roster.assessed_students(t)),
     "first_hypothesis_counts": roster.first_hypothesis_counts,
     "ids_as_text": lambda t: ids_as_text(roster.students_by_class(t), _TEXT_IDS),
+    # display order: places without a sort in one task
+    "roster_sorted": lambda t: _in_order(_roster(t), *roster.ROSTER_KEYS),
+    "history_sorted": lambda t: _in_order(levels.hypothesis_history(t), "student_id", "rn"),
+    "pairing_sorted": lambda t: _in_order(
+        roster.students_by_class(t), F.desc("data_criacao_avaliacao"), "id_avaliacao", "id_aluno", "hipotese"
+    ),
+    # counts that add up, and all series in one pass
+    "teachers_per_month": lambda t: rolled_up(_teacher_days(t), [F.date_trunc("month", DAY)], "total_professores")
+    .withColumnRenamed("_g0", "mes").withColumn("mes", F.to_date("mes")),
+    "classes_by_state_rolled": lambda t: rolled_up(_teacher_days(t, "id_turma", "estado_escola"), ["estado_escola"], "total_turmas"),
+    "students_rolled": lambda t: rolled_up(_teacher_days(t, "id_aluno", "estado_escola"), name="total_alunos"),
+    "roster_series": lambda t: series.roster_series(_roster(t)),
+    "improvement_series": lambda t: series.improvement_series(_by_month(t)),
     # level changes as numbers
     "evolved_students_n": levels.evolved_students_n,
     "teachers_multi_class_n": levels.teachers_multi_class_n,
@@ -194,7 +223,8 @@ _QUERIES: dict[str, Callable[[TableSet], DataFrame]] = {
     "filter_text": lambda t: apply_filters(
         _registered(t), [FilterSpec("estado_escola", TEXT, pattern="_1[0-4]$")]
     ),
-    "chained_filters": _chained,
+    "chained_filters": lambda t: apply_filters(_roster(t), CHAIN),
+    "filter_facets": lambda t: _profile_text(filter_facets(_roster(t), CHAIN)),
     "normalize_ints": _integers,
     "format_integers": lambda t: normalize_ints(_as_doubles(roster.students_by_class(t), *_TEXT_IDS)),
     "fill_null_numeric": lambda t: fill_null_numeric(_roster(t)),

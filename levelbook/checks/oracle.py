@@ -235,6 +235,37 @@ FROM report"""
     return " UNION ALL ".join(one(*c) for c in columns)
 
 
+# The chain of filters of the registry, as conditions.
+_CHAIN = (
+    ("flag_turma", "text", "flag_turma = 'Tem Turma'"),
+    ("ano_turma", "numeric", "ano_turma BETWEEN 1995 AND 1997"),
+    ("data_cadastro_professor", "datetime",
+     "data_cadastro_professor BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-15 00:00:00'"),
+    ("estado_escola", "text", "regexp_matches(estado_escola, '^NATION_[1-9]$')"),
+)
+
+
+def _facets() -> str:
+    """Each filter's column on the rows that the filters before it keep."""
+    found = []
+    for i, (column, kind, _) in enumerate(_CHAIN):
+        before = " AND ".join(condition for *_, condition in _CHAIN[:i]) or "true"
+        profile = _profile(((column, kind),), exact=False).replace("FROM report", f"FROM report WHERE {before}")
+        found.append(f"""
+SELECT CAST({i + 1} AS INTEGER) AS place, p.*, (SELECT count(*) FROM report WHERE {before}) AS "rows" FROM ({profile}) p""")
+    return " UNION ALL ".join(found)
+
+
+def _series(points: dict[str, str], measures: str) -> str:
+    """``measures`` in total and per point of each series."""
+    parts = [f"SELECT 'total' AS serie, CAST(NULL AS VARCHAR) AS chave, {measures} FROM report"]
+    parts += [
+        f"SELECT '{name}' AS serie, CAST({key} AS VARCHAR) AS chave, {measures} FROM report WHERE {key} IS NOT NULL GROUP BY {key}"
+        for name, key in points.items()
+    ]
+    return " UNION ALL ".join(parts)
+
+
 def oracle_queries() -> dict[str, str]:
     sql = {name: on(name, "SELECT * FROM report") for name in REPORTS}
 
@@ -349,6 +380,29 @@ SELECT * REPLACE (CAST(id_professor AS VARCHAR) AS id_professor, CAST(id_turma A
                   CAST(cod_inep AS VARCHAR) AS cod_inep, CAST(id_avaliacao AS VARCHAR) AS id_avaliacao)
 FROM report""")
 
+    # display order, counts that add up, all series
+    place = "SELECT *, row_number() OVER (ORDER BY {}) AS pos FROM report"
+    sql["roster_sorted"] = on(roster, place.format("id_professor NULLS FIRST, id_turma NULLS FIRST, id_aluno NULLS FIRST"))
+    sql["history_sorted"] = on("hypothesis_history", place.format("student_id, rn"))
+    sql["pairing_sorted"] = on("students_by_class", place.format(
+        "data_criacao_avaliacao DESC NULLS LAST, id_avaliacao, id_aluno, hipotese"))
+    sql["teachers_per_month"] = on(roster, """
+SELECT CAST(date_trunc('month', data_cadastro_professor) AS DATE) AS mes, count(DISTINCT id_professor) AS total_professores
+FROM report GROUP BY 1""")
+    sql["classes_by_state_rolled"] = on(roster, """
+SELECT estado_escola, count(DISTINCT id_turma) AS total_turmas FROM report WHERE id_turma IS NOT NULL GROUP BY estado_escola""")
+    sql["students_rolled"] = on(roster, "SELECT count(DISTINCT id_aluno) AS total_alunos FROM report")
+    sql["roster_series"] = on(roster, _series(
+        {"por_dia": "CAST(data_cadastro_professor AS DATE)", "por_estado": "estado_escola"},
+        "count(DISTINCT id_professor) AS total_professores, count(DISTINCT id_turma) AS total_turmas, "
+        "count(DISTINCT id_aluno) AS total_alunos"))
+    sql["improvement_series"] = on("class_improvement_by_month", _series(
+        {"por_mes": "mes_sondagem", "por_estado": "estado_escola"},
+        "count(*) AS total_sondagens, count(DISTINCT id_professor) AS total_professores, "
+        "count(DISTINCT id_turma) AS total_turmas, CAST(coalesce(sum(total_alunos), 0) AS BIGINT) AS soma_alunos, "
+        "CAST(coalesce(sum(alunos_com_melhoria), 0) AS BIGINT) AS alunos_evid, "
+        "CAST(sum(CAST(porcentagem_melhoria AS DECIMAL(18, 2))) AS DOUBLE) / count(porcentagem_melhoria) AS porcentagem_melhoria"))
+
     # improvement
     month = "class_improvement_by_month"
     sql["improvement_kpis"] = on(month, _IMPROVEMENT_KPIS)
@@ -378,6 +432,7 @@ SELECT * FROM report WHERE cidade_escola IN ('ASIA', 'EUROPE') OR cidade_escola
     sql["filter_range_date"] = on("logins", """
 SELECT * FROM report WHERE data_criacao BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-15 00:00:00'""")
     sql["filter_text"] = on("registered_classes", "SELECT * FROM report WHERE regexp_matches(estado_escola, '_1[0-4]$')")
+    sql["filter_facets"] = on(roster, _facets())
     sql["chained_filters"] = on(roster, """
 SELECT * FROM report
 WHERE flag_turma = 'Tem Turma' AND ano_turma BETWEEN 1995 AND 1997

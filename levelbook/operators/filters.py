@@ -38,23 +38,19 @@ class FilterSpec:
     whole_day: bool = False
 
 
-def filter_in(df: DataFrame, column: str, values: Collection[object] | None) -> DataFrame:
-    """Keep the chosen values. NULL (None or NaN) can be chosen; an empty choice keeps nothing, and
-    None, no choice made yet, keeps everything."""
+def _in(column: str, values: Collection[object] | None) -> Column | None:
     if values is None:
-        return df
+        return None
     present = [v for v in values if v is not None and v == v]
     chosen = F.col(column).isin(present) if present else F.lit(False)
-    if len(present) < len(values):
-        chosen = chosen | F.col(column).isNull()
-    return df.filter(chosen)
+    return chosen | F.col(column).isNull() if len(present) < len(values) else chosen
 
 
-def filter_range(df: DataFrame, column: str, lo: object, hi: object) -> DataFrame:
-    """Keep ``lo <= column <= hi``; a bound that is None does not count."""
-    if lo is not None:
-        df = df.filter(F.col(column) >= F.lit(lo))
-    return df if hi is None else df.filter(F.col(column) <= F.lit(hi))
+def _range(column: str, lo: object, hi: object) -> Column | None:
+    bounds = [F.col(column) >= F.lit(lo)] if lo is not None else []
+    if hi is not None:
+        bounds.append(F.col(column) <= F.lit(hi))
+    return reduce(Column.__and__, bounds) if bounds else None
 
 
 def _midnight(day: date | datetime | str) -> datetime:
@@ -62,6 +58,36 @@ def _midnight(day: date | datetime | str) -> datetime:
     return datetime(parsed.year, parsed.month, parsed.day)
 
 
+def _dates(column: str, first: date | str | None, last: date | str | None, whole_day: bool) -> Column | None:
+    if first is None or last is None:
+        return None
+    moment = F.col(column).cast("timestamp_ntz")
+    start, end = _midnight(first), _midnight(last)
+    from_start = moment >= F.lit(start).cast("timestamp_ntz")
+    if whole_day:
+        return from_start & (moment < F.lit(end + timedelta(days=1)).cast("timestamp_ntz"))
+    return from_start & (moment <= F.lit(end).cast("timestamp_ntz"))
+
+
+def _text(column: str, pattern: str) -> Column | None:
+    return F.col(column).cast("string").rlike(pattern) if pattern else None
+
+
+def _filtered(df: DataFrame, condition: Column | None) -> DataFrame:
+    return df if condition is None else df.filter(condition)
+
+
+def filter_in(df: DataFrame, column: str, values: Collection[object] | None) -> DataFrame:
+    """Keep the chosen values. NULL (None or NaN) can be chosen; an empty choice keeps nothing, and
+    None, no choice made yet, keeps everything."""
+    return _filtered(df, _in(column, values))
+
+
+def filter_range(df: DataFrame, column: str, lo: object, hi: object) -> DataFrame:
+    """Keep ``lo <= column <= hi``; a bound that is None does not count."""
+    return _filtered(df, _range(column, lo, hi))
+
+
 def filter_dates(
     df: DataFrame, column: str, first: date | str | None, last: date | str | None, whole_day: bool = False
 ) -> DataFrame:
@@ -70,35 +96,30 @@ def filter_dates(
     Later moments of the last day fall out, unless ``whole_day`` is set. With an end
     missing there is no filter.
     """
-    if first is None or last is None:
-        return df
-    moment = F.col(column).cast("timestamp_ntz")
-    start, end = _midnight(first), _midnight(last)
-    from_start = moment >= F.lit(start).cast("timestamp_ntz")
-    if whole_day:
-        return df.filter(from_start & (moment < F.lit(end + timedelta(days=1)).cast("timestamp_ntz")))
-    return df.filter(from_start & (moment <= F.lit(end).cast("timestamp_ntz")))
+    return _filtered(df, _dates(column, first, last, whole_day))
 
 
 def filter_text(df: DataFrame, column: str, pattern: str) -> DataFrame:
     """Keep rows whose text form matches the case-sensitive regular expression anywhere."""
-    return df.filter(F.col(column).cast("string").rlike(pattern)) if pattern else df
+    return _filtered(df, _text(column, pattern))
+
+
+def condition_of(spec: FilterSpec) -> Column | None:
+    """The choice as a condition, or None where it keeps every row."""
+    if spec.kind == CATEGORICAL:
+        return _in(spec.column, spec.values)
+    if spec.kind == NUMERIC:
+        return _range(spec.column, spec.lo, spec.hi)
+    if spec.kind == DATETIME:
+        return _dates(spec.column, spec.lo, spec.hi, spec.whole_day)
+    if spec.kind == TEXT:
+        return _text(spec.column, spec.pattern)
+    raise ValueError(f"unknown filter kind {spec.kind!r}")
 
 
 def apply_filters(df: DataFrame, specs: Sequence[FilterSpec]) -> DataFrame:
     """Apply the choices one after the other."""
-    def step(frame: DataFrame, spec: FilterSpec) -> DataFrame:
-        if spec.kind == CATEGORICAL:
-            return filter_in(frame, spec.column, spec.values)
-        if spec.kind == NUMERIC:
-            return filter_range(frame, spec.column, spec.lo, spec.hi)
-        if spec.kind == DATETIME:
-            return filter_dates(frame, spec.column, spec.lo, spec.hi, spec.whole_day)
-        if spec.kind == TEXT:
-            return filter_text(frame, spec.column, spec.pattern)
-        raise ValueError(f"unknown filter kind {spec.kind!r}")
-
-    return reduce(step, specs, df)
+    return reduce(lambda frame, spec: _filtered(frame, condition_of(spec)), specs, df)
 
 
 def state_filter(df: DataFrame, states: Collection[str | None], all_token: str = ALL_STATES,
@@ -116,11 +137,45 @@ def _plain_kind(df: DataFrame, column: str) -> str:
     return TEXT
 
 
-def _step(df: DataFrame, column: str) -> Column:
-    """A hundredth of the range of a numeric column."""
-    if _plain_kind(df, column) != NUMERIC:
-        return F.lit(None).cast("double")
-    return (F.max(column).cast("double") - F.min(column).cast("double")) / 100
+def _measures(df: DataFrame, c: str, max_values: int, exact: bool = False, where: str = "true") -> dict[str, Column]:
+    """What the description of a column needs, as aggregates of bounded memory over the rows where
+    the condition ``where`` holds."""
+    kept = F.expr(where)
+    value = F.when(kept, F.col(c))
+    least, most = F.min(value), F.max(value)
+    step = (most.cast("double") - least.cast("double")) / 100 if _plain_kind(df, c) == NUMERIC else F.lit(None)
+    found = {
+        # The sketch has at least 2.56 registers per value asked about. At most max_values - 1
+        # values fill at most that many of them, which it reads as less than twice as many. So a
+        # larger estimate is proof of more.
+        "estimate": F.approx_count_distinct(value, min(0.05, 1.106 / (2.56 * max_values) ** 0.5)),
+        "min": least.cast("string"),
+        "max": most.cast("string"),
+        "has_null": F.coalesce(F.bool_or(kept & F.col(c).isNull()), F.lit(False)),
+        "step": step.cast("double"),
+        # Exact as long as fewer values occur than are tracked; NULL is one of the items.
+        "items": F.expr(f"approx_top_k(`{c}`, {2 * max_values + 1}, {32 * max_values}) FILTER (WHERE {where})"),
+    }
+    if exact:
+        found["n"] = F.count_distinct(value)
+    return found
+
+
+def _described(df: DataFrame, c: str, measures: dict[str, Column], max_values: int) -> list[Column]:
+    """The description of a column from its measures, as columns of one row."""
+    values = F.filter(F.transform(measures["items"], lambda item: item["item"]), lambda value: value.isNotNull())
+    categorical = (measures["estimate"] <= 2 * max_values) & (F.size(values) < max_values)
+    n = measures.get("n", F.when(categorical, F.size(values)))
+    return [
+        F.lit(c).alias("column"),
+        F.when(categorical, CATEGORICAL).otherwise(_plain_kind(df, c)).alias("kind"),
+        n.cast("long").alias("n_distinct"),
+        measures["min"].alias("min"),
+        measures["max"].alias("max"),
+        F.when(~categorical, measures["step"]).cast("double").alias("step"),
+        F.when(categorical, F.array_sort(values)).cast("array<string>").alias("values"),
+        measures["has_null"].alias("has_null"),
+    ]
 
 
 def profile_columns(
@@ -136,45 +191,42 @@ def profile_columns(
     whether NULL is among the choices; ``step`` is a hundredth of a numeric range.
     ``n_distinct`` is given for categorical columns, and with ``exact_counts`` for all.
 
-    The rule only asks "fewer than ten?", so nothing is counted exactly that need not be.
-    A first job, one aggregate in constant memory, finds the bounds and sketches the
-    distinct counts, which clears the columns that are certainly above the limit. The
-    returned plan reads the other columns only, and collects their values: the sketch
-    bounds them to a few. ``exact_counts`` costs a shuffle of every column's values.
+    The rule only asks "fewer than ten?", so nothing is counted exactly that need not be:
+    one lazy aggregate in constant memory finds the bounds, sketches the distinct counts and
+    tracks a bounded number of values. ``exact_counts`` costs a shuffle of every column's values.
     """
     if max_values < 1:
         raise ValueError("max_values must be at least 1")
     names = list(columns or df.columns)
-    # The sketch has at least 2.56 registers per value asked about. At most max_values - 1 values
-    # fill at most that many of them, which it reads as less than twice as many. So a larger
-    # estimate is proof of more.
-    error = min(0.05, 1.106 / (2.56 * max_values) ** 0.5)
-    sketch = df.agg(*[measure.alias(f"{c}|{name}") for c in names for name, measure in (
-        ("estimate", F.approx_count_distinct(c, error)),
-        ("min", F.min(c).cast("string")),
-        ("max", F.max(c).cast("string")),
-        ("has_null", F.bool_or(F.col(c).isNull())),
-        ("step", _step(df, c)),
-    )]).first()
-    few = [c for c in names if sketch[f"{c}|estimate"] <= 2 * max_values]
-    counts = [F.collect_set(c).alias(f"{c}|set") for c in few]
-    if exact_counts:
-        counts += [F.count_distinct(c).alias(f"{c}|n") for c in names if c not in few]
-    counted = df.agg(*counts) if counts else df.sparkSession.range(1)
-
-    def described(c: str) -> Column:
-        values = F.col(f"`{c}|set`") if c in few else F.lit(None).cast("array<string>")
-        categorical = F.coalesce(F.size(values) < max_values, F.lit(False)) if c in few else F.lit(False)
-        n = F.size(values) if c in few else F.col(f"`{c}|n`") if exact_counts else F.lit(None)
-        return F.struct(
-            F.lit(c).alias("column"),
-            F.when(categorical, CATEGORICAL).otherwise(_plain_kind(df, c)).alias("kind"),
-            F.when(categorical | F.lit(exact_counts), n).cast("long").alias("n_distinct"),
-            F.lit(sketch[f"{c}|min"]).cast("string").alias("min"),
-            F.lit(sketch[f"{c}|max"]).cast("string").alias("max"),
-            F.when(~categorical, F.lit(sketch[f"{c}|step"])).cast("double").alias("step"),
-            F.when(categorical, F.array_sort(values)).cast("array<string>").alias("values"),
-            F.lit(bool(sketch[f"{c}|has_null"])).alias("has_null"),
-        )
-
-    return counted.select(F.inline(F.array(*[described(c) for c in names])))
+    wanted = {c: _measures(df, c, max_values, exact_counts) for c in names}
+    counted = df.agg(*[m.alias(f"{c}|{name}") for c, found in wanted.items() for name, m in found.items()])
+    described = [
+        F.struct(*_described(df, c, {name: F.col(f"`{c}|{name}`") for name in found}, max_values))
+        for c, found in wanted.items()
+    ]
+    return counted.select(F.inline(F.array(*described)))
+
+
+def filter_facets(df: DataFrame, specs: Sequence[FilterSpec], max_values: int = 10) -> DataFrame:
+    """What each filter of a chain offers: the description of its column (as in
+    :func:`profile_columns`) on the rows that the filters before it keep.
+
+    ``place`` counts the filters from 1, ``rows`` are the rows that the filters before keep. The whole chain is one
+    read of ``df``: every row carries a bit per filter that it passes, and a filter's measures
+    aggregate the rows that have all the bits before.
+    """
+    bits = [F.lit(0)]
+    for i, spec in enumerate(specs):
+        condition = condition_of(spec)
+        bits.append(F.lit(1 << i) if condition is None else F.when(condition, F.lit(1 << i)).otherwise(F.lit(0)))
+    marked = df.withColumn("_passed", reduce(Column.bitwiseOR, bits))
+    measures, described = [], []
+    for i, spec in enumerate(specs):
+        before = f"(_passed & {(1 << i) - 1}) = {(1 << i) - 1}"
+        found = _measures(df, spec.column, max_values, where=before) | {"rows": F.count_if(F.expr(before))}
+        measures += [m.alias(f"{i}|{name}") for name, m in found.items()]
+        own = {name: F.col(f"`{i}|{name}`") for name in found}
+        described.append(F.struct(
+            F.lit(i + 1).alias("place"), *_described(df, spec.column, own, max_values), own["rows"].alias("rows")
+        ))
+    return marked.agg(*measures).select(F.inline(F.array(*described)))

@@ -9,6 +9,7 @@ group.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 
 # A key of up to this many joined pairs is ordinary work for one task.
 HOT_PAIRS = 50_000_000
+# A group of up to this many rows is numbered by one task.
+HOT_ROWS = 5_000_000
+_COLD = -1
 
 
 def _renamed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
@@ -80,26 +84,78 @@ def fan_out_join(
     return cut(left, "_left", "_right").join(cut(right, "_right", "_left"), on).drop("_left_slice", "_right_slice")
 
 
+@dataclass(frozen=True)
+class HotChunks:
+    """Cuts the hot groups of :func:`row_numbered`, and only these, by the quantiles of the first order key.
+
+    ``keys`` has one column, the group of every row (or of enough of them to tell the hot ones);
+    ``values`` has one column with what the first order key may be. Groups of more than ``hot_rows``
+    rows are hot, the ``most`` largest of them if there are more: the others hold less than that share
+    of the rows each. The quantiles cut the values into ``fan * fan`` parts of equal shares, so a hot
+    group falls in many pieces whatever calendar its values follow. Both are found when the plan
+    runs, from one column each; the ``most`` rows of hot groups are broadcast.
+    """
+
+    keys: DataFrame
+    values: DataFrame
+    hot_rows: int = HOT_ROWS
+    most: int = 1024
+    fan: int = 16
+
+    def apply(self, df: DataFrame, key: str, value: str) -> DataFrame:
+        """``df`` with ``_chunk``, which is :data:`_COLD` for groups that are not hot."""
+        own, first = self.keys.columns[0], self.values.columns[0]
+        parts, fan = self.fan * self.fan, self.fan
+        shares = [i / parts for i in range(1, parts)]
+        bounds = self.values.agg(F.percentile_approx(first, shares, 10 * parts).alias("fine")).select(
+            F.struct(F.filter("fine", lambda _, i: i % fan == fan - 1).alias("coarse"), "fine").alias("bounds")
+        )
+        counts = self.keys.groupBy(F.col(own).alias("_group")).agg(F.count(F.lit(1)).alias("_n"))
+        largest = counts.filter(F.col("_n") > self.hot_rows).orderBy(F.desc("_n"), "_group").limit(self.most)
+        hot = largest.select("_group", F.lit(True).alias("_hot")).withColumn("_bounds", bounds.scalar())
+        column = F.col(value)
+
+        def below(some: Column) -> Column:
+            return F.coalesce(F.size(F.filter(some, lambda bound: bound < column)), F.lit(0))
+
+        known = df.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_group")), "left")
+        coarse = known.withColumn("_coarse", F.when(F.col("_hot"), below(F.col("_bounds.coarse"))))
+        fine = F.col("_coarse") * fan + below(F.slice(F.col("_bounds.fine"), F.col("_coarse") * fan + 1, fan - 1))
+        chunk = F.when(F.col("_hot").isNull(), _COLD).when(column.isNotNull(), fine)
+        return coarse.withColumn("_chunk", chunk).select(*df.columns, "_chunk")
+
+
 def row_numbered(
-    df: DataFrame, partition: Sequence[str], order: Sequence[str], chunk: Column, name: str = "rn"
+    df: DataFrame, partition: Sequence[str], order: Sequence[str], chunk: Column | HotChunks, name: str = "rn"
 ) -> DataFrame:
     """``df`` with rows numbered 1, 2, .. inside each ``partition`` by ``order``, ascending, NULL first.
 
     ``chunk`` is a coarser form of the order, such as the month of its first key: of two rows of
-    a group, the one with the smaller chunk (NULL first) comes first. Rows are numbered inside
-    their chunk and shifted by the sizes of the group's chunks before, which are counted on the
-    map side. So a hot group is as many pieces of work as it has chunks, and the plan is one and
-    the same at any size. Groups with a NULL among ``partition`` are numbered like others.
+    a group, the one with the smaller chunk (NULL first) comes first. :class:`HotChunks` finds one
+    from the data, for hot groups of a single key. Rows are numbered inside
+    their chunk and shifted by the sizes of the group's chunks before. So a hot group is as many
+    pieces of work as it has chunks, and the plan is one and the same at any size. Groups with a
+    NULL among ``partition`` are numbered like others.
+
+    The rows are computed and dealt out once. The sizes are counted on the dealt rows; that they
+    ask for the hash of a whole row keeps all columns in that branch, so both branches read
+    one exchange. The shifts of hot groups are at most ``most * fan * fan`` rows, and broadcast on that ground.
     """
     keys = [*partition, "_chunk"]
-    chunked = df.withColumn("_chunk", chunk)
+    from_data = isinstance(chunk, HotChunks)
+    chunked = chunk.apply(df, partition[0], order[0]) if from_data else df.withColumn("_chunk", chunk)
+    # Told by an aggregate, as a condition on the key would be moved below the exchange.
+    is_hot = F.bool_or(~F.col("_chunk").eqNullSafe(_COLD)) if from_data else F.lit(True)
+    dealt = chunked.repartition(*keys)
     earlier = Window.partitionBy(*partition).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        chunked.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+        dealt.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"), is_hot.alias("_hot"), F.max(F.xxhash64(*df.columns)).alias("_row"))
+        .filter(F.col("_hot") & (F.col("_row") >= -(1 << 63)))
+        .select(*keys, F.sum("_n").over(earlier).alias("_before"))
+        .filter(F.col("_before") > 0)
     )
-    offsets, same_chunk = _renamed(offsets, keys)
+    offsets, same_chunk = _renamed(F.broadcast(offsets) if from_data else offsets, keys)
     in_chunk = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    numbered = chunked.withColumn("_in_chunk", in_chunk).join(offsets, same_chunk)
-    return numbered.select(*df.columns, (F.col("_before") + F.col("_in_chunk")).alias(name))
+    numbered = dealt.withColumn("_in_chunk", in_chunk).join(offsets, same_chunk, "left")
+    return numbered.select(*df.columns, (F.coalesce("_before", F.lit(0)) + F.col("_in_chunk")).alias(name))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from levelbook.operators.counts import groups_with_more_than
-from levelbook.operators.skew import row_numbered
+from levelbook.operators.skew import HOT_ROWS, HotChunks, row_numbered
 from levelbook.plans.roster import classes_with_school
 from levelbook.sources import TableSet
 
@@ -96,11 +96,12 @@ def classes_multi_assessment_n(tables: TableSet) -> DataFrame:
     )
 
 
-def hypothesis_history(tables: TableSet, ordered: bool = False) -> DataFrame:
+def hypothesis_history(tables: TableSet, ordered: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every level a student got, numbered by assessment date (then assessment, then level).
 
     Numbered before the student, class and school are joined: those keep or drop a student
-    as a whole, so the numbers are the same. A student's months are numbered apart.
+    as a whole, so the numbers are the same. The rows of a student
+    with more than ``hot_rows`` of them are cut by the quantiles of all assessments' dates.
     """
     assessment = tables.table("diagnostic_assessment").select(
         F.col("id").alias("diagnostic_assessment_id"), F.col("created_at").alias("assessed_at")
@@ -115,7 +116,9 @@ def hypothesis_history(tables: TableSet, ordered: bool = False) -> DataFrame:
         levels,
         ["student_id"],
         ["assessed_at", "diagnostic_assessment_id", "hypothesis_id"],
-        chunk=F.date_trunc("month", "assessed_at"),
+        chunk=HotChunks(
+            tables.table("diagnostic_assessment_students").select("student_id"), assessment.select("assessed_at"), hot_rows
+        ),
     )
     student = tables.table("student").select(
         F.col("id").alias("student_id"), F.col("name").alias("nome_aluno"), F.col("class_id").alias("id_turma")

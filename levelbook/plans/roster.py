@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from typing import Literal
 
 from pyspark.sql import DataFrame
@@ -11,6 +12,7 @@ from levelbook.functions.columns import share
 from levelbook.functions.vocabulary import ALL_STATES, HAS_CLASS, NO_CLASS, ONBOARDING_DONE, ONBOARDING_OPEN, UNKNOWN_STATE
 from levelbook.operators.accounts import exclude_accounts
 from levelbook.operators.counts import distinct_kpis, distinct_per, first_appearance_rank, nested_kpis, per_day, spread_minutes
+from levelbook.operators.filters import state_filter
 from levelbook.operators.skew import HOT_PAIRS, fan_out_join
 from levelbook.plans.logins import Accounts
 from levelbook.sources import TableSet
@@ -240,19 +242,27 @@ def _state_rank(all_rows: DataFrame | None) -> DataFrame | tuple[str, ...]:
     return ROSTER_KEYS if all_rows is None else first_appearance_rank(all_rows, "estado_escola", ROSTER_KEYS)
 
 
-def teachers_by_state(rows: DataFrame, all_rows: DataFrame | None = None) -> DataFrame:
+def teachers_by_state(
+    rows: DataFrame, all_rows: DataFrame | None = None, states: Collection[str | None] | None = None
+) -> DataFrame:
     """Distinct teachers per state, ranked by first appearance.
 
-    Give ``all_rows``, the rows of all states, when ``rows`` are a selection of them.
+    A choice of ``states`` picks from the counts of all rows, which already hold the ranks. Give ``all_rows``, the rows
+    of all states, when ``rows`` are a selection by something else.
     """
-    return distinct_per(rows, "estado_escola", "id_professor", "total_professores", order=_state_rank(all_rows))
+    counted = distinct_per(rows, "estado_escola", "id_professor", "total_professores", order=_state_rank(all_rows))
+    return counted if states is None else state_filter(counted, states)
 
 
-def classes_by_state(rows: DataFrame, all_rows: DataFrame | None = None) -> DataFrame:
-    """Distinct classes per state, those without a state under their own label, last."""
-    return distinct_per(
+def classes_by_state(
+    rows: DataFrame, all_rows: DataFrame | None = None, states: Collection[str | None] | None = None
+) -> DataFrame:
+    """Distinct classes per state, those without a state under their own label, last. ``states`` and
+    ``all_rows`` as in :func:`teachers_by_state`; None among the states stands for those without one."""
+    counted = distinct_per(
         rows, "estado_escola", "id_turma", "total_turmas", keep_null=UNKNOWN_STATE, order=_state_rank(all_rows)
     )
+    return counted if states is None else state_filter(counted, [UNKNOWN_STATE if s is None else s for s in states])
 
 
 def classes_by_state_total(by_state: DataFrame) -> DataFrame:

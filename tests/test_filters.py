@@ -13,6 +13,7 @@ from levelbook.operators.filters import (
     TEXT,
     FilterSpec,
     apply_filters,
+    filter_facets,
     profile_columns,
     state_filter,
 )
@@ -172,3 +173,51 @@ def test_zones_and_ids(spark):
     assert dict(strip_tz(df).dtypes)["t"] == "timestamp_ntz"
     assert strip_tz(df).first().t == datetime(2024, 1, 1, 10)
     assert ids_as_text(df, ["id"]).first().id == "1234567"
+
+
+def described(rows, column, drop=("place", "rows")):
+    return [{k: v for k, v in r.asDict().items() if k not in drop} for r in rows if r["column"] == column]
+
+
+def test_facets_are_profiles_of_the_rows_filtered_so_far(people):
+    chain = [
+        FilterSpec("uf", CATEGORICAL, values=["SP", None]),
+        FilterSpec("x", NUMERIC),
+        FilterSpec("id", NUMERIC, lo=2),
+        FilterSpec("s", TEXT, pattern="^[aA]"),
+        FilterSpec("uf", CATEGORICAL, values=[]),
+        FilterSpec("t", DATETIME),
+    ]
+    for limit in (2, 10):
+        found = filter_facets(people, chain, limit).collect()
+        assert [r.place for r in found] == [1, 2, 3, 4, 5, 6]
+        for i, spec in enumerate(chain):
+            rows = apply_filters(people, chain[:i])
+            assert found[i].rows == rows.count()
+            assert described(found[i:i + 1], spec.column) == described(profile_columns(rows, limit).collect(), spec.column)
+
+
+def test_facets_read_the_rows_once_and_start_no_job(spark):
+    rows = spark.range(1000).withColumn("k", F.col("id") % 12).withColumn("few", F.col("id") % 3)
+    chain = [FilterSpec("few", CATEGORICAL, values=[0, 1]), FilterSpec("k", NUMERIC, lo=3), FilterSpec("k", NUMERIC, hi=9)]
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("facets", "building a plan")
+    try:
+        facets, profile = filter_facets(rows, chain), profile_columns(rows)
+        assert not tracker.getJobIdsForGroup("facets")
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    for df in (facets, profile):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Range (0, 1000") == 1
+    first, second, third = facets.collect()
+    assert first["values"] == ["0", "1", "2"] and first.rows == 1000
+    assert (second.kind, second["values"], second.rows) == (CATEGORICAL, ["0", "1", "3", "4", "6", "7", "9", "10"], 667)
+    assert (third.min, third.max, third.n_distinct) == ("3", "10", 6)
+
+
+@pytest.mark.parametrize("n", [9, 10, 11, 19, 25, 200, 400, 5000])
+def test_the_limit_of_values_is_exact(spark, n):
+    rows = spark.range(20000).select((F.col("id") % n).alias("k"), F.concat(F.lit("v"), F.col("id") % n).alias("s"))
+    found = {r["column"]: r for r in profile_columns(rows).collect()}
+    assert (found["k"].kind == CATEGORICAL) == (found["s"].kind == CATEGORICAL) == (n < 10)
+    assert found["s"].n_distinct == (n if n < 10 else None)

@@ -1,0 +1,109 @@
+"""Counts that add up, and all series of a report in one pass."""
+
+from __future__ import annotations
+
+import random
+from datetime import date, datetime, timedelta
+
+from conftest import TESTDATA
+from pyspark.sql import functions as F
+
+from levelbook.checks.sample import EXCLUDED, sample_tables
+from levelbook.operators.bitmaps import DAY, DailyCounts, day_bitmaps, merged_bitmaps, rolled_up
+from levelbook.plans import improvement, roster, series
+
+
+def visits(n=600, seed=1):
+    r = random.Random(seed)
+    start = datetime(2024, 1, 20)
+    # Ids over several blocks of 32,768, some missing; days over two months, some missing.
+    return [
+        (r.choice([None, 1, 32768, 32769, r.randint(1, 50), r.randint(1, 10**9)]), r.choice(["A", "A", "A", "B", None]),
+         r.choice([None, start + timedelta(hours=r.randint(0, 600))]))
+        for _ in range(n)
+    ]
+
+
+def distinct(rows, group):
+    out = {}
+    for row in rows:
+        if row[0] is not None:
+            out.setdefault(group(row), set()).add(row[0])
+    return {k: len(v) for k, v in out.items()}
+
+
+def test_bitmaps_roll_up_exactly(spark):
+    rows = visits()
+    df = spark.createDataFrame(rows, "id long, state string, at timestamp_ntz")
+    days = day_bitmaps(df, "at", "id", ["state"])
+    per_state = {r.state: r.total for r in rolled_up(days, ["state"]).collect()}
+    assert per_state == distinct(rows, lambda r: r[1])
+    per_month = {r._g0 and r._g0.month: r.total for r in rolled_up(days, [F.date_trunc("month", DAY)]).collect()}
+    assert per_month == distinct(rows, lambda r: r[2] and r[2].month)
+    both = {(r.state, r[DAY]): r.total for r in rolled_up(days, ["state", DAY]).collect()}
+    assert both == distinct(rows, lambda r: (r[1], r[2] and r[2].date()))
+    assert rolled_up(days).first().total == len({r[0] for r in rows if r[0] is not None})
+    coarse = merged_bitmaps(days, ["state"])
+    assert {r.state: r.total for r in rolled_up(coarse, ["state"]).collect()} == per_state
+
+
+def test_empty_bitmaps(spark):
+    days = day_bitmaps(spark.createDataFrame([(None, None)], "id long, at timestamp_ntz"), "at", "id")
+    assert rolled_up(days).first().total == 0 and rolled_up(days, [DAY]).collect() == []
+
+
+def test_days_are_added_without_reading_the_old_ones(spark, tmp_path):
+    rows = [r for r in visits(seed=2) if r[2] is not None]
+    df = spark.createDataFrame(rows, "id long, state string, at timestamp_ntz")
+    cut = datetime(2024, 2, 1)
+    stored = DailyCounts(spark, str(tmp_path / "days"))
+    stored.add(day_bitmaps(df.filter(F.col("at") < F.lit(cut)), "at", "id"))
+    stored.add(day_bitmaps(df.filter(F.col("at") >= F.lit(cut)), "at", "id"))
+    stored.add(day_bitmaps(df.filter(F.col("at") >= F.lit(cut)), "at", "id"))  # a day written twice counts once
+    assert rolled_up(stored.read()).first().total == len({r[0] for r in rows if r[0] is not None})
+    day = date(2024, 1, 25)
+    one = stored.read().filter(F.col(DAY) == day)
+    assert rolled_up(one).first().total == len({r[0] for r in rows if r[0] is not None and r[2].date() == day})
+    assert "PartitionFilters: [" in (plan := one._jdf.queryExecution().executedPlan().toString()) and "dia" in plan
+
+
+def test_months_and_states_read_no_detail_rows(spark, tmp_path):
+    people = roster.teacher_class_student(sample_tables(spark, TESTDATA), EXCLUDED)
+    stored = DailyCounts(spark, str(tmp_path / "days"))
+    stored.add(day_bitmaps(people, "data_cadastro_professor", "id_turma", ["estado_escola"]))
+    by_state = rolled_up(stored.read(), ["estado_escola"], "total_turmas")
+    plan = by_state._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and "orders" not in plan and "customer" not in plan
+    expected = {r.estado_escola: r.total_turmas for r in roster.classes_by_state(people).collect()}
+    found = {r.estado_escola: r.total_turmas for r in by_state.collect()}
+    assert {k: v for k, v in found.items() if k} == {k: v for k, v in expected.items() if k in found}
+
+
+def scans(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+
+
+def test_series_equal_the_single_charts_and_read_the_report_once(spark):
+    t = sample_tables(spark, TESTDATA)
+    people = roster.teacher_class_student(t, EXCLUDED)
+    found = {(r.serie, r.chave): r for r in series.roster_series(people).collect()}
+    total = roster.class_kpis(people).first()
+    assert found["total", None][2:] == (total.total_professores, total.total_turmas, total.total_alunos)
+    days = {str(r.data_cadastro_professor): r.total_professores for r in roster.teachers_per_day(people).collect()}
+    assert {k: r.total_professores for (s, k), r in found.items() if s == "por_dia"} == days
+    states = {r.estado_escola: r.total_professores for r in roster.teachers_by_state(people).collect()}
+    assert {k: r.total_professores for (s, k), r in found.items() if s == "por_estado"} == states
+    assert scans(series.roster_series(people)) == scans(people)
+
+    rows = improvement.class_improvement(t, by_month=True, excluded=EXCLUDED)
+    found = {(r.serie, r.chave): r for r in series.improvement_series(rows).collect()}
+    kpis = improvement.improvement_kpis(rows).first()
+    assert found["total", None].soma_alunos == kpis.soma_alunos and found["total", None].total_turmas == kpis.total_turmas
+    means = {r.mes_sondagem: r.porcentagem_melhoria for r in improvement.mean_improvement_by_month(rows).collect()}
+    assert {k: r.porcentagem_melhoria for (s, k), r in found.items() if s == "por_mes"} == means
+    assert scans(series.improvement_series(rows)) == scans(rows)
+
+
+def test_series_of_an_empty_report(spark):
+    people = roster.teacher_class_student(sample_tables(spark, TESTDATA), EXCLUDED).filter("false")
+    assert series.roster_series(people).collect() == []

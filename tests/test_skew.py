@@ -10,14 +10,14 @@ import pytest
 from conftest import SMALL_SKEW
 from pyspark.sql import functions as F
 
-from levelbook.operators.skew import fan_out_join, row_numbered
+from levelbook.operators.skew import HOT_ROWS, HotChunks, fan_out_join, row_numbered
 from levelbook.plans import levels, roster
 
 
 def final_plan(df) -> str:
     """The plan as it was executed."""
     df._jdf.queryExecution().toRdd().count()
-    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return df._jdf.queryExecution().executedPlan().toString().split("\n+- == Initial Plan ==")[0]
 
 
 def keyed(spark, n, hot_share, name, keys=20, seed=1):
@@ -92,6 +92,37 @@ def test_a_hot_group_is_spread_over_tasks(spark, conf):
     assert sorted(r.rn for r in numbered.collect()) == list(range(1, 4001))
 
 
+@pytest.mark.parametrize("hot_rows,most,fan", [(10, 1024, 16), (10, 1, 3), (100, 2, 2), (10**9, 1024, 16)])
+def test_hot_groups_are_found_and_cut_by_the_data(spark, conf, hot_rows, most, fan):
+    conf(spark__sql__shuffle__partitions="6", spark__sql__adaptive__coalescePartitions__enabled="false")
+    r = random.Random(8)
+    rows = [(0, 5, 5)] * 50 + [
+        (r.choice([0, 0, 0, 1, 2, 3, None, None]), r.choice([None, *range(300)]), r.randint(0, 3)) for _ in range(500)
+    ]
+    df = spark.createDataFrame(rows, "g long, t long, u long").repartition(5)
+    numbered = row_numbered(df, ["g"], ["t", "u"], HotChunks(df.select("g"), df.select("t"), hot_rows, most, fan))
+    assert numbered.columns == ["g", "t", "u", "rn"]
+    assert Counter(map(tuple, numbered.collect())) == brute_numbers(rows, (1, 2))
+
+
+def test_a_hot_group_of_one_month_is_spread_and_its_rows_are_computed_once(spark, conf, tmp_path):
+    conf(spark__sql__shuffle__partitions="8", spark__sql__adaptive__coalescePartitions__enabled="false",
+         spark__sql__autoBroadcastJoinThreshold="-1")
+    start = datetime(2024, 3, 1)
+    spark.range(6000).select(
+        F.when(F.col("id") % 3 < 2, 1).otherwise(F.col("id")).alias("g"),
+        F.timestamp_add("MINUTE", F.col("id").cast("int"), F.lit(start)).alias("t"),
+    ).write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    numbered = row_numbered(df, ["g"], ["t"], HotChunks(df.select("g"), df.select("t"), hot_rows=1000))
+    parts = numbered.filter("g = 1").groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) > 4 and max(p["count"] for p in parts) < 2000
+    assert sorted(r.rn for r in numbered.filter("g = 1").collect()) == list(range(1, 4001))
+    plan = final_plan(numbered)
+    # The rows are scanned once for both branches; the hot groups and the bounds take a column each.
+    assert "ReusedExchange" in plan and plan.count("ReadSchema: struct<g:bigint,t:") == 1
+
+
 def test_building_the_history_starts_no_job(spark, make_tables):
     t = school(make_tables, n=20)
     levels.hypothesis_history(t)
@@ -127,9 +158,10 @@ def school(make_tables, n=300, hot=0.5, seed=5):
     )
 
 
-def test_history_of_a_hot_student(make_tables):
+@pytest.mark.parametrize("hot_rows", [20, HOT_ROWS])
+def test_history_of_a_hot_student(make_tables, hot_rows):
     t = school(make_tables)
-    rows = levels.hypothesis_history(t).collect()
+    rows = levels.hypothesis_history(t, hot_rows=hot_rows).collect()
     numbers = {}
     for r in rows:
         numbers.setdefault(r.student_id, []).append((r.rn, r.created_at))
