@@ -6,8 +6,9 @@ All of them run on the whole test tables, read as the twelve tables of
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +31,10 @@ from levelbook.operators.filters import (
 )
 from levelbook.operators.pages import SortedReport
 from levelbook.plans import improvement, levels, logins, questionnaire, roster, series
+from levelbook.plans.refresh import ImprovementStore
 from levelbook.sources import TableSet, check_keys
 from levelbook.sources.staging import staged_path
+from levelbook.sources.stored import store_tables, write_with_figures
 
 try:  # the text operators are an optional part
     from levelbook.llm import queries as text_queries
@@ -120,6 +123,35 @@ def _teacher_days(t: TableSet, col: str = "id_professor", *keys: str) -> DataFra
     return stored.read()
 
 
+def _by_student(t: TableSet) -> TableSet:
+    """The tables in a database of their own, levels and students bucketed by student."""
+    spark = t.table("school").sparkSession
+    database = f"levelbook_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{staged_path(spark, 'by-student')}'")
+    return store_tables(t, spark, database, buckets=8)
+
+
+def _refreshed(t: TableSet, **options) -> ImprovementStore:
+    """The improvement as of mid-1996, brought up to date with the level rows since then."""
+    rows = t.table("diagnostic_assessment_students")
+    new = F.coalesce(F.col("created_at") >= F.lit(datetime(1996, 7, 1)), F.lit(False))
+    before = TableSet(lambda name: rows.filter(~new) if name == "diagnostic_assessment_students" else t.table(name))
+    store = ImprovementStore(rows.sparkSession, staged_path(rows.sparkSession, "improvement"), parts=8, **options)
+    store.build(before)
+    store.refresh(t, rows.filter(new))
+    return store
+
+
+def _written_logins(t: TableSet) -> DataFrame:
+    """The login figures of the job that writes the logins; a teacher is one row."""
+    rows = _logins(t)
+    figures = write_with_figures(rows, staged_path(rows.sparkSession, "logins"), {
+        "total_logins": F.count("id_professor"),
+        "total_onboardings": F.count_if((F.col("onboarding_completo") == 1) & F.col("id_professor").isNotNull()),
+    })
+    return rows.sparkSession.createDataFrame([figures], "total_logins long, total_onboardings long")
+
+
 _TEXT_IDS = ["id_professor", "id_turma", "ano_turma", "id_aluno", "cod_inep", "id_avaliacao"]
 
 _QUERIES: dict[str, Callable[[TableSet], DataFrame]] = {
@@ -189,6 +221,12 @@ _QUERIES: dict[str, Callable[[TableSet], DataFrame]] = {
     "students_rolled": lambda t: rolled_up(_teacher_days(t, "id_aluno", "estado_escola"), name="total_alunos"),
     "roster_series": lambda t: series.roster_series(_roster(t)),
     "improvement_series": lambda t: series.improvement_series(_by_month(t)),
+    # stored tables and results
+    "student_evolution_stored": lambda t: levels.student_evolution(_by_student(t)),
+    "class_improvement_total_stored": lambda t: improvement.class_improvement(_by_student(t)),
+    "class_improvement_refreshed": lambda t: _refreshed(t).report(),
+    "class_improvement_by_month_refreshed": lambda t: _refreshed(t, by_month=True, excluded=EXCLUDED).report(),
+    "login_kpis_written": _written_logins,
     # level changes as numbers
     "evolved_students_n": levels.evolved_students_n,
     "teachers_multi_class_n": levels.teachers_multi_class_n,

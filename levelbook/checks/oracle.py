@@ -421,6 +421,14 @@ SELECT CAST(sum(total_alunos) AS BIGINT) AS total_alunos, CAST(sum(alunos_com_me
        CAST(sum(alunos_com_melhoria) AS DOUBLE) / CAST(sum(total_alunos) AS DOUBLE) * 100 AS percentual_total_melhoria
 FROM report""")
 
+    # stored tables and results are the reports that they hold
+    for stored, plain in (
+        ("student_evolution_stored", "student_evolution"), ("class_improvement_total_stored", "class_improvement_total"),
+        ("class_improvement_refreshed", "class_improvement_total"),
+        ("class_improvement_by_month_refreshed", "class_improvement_by_month"), ("login_kpis_written", "login_kpis"),
+    ):
+        sql[stored] = sql[plain]
+
     # filters and type repairs
     sql["filter_profile"] = on(roster, _profile(_ROSTER_PROFILED, exact=False))
     sql["filter_profile_exact"] = on("logins", _profile(_PROFILED, exact=True))

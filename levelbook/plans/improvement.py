@@ -15,32 +15,42 @@ from levelbook.plans.roster import classes, classes_with_school
 from levelbook.sources import TableSet
 
 
-def _levels(tables: TableSet, by_month: bool) -> DataFrame:
-    """Per student: lowest and highest level; by month also the month of the latest assessment."""
+def level_state(tables: TableSet, rows: DataFrame | None = None, by_month: bool = True) -> DataFrame:
+    """Per student: lowest and highest level; by month also the month of the latest assessment and
+    its moment. ``rows`` stand for all of ``diagnostic_assessment_students``."""
+    rows = tables.table("diagnostic_assessment_students") if rows is None else rows
     level = tables.table("diagnostic_assessment_type_hypothesis").select(
         F.col("id").alias("hypothesis_id"), "ordering"
     )
-    rows = tables.table("diagnostic_assessment_students").select(
-        "student_id", "diagnostic_assessment_id", "hypothesis_id"
-    ).join(level, "hypothesis_id")
+    rows = rows.select("student_id", "diagnostic_assessment_id", "hypothesis_id").join(level, "hypothesis_id")
     bounds = [F.min("ordering").alias("lowest"), F.max("ordering").alias("highest")]
     if not by_month:
         return rows.groupBy("student_id").agg(*bounds)
+    # A level without a known assessment counts for the bounds in total, not by month.
     assessment = tables.table("diagnostic_assessment").select(
         F.col("id").alias("diagnostic_assessment_id"),
         F.struct("created_at", "id").alias("moment"),
         month_number_from_text(F.col("month")).alias("month"),
     )
     return rows.join(assessment, "diagnostic_assessment_id").groupBy("student_id").agg(
-        *bounds, F.max_by("month", "moment").alias("month")
+        *bounds, F.max_by("month", "moment").alias("month"), F.max("moment").alias("moment")
     )
 
 
+def merged_levels(states: DataFrame) -> DataFrame:
+    """Several states of students, such as a stored one and that of new rows, as one."""
+    bounds = [F.min("lowest").alias("lowest"), F.max("highest").alias("highest")]
+    latest = [F.max_by("month", "moment").alias("month"), F.max("moment").alias("moment")]
+    return states.groupBy("student_id").agg(*bounds, *(latest if "moment" in states.columns else []))
+
+
 def class_improvement(
     tables: TableSet,
     by_month: bool = False,
     denominator: Literal["all", "assessed"] = "all",
     excluded: Accounts | None = None,
+    levels: DataFrame | None = None,
+    classes_of: DataFrame | None = None,
 ) -> DataFrame:
     """Classes in which some student's lowest and highest level differ, and how many do.
 
@@ -52,9 +62,14 @@ def class_improvement(
     Everything is one pass over the students: each student meets at most one row of
     levels, and a class (by month) is summed up before it is shuffled. Class, teacher and
     school join afterwards, at one row per class and month, so a huge class is an ordinary row by then.
+
+    ``levels`` are stored ones of :func:`level_state`; ``classes_of`` (a column ``id_turma``) restricts
+    the report to some classes.
     """
-    levels = _levels(tables, by_month)
+    levels = level_state(tables, by_month=by_month) if levels is None else levels
     students = tables.table("student").select(F.col("id").alias("student_id"), F.col("class_id").alias("id_turma"))
+    if classes_of is not None:
+        students = students.join(classes_of, "id_turma", "left_semi")
     counted = F.lit(True) if denominator == "all" else F.col("highest") > 1
     per_class = (
         students.join(levels, "student_id", "left")
