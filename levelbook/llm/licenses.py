@@ -6,9 +6,10 @@ document is a sequence of sentence identifiers, which is compared with ordered r
 names a licence and the identifiers that have to follow each other. Rules are tried in order;
 a rule that is part of a longer one that already matched adds nothing.
 
-A line end closes a sentence, as licence notices often stand on a line of their own; for
-notices wrapped over several lines the same is done on the text with its lines joined, and
-the reading that recognises more sentences counts (the first one on a tie).
+A sentence may be wrapped over several lines, and a notice may stand on a line of its own without
+a mark at its end. So what stands between two sentence ends (or blank lines) is looked up as a whole, else by
+its last lines, the longest known run of them; the lines before that are looked up one by one, and all that is known counts, in
+the order of the text.
 
 Defined cases: NULL and empty texts have no sentences and no licence; repeated rows are
 scanned each for itself; NULL ids stay; an empty table gives an empty result; other columns
@@ -54,7 +55,84 @@ SENTENCES: dict[str, str] = {
     "cc-by-long": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc0": "This work has been dedicated to the public domain.",
     "reserved": "All rights reserved.",
+    "mpl-subject": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "isc-permission": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without "
+    "fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "boost-permission": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of "
+    "the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, "
+    "distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit "
+    "third-parties to whom the Software is furnished to do so, all subject to the following:",
+    "gpl2-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+    "General Public License as published by the Free Software Foundation; either version 2 of the License, or (at "
+    "your option) any later version.",
+    "lgpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+    "Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or "
+    "(at your option) any later version.",
+    "agpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+    "Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or "
+    "(at your option) any later version.",
+}
+
+
+# Identifiers of public licences and their names.
+NAMES: dict[str, str] = {
+    "0BSD": "BSD Zero Clause License",
+    "AFL-3.0": "Academic Free License v3.0",
+    "AGPL-3.0-only": "GNU Affero General Public License, version 3",
+    "Apache-2.0": "Apache License, Version 2.0",
+    "Artistic-2.0": "Artistic License 2.0",
+    "BSD-2-Clause": "BSD 2-Clause License",
+    "BSD-3-Clause": "BSD 3-Clause License",
+    "BSL-1.0": "Boost Software License 1.0",
+    "CC-BY-3.0": "Creative Commons Attribution 3.0 Unported License",
+    "CC-BY-4.0": "Creative Commons Attribution 4.0 International License",
+    "CC-BY-NC-4.0": "Creative Commons Attribution-NonCommercial 4.0 International License",
+    "CC-BY-NC-ND-4.0": "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License",
+    "CC-BY-NC-SA-4.0": "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+    "CC-BY-ND-4.0": "Creative Commons Attribution-NoDerivatives 4.0 International License",
+    "CC-BY-SA-3.0": "Creative Commons Attribution-ShareAlike 3.0 Unported License",
+    "CC-BY-SA-4.0": "Creative Commons Attribution-ShareAlike 4.0 International License",
+    "CC0-1.0": "Creative Commons CC0 1.0 Universal License",
+    "CDDL-1.0": "Common Development and Distribution License 1.0",
+    "ECL-2.0": "Educational Community License, Version 2.0",
+    "EPL-1.0": "Eclipse Public License 1.0",
+    "EPL-2.0": "Eclipse Public License 2.0",
+    "EUPL-1.2": "European Union Public License 1.2",
+    "GFDL-1.3-only": "GNU Free Documentation License, version 1.3",
+    "GPL-2.0-only": "GNU General Public License, version 2",
+    "GPL-3.0-only": "GNU General Public License, version 3",
+    "ISC": "ISC License",
+    "LGPL-2.1-only": "GNU Lesser General Public License, version 2.1",
+    "LGPL-3.0-only": "GNU Lesser General Public License, version 3",
+    "LPPL-1.3c": "LaTeX Project Public License v1.3c",
+    "MIT": "MIT License",
+    "MIT-0": "MIT No Attribution License",
+    "MPL-1.1": "Mozilla Public License 1.1",
+    "MPL-2.0": "Mozilla Public License 2.0",
+    "MS-PL": "Microsoft Public License",
+    "MulanPSL-2.0": "Mulan Permissive Software License, Version 2",
+    "NCSA": "University of Illinois/NCSA Open Source License",
+    "ODbL-1.0": "Open Database License v1.0",
+    "OFL-1.1": "SIL Open Font License 1.1",
+    "OSL-3.0": "Open Software License 3.0",
+    "PostgreSQL": "PostgreSQL License",
+    "PSF-2.0": "Python Software Foundation License 2.0",
+    "Unlicense": "Unlicense",
+    "UPL-1.0": "Universal Permissive License v1.0",
+    "Vim": "Vim License",
+    "WTFPL": "Do What The F*ck You Want To Public License",
+    "Zlib": "zlib License",
 }
+# How a notice names its licence, by identifier of the form.
+FORMS: dict[str, str] = {
+    "licensed": "Licensed under the {}.",
+    "released": "Released under the {}.",
+    "work": "This work is licensed under the {}.",
+    "project": "This project is licensed under the {}.",
+}
+def normal(sentence: str) -> str:
+    return re.sub(r"[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
 @dataclass(frozen=True)
@@ -85,17 +163,45 @@ RULES = (
     Rule("CC-BY-4.0", ("cc-by-long",)),
     Rule("CC0-1.0", ("cc0",)),
     Rule("Proprietary", ("reserved",)),
+    Rule("MPL-2.0", ("mpl-subject",)),
+    Rule("ISC", ("isc-permission",)),
+    Rule("Unlicense", ("unlicense",)),
+    Rule("BSL-1.0", ("boost-permission",)),
+    Rule("GPL-2.0-or-later", ("gpl2-free", "gpl-hope")),
+    Rule("GPL-2.0-or-later", ("gpl2-free",)),
+    Rule("LGPL-3.0-or-later", ("lgpl-free",)),
+    Rule("AGPL-3.0-or-later", ("agpl-free",)),
 )
 
-# Every known sentence holds one of these, so other texts need not be cut into sentences.
+
+ID_KEY = "-id"
+
+
+def _named() -> tuple[dict[str, str], tuple[Rule, ...]]:
+    """The sentences of all names in all forms, and an identifier after the tag of a source file."""
+    known = {normal(s) for s in SENTENCES.values()}
+    sentences, rules = {"spdx": "SPDX-License-Identifier:"}, []
+    for licence, name in NAMES.items():
+        for form, text in FORMS.items():
+            key = f"{licence}-{form}".lower()
+            if normal(text.format(name)) not in known:
+                sentences[key] = text.format(name)
+                rules.append(Rule(licence, (key,)))
+        sentences[licence.lower() + ID_KEY] = licence
+        rules.append(Rule(licence, ("spdx", licence.lower() + ID_KEY)))
+    return sentences, tuple(rules)
+
+
+_SENTENCES_OF_NAMES, _RULES_OF_NAMES = _named()
+SENTENCES |= _SENTENCES_OF_NAMES
+RULES += _RULES_OF_NAMES
+
+# Every known sentence but an identifier holds one of these, so other texts need not be cut into sentences.
 # They are single words, as any space, line end or mark may stand between two.
 HINTS = r"(?i)licen[cs]e|permission|permitted|redistribut|software|domain|reserved|distributed"
 SENTENCE_END = r"([.!?;:])[ \t\r]+"
 
 
-def normal(sentence: str) -> str:
-    return re.sub(r"[^a-z0-9]+", " ", sentence.lower()).strip()
-
 
 def _parts(key: str) -> dict[str, str]:
     """The sentences that the cutting of texts makes of one entry of ``SENTENCES``: their
@@ -106,31 +212,53 @@ def _parts(key: str) -> dict[str, str]:
 
 def parts_of(rule: Rule) -> tuple[str, ...]:
     """The sentences of ``rule`` as texts are cut."""
-    return tuple(part for key in rule.sentences for part in _parts(key))
+    return tuple(_table()[part] for key in rule.sentences for part in _parts(key).values())
 
 
-def _sentences(text: Column) -> Column:
-    cut = F.regexp_replace(text, SENTENCE_END, "$1\n")
-    flat = F.regexp_replace(F.lower(cut), r"[^a-z0-9\n]+", " ")
-    return F.transform(F.split(flat, "\n"), lambda s: F.trim(s))
+def _table() -> dict[str, str]:
+    """Identifiers by normalised sentence. What several entries begin with has the identifier of the first."""
+    found: dict[str, str] = {}
+    for entry in SENTENCES:
+        for key, sentence in _parts(entry).items():
+            found.setdefault(sentence, key)
+    return found
 
 
-def _known(text: Column) -> Column:
-    """The identifiers of the known sentences of ``text``, in order."""
-    table = F.create_map(*[F.lit(x) for entry in SENTENCES for key, s in _parts(entry).items() for x in (s, key)])
-    return F.filter(F.transform(_sentences(text), lambda s: table[s]), lambda key: key.isNotNull())
+#: No known sentence has more words, hence more lines.
+MOST_LINES = max(len(sentence.split()) for sentence in _table())
+_BREAK = "\x01"
 
 
 def sentence_ids(text: Column) -> Column:
     """The known sentences of a text by identifier, in order; empty where there are none."""
-    by_line = _known(text)
-    paragraphs = F.regexp_replace(text, r"\n[ \t\r]*\n", ". ")
-    joined = _known(F.regexp_replace(paragraphs, r"[ \t\r]*\n[ \t\r]*", " "))
-    both = F.transform(
-        F.array(F.struct(by_line.alias("a"), joined.alias("b"))),
-        lambda x: F.when(F.size(x["b"]) > F.size(x["a"]), x["b"]).otherwise(x["a"]),
-    )[0]
-    return F.when(text.rlike(HINTS), both).otherwise(F.array().cast("array<string>"))
+    table = F.create_map(*[F.lit(x) for pair in _table().items() for x in pair])
+    cut = F.regexp_replace(F.regexp_replace(text, r"\n[ \t\r]*\n", _BREAK), r"([.!?;:])[ \t\r\n]+", f"$1{_BREAK}")
+    flat = F.regexp_replace(F.lower(cut), f"[^a-z0-9\n{_BREAK}]+", " ")
+
+    def lines(sentence: Column) -> Column:
+        return F.filter(F.transform(F.split(sentence, "\n"), lambda line: F.trim(line)), lambda line: line != "")
+
+    def known(own: Column) -> Column:
+        n = F.size(own)
+        runs = F.filter(
+            F.transform(
+                F.sequence(F.least(n, F.lit(MOST_LINES)), F.lit(1), F.lit(-1)),
+                lambda k: F.struct(k.alias("k"), table[F.array_join(F.slice(own, -k, k), " ")].alias("key")),
+            ),
+            lambda run: run["key"].isNotNull(),
+        )
+        return F.flatten(F.transform(F.array(F.struct(F.get(runs, F.lit(0)).alias("run"))), lambda x: F.concat(
+            F.transform(F.slice(own, 1, n - F.coalesce(x["run"]["k"], F.lit(0))), lambda line: table[line]),
+            F.array(x["run"]["key"]),
+        )))
+
+    sentences = F.filter(F.transform(F.split(flat, _BREAK), lines), lambda own: F.size(own) > 0)
+    found = F.array_compact(F.flatten(F.transform(sentences, known)))
+    # An identifier alone is a word like others; it counts after the tag.
+    tagged = F.transform(F.array(F.struct(found.alias("keys"))), lambda x: F.filter(
+        x["keys"], lambda key, i: ~key.endswith(ID_KEY) | F.coalesce(F.get(x["keys"], i - 1) == "spdx", F.lit(False))
+    ))[0]
+    return F.when(text.rlike(HINTS), tagged).otherwise(F.array().cast("array<string>"))
 
 
 def _inside(short: tuple[str, ...], long: tuple[str, ...]) -> bool:
@@ -170,19 +298,17 @@ def oracle(table: str = "documents") -> str:
     def quoted(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
 
-    known = " ".join(f"WHEN {quoted(normal(s))} THEN {quoted(key)}" for key, s in SENTENCES.items())
+    known = " ".join(f"WHEN {quoted(sentence)} THEN {quoted(key)}" for sentence, key in _table().items())
 
-    def ids(text: str) -> str:
-        cut = f"regexp_replace({text}, '([.!?;:])[ \\t\\r]+', '\\1' || chr(10), 'g')"
-        flat = f"regexp_replace(lower({cut}), '[^a-z0-9\\n]+', ' ', 'g')"
-        return (f"list_filter(list_transform(string_split({flat}, chr(10)), lambda s: CASE trim(s, ' ') {known} END), "
-                "lambda k: k IS NOT NULL)")
+    def look(sentence: str) -> str:
+        return f"CASE {sentence} {known} END"
 
-    paragraphs = "regexp_replace(text, '\\n[ \\t\\r]*\\n', '. ', 'g')"
-    joined = f"regexp_replace({paragraphs}, '[ \\t\\r]*\\n[ \\t\\r]*', ' ', 'g')"
+    cut = (f"regexp_replace(regexp_replace(text, '\\n[ \\t\\r]*\\n', chr(1), 'g'), "
+           f"'([.!?;:])[ \\t\\r\\n]+', '\\1' || chr(1), 'g')")
+    flat = f"regexp_replace(lower({cut}), '[^a-z0-9\\n\\x01]+', ' ', 'g')"
 
     def has(rule: Rule) -> str:
-        return f"contains(sequence, {quoted('  '.join(rule.sentences).join('  '))})"
+        return f"contains(sequence, {quoted('  '.join(parts_of(rule)).join('  '))})"
 
     names = []
     for rule in RULES:
@@ -193,12 +319,26 @@ def oracle(table: str = "documents") -> str:
         names.append(f"CASE WHEN {hit} THEN {quoted(rule.licence)} END")
     distinct = f"list_filter([{', '.join(names)}], lambda x, i: x IS NOT NULL)"
     return f"""
-        WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM {table}),
-        readings AS (
-            SELECT doc_id, {ids('text')} AS a,
-                   {ids(joined)} AS b
-            FROM texts),
-        chosen AS (SELECT doc_id, CASE WHEN len(b) > len(a) THEN b ELSE a END AS ids FROM readings),
+        WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM {table}),
+        sentences AS (
+            SELECT r, n, list_filter(list_transform(string_split(s, chr(10)), lambda l: trim(l, ' ')), lambda l: l <> '') AS lines
+            FROM (SELECT r, unnest(parts) AS s, generate_subscripts(parts, 1) AS n
+                  FROM (SELECT r, string_split({flat}, chr(1)) AS parts FROM texts))),
+        tails AS (
+            SELECT r, n, k, {look("array_to_string(lines[len(lines) - k + 1:], ' ')")} AS key
+            FROM (SELECT *, unnest(range(1, least(len(lines), {MOST_LINES}) + 1)) AS k FROM sentences)),
+        longest AS (SELECT r, n, max(k) AS k, arg_max(key, k) AS key FROM tails WHERE key IS NOT NULL GROUP BY r, n),
+        hits AS (
+            SELECT r, n, i, {look("lines[i]")} AS key
+            FROM (SELECT r, n, lines, unnest(range(1, len(lines) - coalesce(k, 0) + 1)) AS i
+                  FROM sentences LEFT JOIN longest USING (r, n))
+            UNION ALL SELECT r, n, 1000000000, key FROM longest),
+        found AS (
+            SELECT any_value(doc_id) AS doc_id, coalesce(list(key ORDER BY n, i) FILTER (WHERE key IS NOT NULL), []) AS keys
+            FROM texts LEFT JOIN hits USING (r) GROUP BY r),
+        chosen AS (
+            SELECT doc_id, list_filter(keys, lambda k, i: NOT ends_with(k, '{ID_KEY}') OR (i > 1 AND keys[i - 1] = 'spdx')) AS ids
+            FROM found),
         sequences AS (SELECT doc_id, ids, ' ' || array_to_string(ids, '  ') || ' ' AS sequence FROM chosen),
         named AS (SELECT doc_id, ids, {distinct} AS names FROM sequences),
         once AS (SELECT doc_id, ids, list_filter(names, lambda x, i: list_position(names, x) = i) AS names FROM named)

@@ -17,7 +17,7 @@ corpus and nothing of it passes through one place but weights and refinement, wh
 fixed size. Contexts are told apart by 64-bit hashes and counted in a table of (context, next byte)
 that grows with the corpus. Steps are dealt out in chunks of about equal bytes; a chunk asks for
 each of its contexts once, and the counts are joined to it, so no task holds more than the contexts
-of one chunk. Every task learns the weights online over its chunks, each step predicted as if it
+of one chunk. The weights are learnt online along each chunk, from the same start, each step predicted as if it
 had been seen once less, and the weights are averaged; the refinement is counted the same way.
 Scores of steps go back to the blocks that hold them.
 
@@ -445,18 +445,21 @@ def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], n
 
 
 def _weight_table(chunks: DataFrame) -> list[np.ndarray]:
-    """Each task's weights after learning online over its words, averaged by what they learnt from."""
+    """Each chunk's weights after learning online over its words, averaged by what they learnt from.
+
+    Every chunk starts from the same weights and is the same wherever it lies, and the sums are those of
+    decimals, which any order of adding gives; so the weights depend on the table alone.
+    """
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        weights, total = first_weights(), 0.0
         for found, seen, nodes in _trained(batches):
-            total += learn_weights(found, seen, nodes, nodes.counts, weights)
-        if total:
-            flat = np.concatenate([w.ravel() for w in weights])
-            yield {"k": np.arange(len(flat)), "sum": flat * total, "total": np.full(len(flat), total)}
-
-    rows = map_arrow(chunks, learn, "k int, sum double, total double").groupBy("k").agg(
-        (F.sum("sum") / F.sum("total")).alias("w")
-    ).collect()
+            weights = first_weights()
+            total = learn_weights(found, seen, nodes, nodes.counts, weights)
+            if total:
+                flat = np.concatenate([w.ravel() for w in weights])
+                yield {"k": np.arange(len(flat)), "sum": flat * total, "total": np.full(len(flat), total)}
+
+    exact = [F.sum(F.col(c).cast("decimal(28,8)")).cast("double") for c in ("sum", "total")]
+    rows = map_arrow(chunks, learn, "k int, sum double, total double").groupBy("k").agg((exact[0] / exact[1]).alias("w")).collect()
     weights = first_weights()
     flat = np.concatenate([w.ravel() for w in weights])
     for k, w in rows:

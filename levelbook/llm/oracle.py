@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from levelbook.llm.licenses import oracle as licence_oracle
-from levelbook.llm.quality import ABUSIVE, BASE_RULES, POLICIES, mask_of
+from levelbook.llm.quality import ABUSIVE, BASE_RULES, CURRENT, POLICIES, mask_of
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -47,7 +47,7 @@ measured AS (
     FROM split LEFT JOIN covered USING (r)),
 failed AS (SELECT *, CAST({_BITS} AS BIGINT) AS failures FROM measured)
 SELECT *, failures & {mask_of(BASE_RULES)} <> 0 AS base_failed,
-       failures & {mask_of(POLICIES["v1"].rules)} = 0 AS kept, failures & {mask_of(POLICIES["v2"].rules)} = 0 AS kept_v2
+       failures & {CURRENT.mask} = 0 AS kept, failures & {POLICIES["v1"].mask} = 0 AS kept_v1
 FROM failed"""
 
 PHRASES = f"""

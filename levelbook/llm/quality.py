@@ -85,6 +85,8 @@ POLICIES = {
     "v1": Policy("v1", tuple(r.name for r in RULES if r.name != "abuse")),
     "v2": Policy("v2", tuple(r.name for r in RULES)),
 }
+#: The version that decides.
+CURRENT = POLICIES["v2"]
 
 
 def measure(texts: list[bytes], abusive: Collection[str] = ABUSIVE) -> dict[str, np.ndarray]:
@@ -162,7 +164,7 @@ def passes(policy: Policy) -> Column:
     return F.col("failures").bitwiseAND(F.lit(policy.mask)) == 0
 
 
-def keep_documents(docs: DataFrame, policy: Policy = POLICIES["v1"], text_col: str = "text") -> DataFrame:
+def keep_documents(docs: DataFrame, policy: Policy = CURRENT, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass ``policy``, with all their columns."""
     name = "_measured"
     while name in docs.columns:

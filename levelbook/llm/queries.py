@@ -64,8 +64,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(_table(spark, sf_dir, "documents"))
     base = quality.mask_of(quality.BASE_RULES)
     return rows.withColumn("base_failed", F.col("failures").bitwiseAND(F.lit(base)) != 0).withColumns({
-        "kept": ~F.col("base_failed") & quality.passes(quality.POLICIES["v1"]),
-        "kept_v2": ~F.col("base_failed") & quality.passes(quality.POLICIES["v2"]),
+        "kept": ~F.col("base_failed") & quality.passes(quality.CURRENT),
+        "kept_v1": ~F.col("base_failed") & quality.passes(quality.POLICIES["v1"]),
     })
 
 

@@ -12,7 +12,7 @@ import pytest
 
 from levelbook.llm import mixing
 
-from .helpers import clashing, docs_of
+from .helpers import TESTDATA, clashing, docs_of
 
 
 def base_of(rows):
@@ -133,3 +133,17 @@ def test_base_after_words_of_wide_characters(spark):
     expected = base_of(rows)
     for r in mixing.score(docs_of(spark, rows)).collect():
         assert (r.n_known, r.base_score) == (expected[r.doc_id][2], pytest.approx(expected[r.doc_id][4], rel=1e-9))
+
+
+def test_scores_do_not_depend_on_the_partitions(spark, conf):
+    conf(spark__sql__adaptive__enabled="false")
+    docs = spark.read.parquet(f"{TESTDATA}/documents.parquet")
+    found = []
+    for n in (1, 4, 16):
+        conf(spark__sql__shuffle__partitions=str(n))
+        rows = mixing.score(docs.repartition(n), chunk_bytes=1 << 14).collect()
+        found.append({r.doc_id: (r.n_known, r.base_score, r.score) for r in rows})
+    for other in found[1:]:
+        assert other.keys() == found[0].keys()
+        for i, values in other.items():
+            assert values == pytest.approx(found[0][i], rel=1e-9)

@@ -33,7 +33,7 @@ def test_columns(outputs):
 
 def test_quality(outputs):
     ledger = quality.ledger(outputs[0])
-    expected = {r.doc_id for r in ledger.collect() if not r.failures & quality.POLICIES["v1"].mask}
+    expected = {r.doc_id for r in ledger.collect() if not r.failures & quality.POLICIES["v2"].mask}
     assert {i for i, _ in rows_of(outputs[1])} == expected
 
 
