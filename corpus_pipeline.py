@@ -23,7 +23,7 @@ from levelbook.llm.frames import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.keep_documents(docs, quality.POLICIES["v1"])
+    return quality.keep_documents(docs)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
