@@ -6,10 +6,12 @@ log probabilities of a Zipf law (``log 1 / (100 + rank)``). Its ids can differ f
 merging pair by pair, as the whole best path is sought; decoding does not depend on that.
 
 No piece of such a model reaches over a word start (a space after another character) and many
-marks are in no piece after a letter, so texts are cut there without changing the result, and
-each distinct word of a task is segmented once. Substrings of all new words are hashed and looked up among the sorted hashes of the
+marks are in no piece after a letter, so texts are cut there without changing the result. Long words (text
+without spaces) are cut further wherever no piece that occurs reaches over. Each distinct word of a task is
+segmented once. Substrings of all new words are hashed and looked up among the sorted hashes of the
 pieces of their length; words of equal length then advance together, one position at a time,
-and vectorised maxima keep the backpointers.
+and vectorised maxima keep the backpointers. A long stretch whose pieces overlap without end (such as base64) cannot
+be batched with others: it advances alone, window by window.
 
 A character that is no piece is written as its bytes, so decoding gives every text back. The
 mark that stands for a space is written as bytes too where a text itself holds it.
@@ -34,17 +36,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from levelbook.llm.frames import BATCH_BYTES, documents, map_arrow, sub_batches, texts_of
-from levelbook.llm.scan import RangeHash
+from levelbook.llm.scan import RangeHash, by_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁".encode()
-# Words over this many bytes are segmented alone, so that no group of long words grows large.
-ALONE = 64
+# Stands for the mark where a text itself holds it; no text in UTF-8 holds this byte.
+OWN_MARK = b"\xff"
+# Words over this many bytes are cut where no piece reaches over; parts that stay longer advance alone.
+LONG = 64
+# Long words are read in windows of so many bytes.
+WINDOW = 1 << 16
 # New words are segmented in groups of about this many bytes.
-GROUP_BYTES = 1 << 18
+GROUP_BYTES = 1 << 16
 # A task forgets its words after this many.
-KNOWN_WORDS = 1 << 20
+KNOWN_WORDS = 1 << 18
 LEADING_BITS = 18
+# Ids are decoded so many at a time.
+DECODED = 1 << 18
 
 @dataclass
 class Model:
@@ -121,10 +129,77 @@ def _model(path: str) -> Model:
     return Model.load(path)
 
 
-@lru_cache(maxsize=1)
-def _encoder(path: str) -> Encoder:
-    """The encoder of a Python worker, which keeps what it knows from task to task."""
-    return Encoder(_model(path))
+def _steps(raw: bytes, model: Model, before: int) -> tuple[np.ndarray, ...]:
+    """All steps that begin in ``raw[:before]``, as begins, ends, scores and ids: pieces, and characters
+    that are none (id -1). Ordered by end, then by length."""
+    buffer = np.frombuffer(raw, dtype=np.uint8)
+    n = len(buffer)
+    hasher = RangeHash(buffer)
+    width = np.where(buffer >= 0xF0, 4, np.where(buffer >= 0xE0, 3, np.where(buffer >= 0xC0, 2, 1)))
+    strange = (buffer & 0xC0) != 0x80
+    strange[before:] = False
+    found = []
+    for length in model.lengths:
+        if length > n:
+            break
+        keys = hasher.windows(length)[:before]
+        likely = np.flatnonzero(model.leading[length][keys >> np.uint64(64 - LEADING_BITS)])
+        table = model.hashes[length]
+        at = np.minimum(np.searchsorted(table, keys[likely]), len(table) - 1)
+        hit = table[at] == keys[likely]
+        begin, at = likely[hit], at[hit]
+        strange[begin[width[begin] == length]] = False
+        found.append((begin, begin + length, model.scores[length][at], model.ids[length][at]))
+    odd = np.flatnonzero(strange)
+    found.append((odd, np.minimum(odd + width[odd], n), np.full(len(odd), model.unknown), np.full(len(odd), -1)))
+    begin, end, score, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((end - begin, end))
+    return begin[order], end[order], score[order], ids[order]
+
+
+def safe_parts(word: bytes, model: Model) -> Iterator[list[bytes]]:
+    """``word`` cut wherever no step reaches over, a list of parts per window."""
+    reach = model.lengths[-1] + 4
+    first, before, ahead = 0, 0, np.zeros(reach + 1, dtype=np.int64)
+    for a in range(0, len(word), WINDOW):
+        n = min(WINDOW, len(word) - a)
+        begin, end, _, _ = _steps(word[a:a + WINDOW + reach], model, n)
+        # How many steps reach over the place before each byte.
+        change = np.bincount(begin + 1, minlength=n + reach + 1) - np.bincount(end, minlength=n + reach + 1)
+        change[: reach + 1] += ahead
+        over = before + np.cumsum(change[:n])
+        before, ahead = int(over[-1]), change[n:n + reach + 1]
+        parts = []
+        for cut in (a + np.flatnonzero(over == 0)).tolist():
+            if cut > first:
+                parts.append(word[first:cut])
+                first = cut
+        yield parts
+    if first < len(word):
+        yield [word[first:]]
+
+
+def long_path(word: bytes, model: Model) -> np.ndarray:
+    """The ids of one long word, window by window; of equally good steps to a place the shortest one."""
+    reach = model.lengths[-1] + 4
+    size = len(word)
+    best = [0.0] + [-np.inf] * (WINDOW + reach)
+    taken, ids = np.zeros(size + 1, dtype=np.uint16), np.zeros(size + 1, dtype=np.int32)
+    for a in range(0, size, WINDOW):
+        n = min(WINDOW, size - a)
+        own_taken, own_ids = taken[a:a + n + reach].tolist(), ids[a:a + n + reach].tolist()
+        for begin, end, score, i in zip(*(x.tolist() for x in _steps(word[a:a + WINDOW + reach], model, n)), strict=True):
+            total = best[begin] + score
+            if total > best[end] or (total == best[end] and end - begin < own_taken[end]):
+                best[end], own_taken[end], own_ids[end] = total, end - begin, i
+        taken[a:a + len(own_taken)], ids[a:a + len(own_ids)] = own_taken, own_ids
+        best = best[WINDOW:] + [-np.inf] * WINDOW
+    out, at = [], size
+    while at > 0:
+        i, step = int(ids[at]), int(taken[at])
+        out.extend([i] if i >= 0 else model.byte_ids[list(word[at - step:at])].tolist()[::-1])
+        at -= step
+    return np.array(out[::-1], dtype=np.int32)
 
 
 def segment(words: list[bytes], model: Model) -> list[np.ndarray]:
@@ -170,10 +245,6 @@ def segment(words: list[bytes], model: Model) -> list[np.ndarray]:
     steps = np.array(lengths)
     for size in np.unique(sizes):
         which = np.flatnonzero(sizes == size)
-        if size > ALONE:
-            for w in which:
-                out[w] = _path(score[:, starts[w]:starts[w + 1]], steps, ids[:, starts[w]:starts[w + 1]])
-            continue
         if size:
             for w, path in zip(which, _paths(score, ids, starts[which], int(size), steps), strict=True):
                 out[w] = path
@@ -212,30 +283,6 @@ def _paths(score: np.ndarray, ids: np.ndarray, starts: np.ndarray, size: int, st
     return [found[: count[i], i][::-1] for i in range(n)]
 
 
-def _path(score: np.ndarray, steps: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The best path of one long word, over the pieces that match at all."""
-    size = score.shape[1]
-    best = [-np.inf] * (size + 1)
-    back = [0] * (size + 1)
-    best[0] = 0.0
-    which, where = np.nonzero(~np.isneginf(score))
-    ends = where + steps[which]
-    order = np.lexsort((which, ends))
-    values = score[which, where]
-    for k, begin, end, value in zip(
-        which[order].tolist(), where[order].tolist(), ends[order].tolist(), values[order].tolist(), strict=True
-    ):
-        total = best[begin] + value
-        if total > best[end]:
-            best[end], back[end] = total, k
-    path, at = [], size
-    while at > 0:
-        k = back[at]
-        at -= int(steps[k])
-        path.append(ids[k, at])
-    return np.array(path[::-1], dtype=np.int32)
-
-
 def _bytes_filled(path: np.ndarray, word: bytes, model: Model) -> np.ndarray:
     """``path`` with the steps over unknown characters (id -1) replaced by the ids of their bytes."""
     if (path >= 0).all():
@@ -275,36 +322,37 @@ class Encoder:
         self._sizes = np.empty(0, dtype=np.int64)
         self._starts = np.empty(0, dtype=np.int64)
 
-    def _segmented(self, word: bytes) -> list[np.ndarray]:
-        # A mark that the text itself holds is cut out and written as bytes.
-        parts = word.split(SPACE)
-        marks = self.model.byte_ids[list(SPACE)].astype(np.int32)
-        out = []
-        for i, part in enumerate(parts):
-            out += [marks] * (i > 0)
-            out += segment([part.replace(b" ", SPACE)], self.model) if part else []
-        return [np.concatenate(out)]
+    def _cut(self, word: bytes) -> Iterator[list[bytes]]:
+        """A word as parts that are segmented each for itself. A mark that the text itself holds
+        is a part, as it is written as bytes."""
+        for i, part in enumerate(word.split(SPACE)):
+            if i:
+                yield [OWN_MARK]
+            part = part.replace(b" ", SPACE)
+            if len(part) > LONG:
+                yield from safe_parts(part, self.model)
+            elif part:
+                yield [part]
 
     def _learn(self, words: list[bytes]) -> None:
-        found: list[np.ndarray] = []
-        group: list[bytes] = []
-        total = 0
-
-        def flush() -> None:
-            nonlocal group, total
-            found.extend(segment(group, self.model))
-            group, total = [], 0
-
-        for word in words:
-            if SPACE in word:
-                flush()
-                found.extend(self._segmented(word))
-                continue
-            group.append(word.replace(b" ", SPACE))
-            total += len(word)
-            if total >= GROUP_BYTES:
-                flush()
-        flush()
+        parts = _Numbers()
+        plans = [
+            np.concatenate([np.fromiter(map(parts.__getitem__, some), dtype=np.int64, count=len(some)) for some in self._cut(word)])
+            for word in words
+        ]
+        known = [np.empty(0, dtype=np.int32)] * len(parts)
+        short = []
+        for part, number in parts.items():
+            if part == OWN_MARK:
+                known[number] = self.model.byte_ids[list(SPACE)].astype(np.int32)
+            elif len(part) > LONG:
+                known[number] = long_path(part, self.model)
+            else:
+                short.append((part, number))
+        for group in by_bytes(short, GROUP_BYTES, lambda x: len(x[0])):
+            for (_, number), path in zip(group, segment([part for part, _ in group], self.model), strict=True):
+                known[number] = path
+        found = [known[plan[0]] if len(plan) == 1 else np.concatenate([known[p] for p in plan.tolist()]) for plan in plans]
         sizes = np.array([len(x) for x in found], dtype=np.int64)
         self._flat = np.concatenate([self._flat, *found])
         self._sizes = np.concatenate([self._sizes, sizes])
@@ -334,12 +382,16 @@ def decode_ids(ids: np.ndarray, bounds: np.ndarray, model: Model) -> list[bytes]
     sizes = np.array([len(t) for t in model.text])
     joined = np.frombuffer(b"".join(model.text), dtype=np.uint8)
     starts = np.cumsum(sizes) - sizes
-    each = sizes[ids]
-    ends = np.concatenate([[0], np.cumsum(each)])
-    flat = joined[np.arange(ends[-1]) + np.repeat(starts[ids] - ends[:-1], each)].tobytes()
-    edges = ends[bounds].tolist()
+    flat = []
+    for a in range(0, len(ids), DECODED):
+        some = ids[a:a + DECODED]
+        each = sizes[some]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        flat.append(joined[np.arange(ends[-1]) + np.repeat(starts[some] - ends[:-1], each)].tobytes())
+    whole = b"".join(flat)
+    edges = np.concatenate([[0], np.cumsum(sizes[ids])])[bounds].tolist()
     # The space before the first word is not part of the text.
-    return [flat[a + 1:b] if b > a else b"" for a, b in zip(edges, edges[1:], strict=False)]
+    return [whole[a + 1:b] if b > a else b"" for a, b in zip(edges, edges[1:], strict=False)]
 
 
 def _ids_column(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -354,7 +406,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     a megabyte of text, or one longer text.
     """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        encoder = _encoder(model)
+        encoder = Encoder(_model(model))
         for batch in batches:
             for part in sub_batches(batch, size=4 * BATCH_BYTES):
                 texts = texts_of(part.column("text"))

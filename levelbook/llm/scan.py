@@ -20,16 +20,20 @@ _LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _powers = {}
+# Tables of powers of up to this many entries are kept.
+_KEPT = 1 << 20
 
 
 def _power_table(base: int, n: int) -> np.ndarray:
-    """1, base, base^2, .. modulo 2^64; the table is kept and grows by doubling."""
+    """1, base, base^2, .. modulo 2^64; the table is kept, unless it is large, and grows by doubling."""
     table = _powers.get(base)
     if table is None or len(table) < n:
-        size = max(1 << 16, 1 << int(n - 1).bit_length())
+        size = max(1 << 16, 1 << int(n - 1).bit_length()) if n <= _KEPT else n
         factors = np.full(size, base, dtype=U64)
         factors[0] = 1
-        table = _powers[base] = np.cumprod(factors)
+        table = np.cumprod(factors)
+        if size <= _KEPT:
+            _powers[base] = table
     return table[:n]
 
 

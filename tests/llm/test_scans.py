@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import random
+import subprocess
+import sys
 import textwrap
 
 import duckdb
@@ -274,6 +277,53 @@ def test_cutting_into_words_changes_nothing(model):
         assert ids.tolist() == pieces.segment([whole], model)[0].tolist()
 
 
+def test_long_words_are_cut_or_walked_without_changing_the_path(model, monkeypatch):
+    rng = random.Random(6)
+    letters = {
+        "dense": "abcdefghinorst", "base64": "ABCdefGHIjkl0123456789+/", "chinese": "的一是不了人我在有他这中大来上国日本語", "mixed": "aé日b的the",
+    }
+    words = ["".join(rng.choice(a) for _ in range(n)) for a in letters.values() for n in (65, 300, 900)] + ["▁" * 70 + "the", "a" * 700]
+    raw = [w.encode() for w in words]
+    whole = pieces.segment(raw, model)
+    for window in (7, 64, 1 << 16):
+        monkeypatch.setattr(pieces, "WINDOW", window)
+        for word, path in zip(raw, whole, strict=True):
+            assert pieces.long_path(word, model).tolist() == path.tolist()
+            parts = [p for some in pieces.safe_parts(word, model) for p in some]
+            assert b"".join(parts) == word
+            assert np.concatenate(pieces.segment(parts, model)).tolist() == path.tolist()
+    # Text without spaces falls into short parts that go through the batches.
+    chinese = "".join(rng.choice(letters["chinese"]) for _ in range(5000)).encode()
+    parts = [p for some in pieces.safe_parts(chinese, model) for p in some]
+    assert max(map(len, parts)) <= pieces.LONG
+
+
+def test_a_text_that_holds_the_mark_itself(model):
+    for text in ("▁", "a ▁ b", "▁▁x▁ " * 40, "no▁spaces" * 30, " ▁"):
+        ids, bounds = pieces.Encoder(model).encode([text.encode(), b"", text.encode()])
+        assert pieces.decode_ids(ids, bounds, model) == [text.encode(), b"", text.encode()]
+
+
+def test_memory_of_a_long_text_without_spaces(tmp_path):
+    script = tmp_path / "long.py"
+    script.write_text(
+        "import random, resource, sys\n"
+        "from levelbook.llm import pieces\n"
+        "rng = random.Random(1)\n"
+        "text = ''.join(rng.choices(sys.argv[1], k=int(sys.argv[2]))).encode()\n"
+        "model = pieces.Model.load(pieces.MODEL)\n"
+        "before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+        "ids, bounds = pieces.Encoder(model).encode([text])\n"
+        "assert pieces.decode_ids(ids, bounds, model) == [text]\n"
+        "print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)\n"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    for letters, n in (("的一是不了人我在有他这中大来上国", 700_000), ("ABCdefGHIjkl0123456789+/", 2_000_000)):
+        run = [sys.executable, str(script), letters, str(n)]
+        used = int(subprocess.run(run, cwd=root, env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, check=True).stdout)
+        assert used < 250, (letters, used)  # MB, for two megabytes of text
+
+
 def test_round_trip(spark):
     found = {r.doc_id: r for r in pieces.encode(docs_of(spark, ODD)).collect()}
     assert all(r.round_trip for r in found.values()) and found[1].ids == [] and found[2].n_tokens == 0
