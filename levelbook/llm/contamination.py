@@ -6,11 +6,12 @@ automaton per shard of items, documents are streamed through it, and every hit i
 Myers' bit-parallel edit distance between the item and the text around the hit. Texts and
 items are compared in lower case with single spaces.
 
-Items are read in shards of at most about ``SHARD_BYTES``, so what is sent to the executors is
-bounded however many items there are; each shard is one pass over the documents.
+Items are read in shards of at most about ``SHARD_BYTES``, so an automaton is bounded however many
+items there are; each shard is one pass over the documents, which adds its hits to a row's.
 
 Defined cases: NULL and empty texts contain nothing; NULL and empty items match nothing; items
-with equal texts are all reported; repeated documents are matched each for itself; NULL ids
+with equal texts are all reported; an item too short for an edit matches whole words only, so "the"
+is not found in "other"; repeated documents are matched each for itself; NULL ids
 stay; an empty benchmark or an empty table gives no hits; other columns are ignored. Of several
 places of one item in a document the best counts, and the first of equals.
 """
@@ -18,7 +19,6 @@ places of one item in a document the best counts, and the first of equals.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -79,6 +79,10 @@ def best_match(bits: dict[str, int], length: int, text: str) -> tuple[int, int]:
     return best, end
 
 
+def _inside_word(text: str, at: int) -> bool:
+    return 0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum()
+
+
 class Matcher:
     """Finds the items of one shard in texts."""
 
@@ -115,6 +119,8 @@ class Matcher:
                 begin = last + 1 - piece_end
                 if begin + k < 0 or begin - k + len(item) > len(text) + k:
                     continue
+                if not k and (_inside_word(text, begin) or _inside_word(text, begin + len(item))):
+                    continue
                 if i in tried and abs(begin - tried[i]) == 0:
                     continue
                 tried[i] = begin
@@ -150,14 +156,13 @@ def find(
     shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
     """One row per document row: ``doc_id`` and ``hits``, an array of (item_id, distance, begin,
-    end). Shuffles only where the benchmark needs several shards, and then no texts."""
+    end). Nothing is shuffled."""
     chosen = documents(docs, id_col, text_col)
     doc_kind = chosen.schema["doc_id"].dataType.simpleString()
     item_kind = benchmark.schema[item_id_col].dataType.simpleString()
     hits = f"array<struct<item_id: {item_kind}, distance: int, begin: bigint, end: bigint>>"
-    schema = f"doc_id {doc_kind}, text_key long, hits {hits}"
     context = docs.sparkSession.sparkContext
-    passes = []
+    found = chosen.select("doc_id", "text", F.array().cast(hits).alias("hits"))
     for items in _shards(benchmark, item_id_col, item_text_col, shard_bytes):
         sent = context.broadcast(items)
 
@@ -165,25 +170,17 @@ def find(
             matcher = Matcher(sent.value, rate)
             for batch in batches:
                 for part in sub_batches(batch):
-                    found = [matcher.matches(text) for text in part.column("text").to_pylist()]
+                    rows = zip(part.column("text").to_pylist(), part.column("hits").to_pylist(), strict=True)
                     yield {
                         "doc_id": part.column("doc_id"),
-                        "text_key": part.column("text_key"),
-                        "hits": [[dict(zip(_HIT, hit, strict=True)) for hit in hits] for hits in found],
+                        "text": part.column("text"),
+                        "hits": [
+                            before + [dict(zip(_HIT, hit, strict=True)) for hit in matcher.matches(text)] for text, before in rows
+                        ],
                     }
 
-        passes.append(map_arrow(chosen, work, schema))
-    if not passes:
-        return chosen.select("doc_id", F.array().cast(hits).alias("hits"))
-    if len(passes) == 1:
-        return passes[0].select("doc_id", "hits")
-    # One row per document row again; rows repeated under one id and text come back as often.
-    united = reduce(DataFrame.unionByName, passes)
-    grouped = united.groupBy("doc_id", "text_key").agg(
-        F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.count(F.lit(1)).alias("n")
-    )
-    copies = F.sequence(F.lit(1).cast("long"), F.floor(F.col("n") / len(passes)))
-    return grouped.select("doc_id", "hits", F.explode(copies).alias("copy")).drop("copy")
+        found = map_arrow(found, work, f"doc_id {doc_kind}, text string, hits {hits}")
+    return found.select("doc_id", "hits")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -204,6 +204,23 @@ def test_contamination(spark, shard):
     assert contamination.contamination(docs_of(spark, []), items).count() == 0
 
 
+def test_short_items_match_whole_words(spark):
+    items = spark.createDataFrame([(1, "the"), (2, "a b")], "item_id long, text string")
+    texts = ["They breathe other air", "over THE hill", "the", "xa by a b", "xa by"]
+    found = contamination.contamination(docs_of(spark, texts), items).collect()
+    assert {r.doc_id: r.item_ids for r in found} == {1: [], 2: [1], 3: [1], 4: [2], 5: []}
+
+
+def test_contamination_of_many_equal_rows_in_shards(spark):
+    """Equal rows stay rows of their own, with a hit each, however many shards there are."""
+    items = spark.createDataFrame([(i, f"item number {i} of the long list of items") for i in range(4)], "item_id long, text string")
+    rows = [(None, "")] * 300 + [(None, "item number 2 of the long list of items")] * 30
+    found = contamination.find(docs_of(spark, rows), items, shard_bytes=60, rate=0.0)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    hits = [[h.item_id for h in r.hits] for r in found.collect()]
+    assert sorted(hits) == [[]] * 300 + [[2]] * 30
+
+
 # Packing -----------------------------------------------------------------------------------
 
 def test_best_fit_decreasing():
