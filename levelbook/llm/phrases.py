@@ -232,7 +232,7 @@ def repeated_spans(
         .join(held, ["anchor", "passage"])
         .select("doc_id", "text_key", F.expr("transform(spans, x -> x + start)").alias("spans"))
     )
-    return later.unionByName(first).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return later.unionByName(first).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def _pairs(spans: list[int] | None) -> list[tuple[int, int]]:

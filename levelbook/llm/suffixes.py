@@ -346,7 +346,7 @@ def repeated_spans(
         "doc_id", "text_key", F.array("start", F.col("start") + F.col("n") + (length - 1)).alias("spans")
     )
     spans = wholly.unionByName(partly)
-    return spans.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return spans.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def _cut(text: bytes, pairs: list[tuple[int, int]]) -> bytes:
