@@ -22,9 +22,9 @@ first every member meets the least member of its lists; what links joins, and on
 then still hold several components are paired, across components. :func:`links` pairs all.
 
 Defined cases: a NULL or empty text has an empty set and links with nothing; a text with fewer
-words than a shingle has one element; rows repeated under one id are one node; rows with a NULL
-id link with nothing and have a NULL component; an empty table gives an empty result; other
-columns are ignored.
+words than a shingle has one element; rows under one id are one document, which has the links of
+all its texts; rows with a NULL id link with nothing and have a NULL component; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from levelbook.llm.components import components
@@ -179,7 +179,6 @@ class _Join:
     def __init__(self, docs: DataFrame, width: int, numerator: int, denominator: int):
         self.docs = docs.filter(F.col("doc_id").isNotNull())
         self.width, self.numerator, self.denominator = width, numerator, denominator
-        self.kind = docs.schema["doc_id"].dataType.simpleString()
         self.spark = docs.sparkSession
         self._sketches: DataFrame | None = None
         found = written(_sets(self.docs, width), "jaccard-sets")
@@ -193,20 +192,39 @@ class _Join:
         levels = np.log2(np.maximum(often.column("seen").to_numpy(), 1)).astype(np.uint8)
         order = np.argsort(elements)
         self.frequent = self.spark.sparkContext.broadcast((elements[order], levels[order]))
+        named = self.sets.filter("n > 0")
+        one = F.struct("n", "k1", "k2")
+        several = written(
+            named.groupBy("doc_id").agg(F.min(one).alias("p"), F.max(one).alias("q")).filter("p < q").select("doc_id"),
+            "jaccard-several",
+        )
+        # Nodes are ids; where ids have several sets, ids with the keys of their texts.
+        self.mixed = not several.isEmpty()
+        node = F.struct("doc_id", "text_key") if self.mixed else F.col("doc_id")
         # One document stands for all with an equal set.
         self.classes = written(
-            self.sets.filter("n > 0").groupBy("n", "k1", "k2")
-            .agg(F.min(F.struct("doc_id", "text_key")).alias("r"))
-            .select("n", "k1", "k2", F.col("r.doc_id").alias("rep"), F.col("r.text_key").alias("text_key")),
+            named.groupBy("n", "k1", "k2").agg(F.min(F.struct("doc_id", "text_key")).alias("r"))
+            .select("n", "k1", "k2", "r.*").withColumn("rep", node).withColumnRenamed("doc_id", "rep_id"),
             "jaccard-classes",
         )
+        self.kind = self.classes.schema["rep"].dataType.simpleString()
+        # Sets under one id belong together.
+        held = named.join(several, "doc_id", "left_semi").join(self.classes.select("n", "k1", "k2", "rep"), ["n", "k1", "k2"])
+        least = held.groupBy("doc_id").agg(F.min("rep").alias("a"))
+        self.same_id = held.join(least, "doc_id").filter("a <> rep").select("a", F.col("rep").alias("b")).distinct()
         copies = written(
-            self.sets.join(self.classes.select("n", "k1", "k2", "rep", F.col("text_key").alias("rep_key")), ["n", "k1", "k2"])
-            .filter("doc_id <> rep OR text_key <> rep_key")
+            self.sets.join(
+                self.classes.select("n", "k1", "k2", "rep_id", F.col("text_key").alias("rep_key")), ["n", "k1", "k2"]
+            )
+            .filter("doc_id <> rep_id OR text_key <> rep_key")
             .select(F.col("doc_id").alias("copy_id"), F.col("text_key").alias("copy_key")).distinct(),
             "jaccard-copies",
         )
         self.representatives = join_few(self.docs, copies, ["doc_id", "text_key"], ["copy_id", "copy_key"], "left_anti")
+        self.representatives = self.representatives.withColumn("node", node)
+
+    def id_of(self, node: str) -> Column:
+        return F.col(f"{node}.doc_id") if self.mixed else F.col(node)
 
     def shared(self) -> DataFrame:
         """Short hashes of first elements that two or more sets have. Each batch sends its distinct
@@ -276,7 +294,7 @@ class _Join:
                     yield {
                         "element": hashes.view(np.int64),
                         "short": (hashes >> np.uint64(64 - SHORT_BITS)).astype(np.int64),
-                        "rep": part.column("doc_id").take(pa.array(owner)),
+                        "rep": part.column("node").take(pa.array(owner)),
                         "n": sizes[owner].astype(np.int32),
                     }
 
@@ -306,7 +324,7 @@ class _Join:
         self._keys = written(heavy.unionByName(subsets), "jaccard-keys")
         return self._keys
 
-    def _near(self, n: str, m: str):
+    def _near(self, n: str, m: str) -> Column:
         """Whether sizes allow the similarity."""
         return F.least(n, m) * self.denominator >= F.greatest(n, m) * self.numerator
 
@@ -345,9 +363,9 @@ class _Join:
                         bucket = (hashes & np.uint64(SKETCH - 1)).astype(np.int64)
                         counts = np.bincount(owner * SKETCH + bucket, minlength=part.num_rows * SKETCH)
                         rows = np.minimum(counts, 65535).astype("<u2").reshape(-1, SKETCH)
-                        yield {"rep": part.column("doc_id"), "sketch": [row.tobytes() for row in rows]}
+                        yield {"rep": part.column("node"), "sketch": [row.tobytes() for row in rows]}
 
-            chosen = join_few(self.representatives, wanted, ["doc_id"], ["keyed"], "left_semi")
+            chosen = join_few(self.representatives, wanted, ["node"], ["keyed"], "left_semi")
             made = map_arrow(chosen, sketch, f"rep {self.kind}, sketch binary").dropDuplicates(["rep"])
             self._sketches = written(made, "jaccard-sketches")
         return self._sketches
@@ -367,9 +385,9 @@ class _Join:
                     hashes, bounds = shingle_sets(texts_of(part.column("text")), width)
                     raw = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - ELEMENT_BYTES:].tobytes()
                     edges = (bounds * ELEMENT_BYTES).tolist()
-                    yield {"rep": part.column("doc_id"), "elements": [raw[x:y] for x, y in zip(edges, edges[1:], strict=False)]}
+                    yield {"rep": part.column("node"), "elements": [raw[x:y] for x, y in zip(edges, edges[1:], strict=False)]}
 
-        chosen = join_few(self.representatives, needed, ["doc_id"], ["needed"], "left_semi")
+        chosen = join_few(self.representatives, needed, ["node"], ["needed"], "left_semi")
         sets = written(map_arrow(chosen, read, f"rep {self.kind}, elements binary").dropDuplicates(["rep"]), "jaccard-elements")
         left = join_few(sets.withColumnsRenamed({"elements": "x"}), pairs.withColumnRenamed("a", "pair_a"), ["rep"], ["pair_a"], "inner")
         both = left.withColumnRenamed("rep", "a").join(sets.withColumnsRenamed({"rep": "b", "elements": "y"}), "b")
@@ -400,7 +418,10 @@ class _Join:
 
     def all_links(self) -> DataFrame:
         keys = self.keys()
-        return self.verified(self._pairs(keys, keys, F.col("x.rep") < F.col("y.rep")))
+        found = self.verified(self._pairs(keys, keys, F.col("x.rep") < F.col("y.rep")))
+        if not self.mixed:
+            return found
+        return found.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).filter("a <> b").distinct()
 
     def roots(self) -> DataFrame:
         """(node, root) of the representatives that link with another one."""
@@ -409,6 +430,8 @@ class _Join:
         leaders = keys.groupBy("key", "light").agg(F.min(F.struct("rep", "n")).alias("l")).select("key", "light", "l.*")
         stars = written(self._pairs(leaders, keys, F.col("x.rep") != F.col("y.rep")), "jaccard-stars")
         first = self.verified(stars)
+        if self.mixed:
+            first = written(first.unionByName(self.same_id), "jaccard-same-id")
         roots = written(components(first, "a", "b"), "jaccard-roots")
         # Lists that still hold several components, paired across them.
         labelled = keys.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
@@ -470,9 +493,9 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     join = _Join(chosen, width, numerator, denominator)
     roots = join.roots()
     classes = join.classes.join(roots, F.col("rep") == F.col("node"), "left").select(
-        "n", "k1", "k2", F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("component_id")
-    )
-    rows = join.sets.join(classes, ["n", "k1", "k2"], "left").select(
+        "n", "k1", "k2", F.coalesce("root", "rep").alias("root"), join.id_of("rep").alias("class_id")
+    ).withColumn("component_id", join.id_of("root"))
+    rows = join.sets.join(classes.drop("root"), ["n", "k1", "k2"], "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce("class_id", "doc_id").alias("class_id"),

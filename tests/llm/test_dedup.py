@@ -9,9 +9,10 @@ import pytest
 
 from levelbook.llm import jaccard, phrases, suffixes
 from levelbook.llm.components import components
+from levelbook.llm.frames import documents
 from levelbook.llm.scan import RangeHash, anchored_runs, merged, sliding_min, split_words
 
-from .helpers import clashing, docs_of, jaccard_brute, phrases_brute, repeats_brute
+from .helpers import clashing, docs_of, jaccard_brute, phrases_brute, repeats_brute, shingles
 
 
 def texts_with_copies(seed, n=40, words=60, kinds=30):
@@ -129,6 +130,51 @@ def test_jaccard_nameless_and_repeated_rows(spark):
     assert sorted(str(r.doc_id) for r in kept) == ["1", "8", "9", "None"]
 
 
+def several_texts_brute(rows, width):
+    """(id, set size, component) per row, where rows of one id are one document."""
+    sets = [shingles(t, width) for _, t in rows]
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for x, (i, _) in zip(sets, rows, strict=True):
+        for y, (j, _) in zip(sets, rows, strict=True):
+            if x and y and 100 * len(x & y) >= 75 * len(x | y):
+                low, high = sorted((find(i), find(j)))
+                root[high] = low
+    return sorted((i, len(s), find(i) if s else i) for s, (i, _) in zip(sets, rows, strict=True))
+
+
+@pytest.mark.parametrize("backwards", [False, True])
+def test_jaccard_with_several_texts_under_one_id(spark, backwards):
+    """All texts of an id take part, whatever the order of the rows."""
+    one, two = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, one), (1, two), (2, one + " x"), (3, two + " x"), (3, ""), (4, two), (5, "q r"), (6, "q r")]
+    rows += [(i % 25 + 10, t) for i, t in enumerate(texts_with_copies(9, n=50, words=40))]
+    rows = rows[::-1] if backwards else rows
+    found = jaccard.components_of(docs_of(spark, rows), width=2).collect()
+    expected = several_texts_brute(rows, 2)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == expected
+    assert {r.doc_id: r.component_id for r in found if r.n_shingles and r.doc_id < 5} == {1: 1, 2: 1, 3: 1, 4: 1}
+    kept = jaccard.keep_one(docs_of(spark, rows), width=2).collect()
+    gone = {i for i, _, component in expected if component < i}
+    assert sorted((r.doc_id, r.text or "") for r in kept) == sorted({(i, t or "") for i, t in rows if i not in gone})
+    links = {(r.a, r.b) for r in jaccard.links(docs_of(spark, rows[:8] if not backwards else rows[-8:]), width=2).collect()}
+    assert links == {(1, 2), (1, 3)}
+
+
+def test_spans_of_repeated_rows_are_held_once(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = documents(docs_of(spark, [(None, text)] * 50 + [(1, text), (2, text), (2, text)]), "doc_id", "text")
+    sizes = {len(r.spans) for r in suffixes.repeated_spans(docs, 40, 8).collect()}
+    assert max(sizes) <= 2 * len(text)
+    spans = [r for r in phrases.repeated_spans(docs, 10, 4).collect()]
+    assert {r.doc_id for r in spans} == {2} and all(len(r.spans) <= 2 * 30 for r in spans)
+
+
 def test_boundary_has_the_least_cost():
     assert jaccard.choose_boundary([(10, 5.0, 1000), (100, 1e9, 50)], 75, 100) >= 10
     assert jaccard.choose_boundary([(10, 5000.0, 10), (100, 1e9, 50)], 75, 100) < 10
