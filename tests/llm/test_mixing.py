@@ -53,26 +53,44 @@ def test_scores_are_those_of_learnt_text(spark):
     assert len(usual) > 10 and max(usual) < 2.0
 
 
+def chunk_of(seen, after, edges=()):
+    """A chunk of words with their counts, and of (word before, front) with theirs."""
+    words = sorted(seen)
+    rows = sorted((words.index(p), front, n) for (p, front), n in after.items())
+    return mixing.Chunk(
+        words, np.array([seen[w] for w in words], dtype=np.int64),
+        np.bincount([r[0] for r in rows], minlength=len(words)), np.array([r[1] for r in rows], dtype=np.uint16),
+        np.array([r[2] for r in rows], dtype=np.int64), np.array(edges, dtype=np.uint64),
+    )
+
+
+def learnt(chunk):
+    """The table of short contexts and the model of one chunk."""
+    keys = mixing.Sums()
+    for k, n in chunk.short_contexts():
+        keys.add(k, n)
+    model = mixing.Model()
+    short = mixing.short_nodes(mixing.packed(*keys.total()))
+    model.weights, _ = mixing.learn_chunk(chunk, short, model.cells)
+    return short, model
+
+
 def test_probabilities_sum_to_one():
-    """Over all first bytes of a word, and so at every byte, probabilities sum to one."""
-    bits = 12
-    words, counts = [b"the", b"cat", b"then", b""], np.array([50, 10, 3, 20])
-    table = np.zeros((mixing.CONTEXTS << bits, 2), dtype=np.int64)
-    mixing.count_slots(words, counts, bits, table)
-    weights = mixing.first_weights()
-    mixing.learn_weights(words, counts, bits, table, weights)
-    cells = np.zeros((256 * 8 * mixing.STEPS, 2))
-    mixing.count_refinement(words, counts, bits, table, weights, cells)
-    scorer = mixing.Scorer(table, weights, cells, bits)
-    # A closed word costs its bytes and then a space; all single bytes with what follows are tried.
-    singles = [bytes([c]) for c in range(256) if c not in (0x20, 0x0A)]
-    first = []
-    for one in singles:
-        both = scorer.score([one])[0]
-        follow = 10 ** both
-        first.append(follow)
-    assert sum(first) + 10 ** scorer.score([b""])[0] <= 1.0 + 1e-6
-    assert 10 ** scorer.score([b"the"])[0] > 0.2
+    """Over all fronts after a word, and over all bytes after a beginning, probabilities sum to one."""
+    seen = {b"the": 50, b"cat": 10, b"then": 3, b"": 20}
+    every = {(b"cat", f): 0 for f in range(1 << 16) if f >> 8 != mixing.END} | {(b"cat", mixing.END << 8): 2}
+    every[b"cat", ord("t") << 8 | ord("h")] = 7
+    chunk = chunk_of(seen, every | {(b"", ord("c") << 8 | ord("a")): 10})
+    short, model = learnt(chunk)
+    _, fronts = mixing.score_chunk(chunk, short, model)
+    after_cat = fronts[np.repeat(np.arange(len(chunk.words)), chunk.fan) == chunk.words.index(b"cat")]
+    assert (10 ** after_cat).sum() == pytest.approx(1.0, abs=1e-4)
+    coded = mixing.code_rests([b"the"], np.array([1]))
+    first = coded.part(np.zeros(256, dtype=np.int64))
+    first.symbols = np.arange(256)
+    cost = mixing.costs(1, first, [short, short, short, chunk.beginnings], model)
+    assert (10 ** cost).sum() == pytest.approx(1.0, abs=1e-4)
+    assert 10 ** cost[ord("e")] > 0.5
 
 
 def test_defined_cases(spark):
@@ -92,27 +110,95 @@ def test_contexts_share_no_counts(spark):
     assert few == pytest.approx(many, rel=1e-9)
 
 
-@pytest.mark.parametrize("chunk_bytes", [40, 1 << 19])
-def test_context_table_holds_all_counts(spark, chunk_bytes):
-    seen = {b"the": 5, b"then": 2, b"that": 1, b"hat": 4, b"": 3, b"new": 0}
-    words = spark.createDataFrame([(bytearray(w), c) for w, c in seen.items()], "word binary, c long")
-    found = {}
-    for row in mixing._chunks(words, sum(len(w) + 1 for w in seen), chunk_bytes).collect():
-        batch = mixing.pa.RecordBatch.from_pylist([row.asDict()])
-        for own, counts, nodes in mixing._opened([batch]):
-            assert dict(zip(own, counts.tolist(), strict=True)).items() <= seen.items()
-            for word in own:
-                # Bit by bit, the counts of the whole beginning are those of words that begin alike.
-                symbols = mixing.Symbols([word])
-                coded = [(w + b" " if w else b"\n", c) for w, c in seen.items()]
-                mine = word + b" " if word else b"\n"
-                for bit, _, slots, _ in symbols.bits(nodes):
-                    for i in range(len(mine)):
-                        after = [(w[i], c) for w, c in coded if w[:i] == mine[:i] and i < len(w) and w[i] >> (8 - bit) == mine[i] >> (8 - bit)]
-                        ones = sum(c for b, c in after if b >> (7 - bit) & 1)
-                        assert nodes.counts[slots[5, i]].tolist() == [sum(c for _, c in after) - ones, ones]
-                found[word] = True
-    assert set(found) == set(seen)
+def model_parts(spark, rows, chunk_bytes, block_bytes=300):
+    blocks = mixing._blocks(docs_of(spark, rows), "doc_id", "text", block_bytes)
+    bounds = mixing._bounds(blocks, max(1, chunk_bytes // 16))
+    chunks = mixing._chunks(mixing._packs(blocks, bounds), bounds)
+    short = mixing._short_table(chunks)
+    return bounds, chunks, short, mixing._learnt(chunks, short)
+
+
+def brute_counts(rows, bounds):
+    """Per (predictor, context, bits so far): zeros and ones, from the texts one by one. Contexts are spelt out."""
+    edges = {b[:k] for b in bounds for k in range(2, len(b) + 1)}
+
+    def coded(text):
+        before = b""
+        for word in [*text.encode().lower().split(), b""]:
+            whole = word + b" " if word else b"\n"
+            for i, byte in enumerate(whole):
+                so_far = whole[:i]
+                if i < 2:
+                    names = [("start", so_far), ("tail", before[-2:], so_far), ("before", before, so_far)]
+                else:
+                    names = [("one", so_far[-1:]), ("two", so_far[-2:], i == 2),
+                             ("three", so_far[-3:], min(i, 4)), ("whole", None if so_far in edges else so_far)]
+                yield byte, i, so_far, names
+            before = word
+
+    counts = Counter()
+    for i, text in rows:
+        if zlib.crc32(str(i).encode()) % 10:
+            for byte, _, _, names in coded(text):
+                for name in names:
+                    if None not in name:
+                        for bit in range(8):
+                            counts[name, bit, byte >> (8 - bit), byte >> (7 - bit) & 1] += 1
+    return coded, counts
+
+
+@pytest.mark.parametrize("chunk_bytes", [16, 60, 1 << 19])
+def test_scores_against_a_brute_mixer(spark, chunk_bytes):
+    """Under the learnt weights, every score is that of contexts counted one by one, however the vocabulary is cut."""
+    rows = list(enumerate([*corpus(60), "then that hat a an", "", "the thé theme themes themed"], 1))
+    bounds, _, _, model = model_parts(spark, rows, chunk_bytes)
+    assert len(bounds) > 3 or chunk_bytes > 100
+    coded, counts = brute_counts(rows, bounds)
+
+    def level(n):
+        return min(int(n).bit_length(), mixing.LEVELS - 1)
+
+    def probability(byte, i, so_far, names):
+        total = 0.0
+        kind = int(i >= 2)
+        for bit in range(8):
+            pairs = [[counts[name, bit, byte >> (8 - bit), v] for v in (0, 1)] for name in names]
+            odds = [math.log((one + mixing.PRIOR) / (zero + mixing.PRIOR)) for zero, one in pairs]
+            levels = [level(sum(pair)) for pair in pairs]
+            gates = [levels[g[0]] * 8 + bit if len(g) == 1 else levels[g[0]] * mixing.LEVELS + levels[g[1]]
+                     for g in mixing.KINDS[kind].gating]
+            mixed = [max(-12.0, min(12.0, sum(a * b for a, b in zip(own[g], odds, strict=True))))
+                     for g, own in zip(gates, model.weights[kind], strict=True)]
+            mean = sum(mixed) / len(mixed)
+            last = so_far[-1] if so_far else 0
+            cell = kind * mixing.CELLS + (last * 8 + bit) * mixing.STEPS + round((mean + 12) * (mixing.STEPS - 1) / 24)
+            p = 0.5 / (1 + math.exp(-mean)) + 0.5 * model.refined[cell]
+            total += math.log10(p if byte >> (7 - bit) & 1 else 1 - p)
+        return total
+
+    found = mixing.score(docs_of(spark, rows), block_bytes=300, chunk_bytes=chunk_bytes).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        expected = sum(probability(*step) for step in coded(rows[r.doc_id - 1][1]))
+        assert r.score == pytest.approx(expected, rel=1e-4)
+
+
+@pytest.mark.parametrize("chunk_bytes", [16, 1 << 19])
+def test_chunks_hold_all_counts(spark, chunk_bytes):
+    """Words, and fronts after words, are counted once over all blocks and chunks."""
+    rows = list(enumerate(corpus(60), 1))
+    words, after = Counter(), Counter()
+    for i, text in rows:
+        if zlib.crc32(str(i).encode()) % 10:
+            own = [b"", *text.encode().split(), b""]
+            words.update(own[1:])
+            after.update((p, int(mixing.fronts_of([w])[0])) for p, w in zip(own, own[1:]))
+    got_words, got_after = Counter(), Counter()
+    for chunk in mixing._opened(model_parts(spark, rows, chunk_bytes)[1].toArrow().to_batches()):
+        got_words.update(dict(zip(chunk.words, chunk.counts.tolist(), strict=True)))
+        before = np.repeat(np.arange(len(chunk.words)), chunk.fan)
+        got_after.update({(chunk.words[p], int(f)): int(n) for p, f, n in zip(before, chunk.fronts, chunk.seen, strict=True)})
+    assert +got_words == words and +got_after == after
 
 
 def test_order_of_words_counts(spark):
