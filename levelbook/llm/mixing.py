@@ -39,6 +39,7 @@ from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,7 @@ from levelbook.llm.scan import RangeHash, mix
 
 SLOT_BITS = 19
 # The vocabulary is cut into chunks of about this many bytes.
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
 # At most about so many chunks, as their bounds are sent to every task.
 CHUNKS_BITS = 30
 BLOCK_BYTES = 16 << 20
@@ -82,13 +83,13 @@ SHORT_BITS = 18
 # The table of short contexts is put together in so many parts.
 PARTS = 16
 # Sums by key are merged whenever so many entries have come together.
-MERGE_AT = 1 << 22
+MERGE_AT = 1 << 20
 
 
 @dataclass(frozen=True)
 class Kind:
-    """A set of predictors and its gates: the predictors whose levels choose weights; one alone does
-    so together with the number of the bit."""
+    """A set of predictors and its gates: the predictors whose levels choose weights (never the first); one
+    alone does so together with the number of the bit."""
 
     predictors: int
     gating: tuple[tuple[int, ...], ...]
@@ -180,7 +181,7 @@ class Nodes:
         new[1:] = contexts[1:] != contexts[:-1]
         self.contexts = contexts[new]
         path = (np.cumsum(new) - 1) << 8 | symbols.astype(np.int64)
-        counts, edges, base, last = [np.zeros((1, 2))], [], 1, None
+        counts, edges, base, last = [np.zeros((1, 2), dtype=np.float32)], [], 1, None
         for b in range(8):
             prefix = path >> (8 - b)
             new[1:] = prefix[1:] != prefix[:-1]
@@ -189,21 +190,21 @@ class Nodes:
                 edges.append((last[new], node[new]))
             last = node * 2 + (path >> (7 - b) & 1)
             size = int(new.sum())
-            counts.append(np.bincount(last - base * 2, weights=seen, minlength=size * 2).reshape(-1, 2))
+            counts.append(np.bincount(last - base * 2, weights=seen, minlength=size * 2).reshape(-1, 2).astype(np.float32))
             base += size
-        self.counts = np.concatenate(counts)
-        self.child = np.zeros(base * 2, dtype=np.int64)
+        self.child = np.zeros(base * 2, dtype=np.int32 if base < 1 << 30 else np.int64)
         for place, node in edges:
             self.child[place] = node
-        self.zeros = self.counts[:, 0].astype(np.float32)
-        self.ones = self.counts[:, 1].astype(np.float32)
+        self.zeros, self.ones = (np.concatenate([c[:, v] for c in counts]) for v in (0, 1))
 
     def roots(self, contexts: np.ndarray) -> np.ndarray:
         """The first nodes of some contexts."""
         if not len(self.contexts):
-            return np.zeros(len(contexts), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.contexts, contexts), len(self.contexts) - 1)
-        return np.where(self.contexts[at] == contexts, at + 1, 0)
+            return np.zeros(len(contexts), dtype=self.child.dtype)
+        # Equal contexts are looked up once, and the others in order, which keeps the search local.
+        wanted, place = np.unique(contexts, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.contexts, wanted), len(self.contexts) - 1)
+        return np.where(self.contexts[at] == wanted, at + 1, 0).astype(self.child.dtype)[place]
 
     @cached_property
     def odds(self) -> np.ndarray:
@@ -251,7 +252,8 @@ class Coded:
         for b in range(8):
             value = (self.symbols >> (7 - b) & 1).astype(bool)
             yield b, value, rows
-            rows = [n.child[row * 2 + value] for n, row in zip(nodes, rows, strict=True)]
+            if b < 7:
+                rows = [n.child[row * 2 + value] for n, row in zip(nodes, rows, strict=True)]
 
 
 def _short(kind: int, payload: np.ndarray, hashed: bool = False) -> np.ndarray:
@@ -369,8 +371,8 @@ class Chunk:
     @cached_property
     def beginnings(self) -> Nodes:
         """What came after the beginnings of the chunk's words."""
-        found = [g for _, g in self.groups(np.flatnonzero(self.counts))]
-        return _tree([g.contexts[3] for g in found], [g.symbols for g in found], [g.seen for g in found], self.edges)
+        found = [(g.contexts[3], g.symbols.astype(np.uint8), g.seen) for _, g in self.groups(np.flatnonzero(self.counts))]
+        return _tree(*([f[i] for f in found] for i in range(3)), self.edges)
 
     @cached_property
     def after(self) -> Nodes:
@@ -380,8 +382,7 @@ class Chunk:
 
     def short_contexts(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Short contexts with the byte after, as one number, and how often."""
-        coded = [self.coded_fronts[0], *(g for _, g in self.groups(np.flatnonzero(self.counts)))]
-        for some in coded:
+        for some in chain([self.coded_fronts[0]], (g for _, g in self.groups(np.flatnonzero(self.counts)))):
             used = some.part(some.seen > 0)
             for context in used.contexts[:-1]:
                 yield summed([context << np.uint64(8) | used.symbols.astype(np.uint64)], [used.seen])
@@ -408,16 +409,22 @@ def _mixed(odds: list[np.ndarray], gates: list[np.ndarray], weights: list[np.nda
     """The log odds that each set of weights gives."""
     out = []
     for gate, own in zip(gates, weights, strict=True):
-        total = own[:, 0][gate] * odds[0]
+        columns = np.ascontiguousarray(own.T)
+        total = columns[0][gate] * odds[0]
         for k in range(1, len(odds)):
-            total += own[:, k][gate] * odds[k]
+            total += columns[k][gate] * odds[k]
         out.append(np.clip(total, -12.0, 12.0))
     return out
 
 
-def _cell(kind: int, last: np.ndarray, bit: int, mixed: np.ndarray) -> np.ndarray:
-    step = np.rint((mixed + 12.0) * ((STEPS - 1) / 24.0)).astype(np.int64)
-    return kind * CELLS + (last * 8 + bit) * STEPS + step
+def _cells(kind: int, bit: int) -> slice:
+    """The refinement's part for a bit: a cell per byte before and step of the log odds."""
+    first = (kind * 8 + bit) * 256 * STEPS
+    return slice(first, first + 256 * STEPS)
+
+
+def _cell(last: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+    return last * STEPS + np.rint((mixed + 12.0) * ((STEPS - 1) / 24.0)).astype(np.int64)
 
 
 def learn_from(kind: int, coded: Coded, nodes: list[Nodes], weights: list[np.ndarray], cells: np.ndarray) -> float:
@@ -434,12 +441,11 @@ def learn_from(kind: int, coded: Coded, nodes: list[Nodes], weights: list[np.nda
                 ones = np.maximum(n.ones[row] - one, 0)
                 zeros = np.maximum(n.zeros[row] - (1 - one), 0)
                 odds.append(np.log((ones + np.float32(PRIOR)) / (zeros + np.float32(PRIOR))))
-                levels.append(_level(zeros + ones))
+                levels.append(_level(zeros + ones) if len(levels) else None)
             gates = KINDS[kind].rows(levels, bit)
             mixed = _mixed(odds, gates, weights)
-            cell = _cell(kind, some.last, bit, sum(mixed) / len(mixed))
-            cells[:, 0] += np.bincount(cell, weights=importance * ~value, minlength=len(cells))
-            cells[:, 1] += np.bincount(cell, weights=importance * value, minlength=len(cells))
+            cell = _cell(some.last, sum(mixed) / len(mixed)) * 2 + value
+            cells[_cells(kind, bit)] += np.bincount(cell, weights=importance, minlength=512 * STEPS).reshape(-1, 2)
             strength = sum(o * o for o in odds) * importance
             for gate, own_mixed, own in zip(gates, mixed, weights, strict=True):
                 error = (value - _logistic(own_mixed)) * importance
@@ -466,10 +472,11 @@ def costs(kind: int, coded: Coded, nodes: list[Nodes], model: Model) -> np.ndarr
     for some in coded.parts(GROUP_BYTES):
         bits = np.zeros(len(some.symbols))
         for bit, value, rows in some.bits(nodes):
-            gates = KINDS[kind].rows([n.level[row].astype(np.int64) for n, row in zip(nodes, rows, strict=True)], bit)
+            levels = [None, *(n.level[row].astype(np.int64) for n, row in zip(nodes[1:], rows[1:], strict=True))]
+            gates = KINDS[kind].rows(levels, bit)
             mixed = _mixed([n.odds[row] for n, row in zip(nodes, rows, strict=True)], gates, model.weights[kind])
             mean = sum(mixed) / len(mixed)
-            p = 0.5 * _logistic(mean) + 0.5 * model.refined[_cell(kind, some.last, bit, mean)]
+            p = 0.5 * _logistic(mean) + 0.5 * model.refined[_cells(kind, bit)][_cell(some.last, mean)]
             p = np.clip(p, 1e-7, 1 - 1e-7)
             bits += np.log10(np.where(value, p, 1 - p))
         out.append(bits)
@@ -525,24 +532,27 @@ class _Block:
         words = [names[i] for i in order]
         rank = np.empty(len(names), dtype=np.uint32)
         rank[order] = np.arange(len(names), dtype=np.uint32)
-        fronts, train, pairs = fronts_of(words), np.zeros(len(words), dtype=np.int64), Sums()
+        fronts, train, keys = fronts_of(words), np.zeros(len(words), dtype=np.int64), []
         id_type = None
         for batch, numbers, sizes in self.batches:
             held = batch.column("held_out").to_pylist()
             id_type = batch.schema.field("doc_id").type
             coded = [rank[s] for s in numbers]
-            for s, out in zip(coded, held, strict=True):
-                key = keys_of(s, fronts)
-                pairs.add(key, np.full(len(key), not out))
-                if not out:
-                    train += np.bincount(s, minlength=len(words))
+            keys += [keys_of(s, fronts) << np.uint64(1) | np.uint64(not out) for s, out in zip(coded, held, strict=True)]
+            learnt = [s for s, out in zip(coded, held, strict=True) if not out]
+            if learnt:
+                train += np.bincount(np.concatenate(learnt), minlength=len(words))
             n = len(numbers)
             yield {
                 "block": [block] * n, "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"),
                 "n_tokens": [len(s) for s in coded], "n_bytes": sizes, "words": [None] * n,
                 "numbers": [packed(s) for s in coded],
             }
-        keys, seen = pairs.total()
+        keys = np.sort(np.concatenate(keys))
+        learnt = (keys & np.uint64(1)).astype(np.int64)
+        keys >>= np.uint64(1)
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        keys, seen = keys[first], np.add.reduceat(learnt, first)
         fan = np.bincount((keys >> np.uint64(16)).astype(np.int64), minlength=len(words))
         yield {
             "block": [block], "doc_id": pa.nulls(1, id_type), "held_out": [None], "n_tokens": [None], "n_bytes": [None],

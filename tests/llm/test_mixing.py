@@ -171,7 +171,7 @@ def test_scores_against_a_brute_mixer(spark, chunk_bytes):
                      for g, own in zip(gates, model.weights[kind], strict=True)]
             mean = sum(mixed) / len(mixed)
             last = so_far[-1] if so_far else 0
-            cell = kind * mixing.CELLS + (last * 8 + bit) * mixing.STEPS + round((mean + 12) * (mixing.STEPS - 1) / 24)
+            cell = ((kind * 8 + bit) * 256 + last) * mixing.STEPS + round((mean + 12) * (mixing.STEPS - 1) / 24)
             p = 0.5 / (1 + math.exp(-mean)) + 0.5 * model.refined[cell]
             total += math.log10(p if byte >> (7 - bit) & 1 else 1 - p)
         return total
