@@ -30,6 +30,7 @@ from levelbook.operators.filters import (
     state_filter,
 )
 from levelbook.operators.pages import SortedReport
+from levelbook.operators.profiles import ProfileStore
 from levelbook.plans import improvement, levels, logins, questionnaire, roster, series
 from levelbook.plans.refresh import ImprovementStore
 from levelbook.sources import TableSet, check_keys
@@ -81,6 +82,16 @@ def _profile_text(profile: DataFrame) -> DataFrame:
     return profile.withColumn("values", F.array_join("values", " | "))
 
 
+def _merged_profile(t: TableSet) -> DataFrame:
+    """The roster's profile from those of two loads: teachers registered before mid-January, and all others."""
+    rows = _roster(t)
+    store = ProfileStore(rows.sparkSession, staged_path(rows.sparkSession, "profiles"))
+    early = F.coalesce(F.col("data_cadastro_professor") < F.lit(datetime(2024, 1, 15)), F.lit(False))
+    store.add(rows.filter(early), "early")
+    store.add(rows.filter(~early), "late")
+    return _profile_text(store.profile().drop("n_estimated"))
+
+
 def _month_starts(t: TableSet) -> DataFrame:
     """The improvement rows with their month as a text like 1996/03."""
     number = F.lpad(month_number(F.col("mes_sondagem")).cast("string"), 2, "0")
@@ -244,6 +255,7 @@ _QUERIES: dict[str, Callable[[TableSet], DataFrame]] = {
     "overall_improvement_rate": lambda t: improvement.overall_improvement_rate(improvement.class_improvement(t)),
     # filters and type repairs
     "filter_profile": lambda t: _profile_text(profile_columns(_roster(t))),
+    "filter_profile_merged": _merged_profile,
     "filter_profile_exact": lambda t: _profile_text(profile_columns(_logins(t), exact_counts=True)),
     "filter_in": lambda t: apply_filters(
         _roster(t), [FilterSpec("cidade_escola", CATEGORICAL, values=["ASIA", "EUROPE", None])]

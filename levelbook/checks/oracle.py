@@ -431,6 +431,7 @@ FROM report""")
 
     # filters and type repairs
     sql["filter_profile"] = on(roster, _profile(_ROSTER_PROFILED, exact=False))
+    sql["filter_profile_merged"] = sql["filter_profile"]
     sql["filter_profile_exact"] = on("logins", _profile(_PROFILED, exact=True))
     sql["filter_in"] = on(roster, """
 SELECT * FROM report WHERE cidade_escola IN ('ASIA', 'EUROPE') OR cidade_escola IS NULL""")
