@@ -16,10 +16,14 @@ The boundary is the one with the least cost, the sum of subset keys and of list
 computed from the sizes and list lengths of all sets. Elements that only one set has among its
 first are dropped before, from counts that each task combines first.
 
-Candidates are first compared by histograms of their hashes, whose common part is never smaller
-than the overlap of the sets, and then verified on whole sets. For components, not all pairs of a list are needed:
-first every member meets the least member of its lists; what links joins, and only lists that
-then still hold several components are paired, across components. :func:`links` pairs all.
+An entry knows the place of its element in the order of its set. Where two sets first meet,
+nothing before is common, so what is left from there on, in the shorter rest, has to hold the whole
+overlap; lists pair only entries for which it can. Candidates are then compared by histograms of
+their hashes, whose common part is never smaller than the overlap of the sets, and verified on whole
+sets: each is sent once to every partner with a smaller id, in groups of bounded size.
+For components, not all pairs of a list are needed: first every member meets the least member of
+its lists; what links joins, and only lists that then still hold several components are paired,
+across components. :func:`links` pairs all.
 
 Defined cases: a NULL or empty text has an empty set and links with nothing; a text with fewer
 words than a shingle has one element; rows under one id are one document, which has the links of
@@ -57,6 +61,9 @@ TABLE_BITS = 26
 SKETCH = 256
 # Elements travel to their comparison by so many bytes of their hashes.
 ELEMENT_BYTES = 6
+# About so many sets are compared with one copy of another; each task hands on this many bytes at a time.
+GROUP_SETS = 64
+SENT_BYTES = 1 << 22
 
 
 def shingle_sets(texts: list[bytes], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +89,10 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """Size and two keys of each document's set, and the frequent elements of each batch."""
+    """Size, two keys and histogram of each document's set, and the frequent elements of each batch.
+
+    The histogram says how many elements fall into each of :data:`SKETCH` buckets.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -92,12 +102,16 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 hashes, bounds = shingle_sets(texts_of(part.column("text")), width)
                 seen.append(hashes)
                 none = [None] * part.num_rows
+                bucket = np.repeat(np.arange(part.num_rows) * SKETCH, np.diff(bounds)) + (hashes & np.uint64(SKETCH - 1)).astype(np.int64)
+                held = np.bincount(bucket, minlength=part.num_rows * SKETCH)
+                rows = np.minimum(held, 65535).astype("<u2").reshape(-1, SKETCH)
                 yield {
                     "doc_id": part.column("doc_id"),
                     "text_key": part.column("text_key"),
                     "n": np.diff(bounds),
                     "k1": _sums(mix(hashes ^ np.uint64(0x243F6A8885A308D3)), bounds).view(np.int64),
                     "k2": _sums(mix(hashes ^ np.uint64(0x13198A2E03707344)), bounds).view(np.int64),
+                    "sketch": [row.tobytes() for row in rows],
                     "element": none,
                     "seen": none,
                 }
@@ -107,10 +121,10 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             none = [None] * len(values)
             yield {
                 "doc_id": pa.nulls(len(values), batch.schema.field("doc_id").type), "text_key": none, "n": none, "k1": none,
-                "k2": none, "element": values.view(np.int64), "seen": counts,
+                "k2": none, "sketch": none, "element": values.view(np.int64), "seen": counts,
             }
 
-    schema = f"doc_id {kind}, text_key long, n long, k1 long, k2 long, element long, seen long"
+    schema = f"doc_id {kind}, text_key long, n long, k1 long, k2 long, sketch binary, element long, seen long"
     return map_arrow(docs, work, schema)
 
 
@@ -120,8 +134,9 @@ def least_overlap(sizes: np.ndarray, numerator: int, denominator: int) -> np.nda
 
 def _first_elements(
     hashes: np.ndarray, bounds: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], numerator: int, denominator: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """Per set its first elements (one more for sets that can be light), and the sets they are of."""
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per set its first elements (one more for sets that can be light), the sets they are of, and
+    their places in the order of the set."""
     sizes = np.diff(bounds)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     elements, levels = frequent
@@ -132,13 +147,13 @@ def _first_elements(
     length = sizes - least_overlap(sizes, numerator, denominator) + 1 + (sizes <= LIGHT_MOST)
     rank = np.arange(len(hashes)) - np.repeat(bounds[:-1], sizes)
     chosen = rank < np.repeat(length, sizes)
-    return hashes[chosen], owner[chosen]
+    return hashes[chosen], owner[chosen], rank[chosen]
 
 
 def _elements_of(
     texts: list[bytes], frequent: tuple[np.ndarray, np.ndarray], width: int, numerator: int, denominator: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First elements of the sets of texts, their owners, and the sizes of the sets."""
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First elements of the sets of texts, their owners and places, and the sizes of the sets."""
     hashes, bounds = shingle_sets(texts, width)
     return (*_first_elements(hashes, bounds, frequent, numerator, denominator), np.diff(bounds))
 
@@ -180,7 +195,6 @@ class _Join:
         self.docs = docs.filter(F.col("doc_id").isNotNull())
         self.width, self.numerator, self.denominator = width, numerator, denominator
         self.spark = docs.sparkSession
-        self._sketches: DataFrame | None = None
         found = written(_sets(self.docs, width), "jaccard-sets")
         self.sets = found.filter(F.col("n").isNotNull()).drop("element", "seen")
         often = (
@@ -194,10 +208,12 @@ class _Join:
         self.frequent = self.spark.sparkContext.broadcast((elements[order], levels[order]))
         named = self.sets.filter("n > 0")
         one = F.struct("n", "k1", "k2")
-        several = written(
-            named.groupBy("doc_id").agg(F.min(one).alias("p"), F.max(one).alias("q")).filter("p < q").select("doc_id"),
+        again = written(
+            named.groupBy("doc_id").agg(F.min(one).alias("p"), F.max(one).alias("q"), F.count(F.lit(1)).alias("rows"))
+            .filter("rows > 1").select("doc_id", F.expr("p < q").alias("differ")),
             "jaccard-several",
         )
+        several = again.filter("differ").select("doc_id")
         # Nodes are ids; where ids have several sets, ids with the keys of their texts.
         self.mixed = not several.isEmpty()
         node = F.struct("doc_id", "text_key") if self.mixed else F.col("doc_id")
@@ -221,7 +237,14 @@ class _Join:
             "jaccard-copies",
         )
         self.representatives = join_few(self.docs, copies, ["doc_id", "text_key"], ["copy_id", "copy_key"], "left_anti")
+        # Of rows with equal id and text one takes part.
+        self.repeated = not again.isEmpty()
+        if self.repeated:
+            ids = again.select(F.col("doc_id").alias("again"))
+            once = join_few(self.representatives, ids, ["doc_id"], ["again"], "left_semi").dropDuplicates(["doc_id", "text_key"])
+            self.representatives = join_few(self.representatives, ids, ["doc_id"], ["again"], "left_anti").unionByName(once)
         self.representatives = self.representatives.withColumn("node", node)
+        self.node = node
 
     def id_of(self, node: str) -> Column:
         return F.col(f"{node}.doc_id") if self.mixed else F.col(node)
@@ -235,7 +258,7 @@ class _Join:
             for batch in batches:
                 held = []
                 for part in sub_batches(batch):
-                    hashes, _, _ = _elements_of(texts_of(part.column("text")), frequent.value, *rule)
+                    hashes, *_ = _elements_of(texts_of(part.column("text")), frequent.value, *rule)
                     held.append(hashes >> np.uint64(64 - SHORT_BITS))
                 values, counts = np.unique(np.concatenate(held), return_counts=True)
                 edges = np.searchsorted(values, np.arange((1 << BUCKET_BITS) + 1, dtype=np.uint64) << np.uint64(SHORT_BITS - BUCKET_BITS))
@@ -274,7 +297,8 @@ class _Join:
         return written(map_arrow(dealt, count, "short long"), "jaccard-shared")
 
     def entries(self) -> DataFrame:
-        """(element, rep, n): first elements of sets that at least one other set has too.
+        """(element, rep, n, rank): first elements of sets that at least one other set has too, and
+        their places in the order of the set.
 
         A bit table of fixed size, by the leading bits, keeps most other elements from being
         sent to the join that decides.
@@ -287,22 +311,23 @@ class _Join:
             table = bits.value
             for batch in batches:
                 for part in sub_batches(batch):
-                    hashes, owner, sizes = _elements_of(texts_of(part.column("text")), frequent.value, *rule)
+                    hashes, owner, rank, sizes = _elements_of(texts_of(part.column("text")), frequent.value, *rule)
                     lead = hashes >> np.uint64(64 - TABLE_BITS)
                     likely = table[lead >> np.uint64(3)] >> (lead & np.uint64(7)).astype(np.uint8) & 1 > 0
-                    hashes, owner = hashes[likely], owner[likely]
+                    hashes, owner, rank = hashes[likely], owner[likely], rank[likely]
                     yield {
                         "element": hashes.view(np.int64),
-                        "short": (hashes >> np.uint64(64 - SHORT_BITS)).astype(np.int64),
                         "rep": part.column("node").take(pa.array(owner)),
                         "n": sizes[owner].astype(np.int32),
+                        "rank": rank.astype(np.int32),
                     }
 
-        every = map_arrow(self.representatives, work, f"element long, short long, rep {self.kind}, n int")
-        return written(every.join(shared, "short", "left_semi").drop("short").distinct(), "jaccard-entries")
+        every = map_arrow(self.representatives, work, f"element long, rep {self.kind}, n int, rank int")
+        lead = F.shiftrightunsigned("element", 64 - SHORT_BITS)
+        return written(every.join(shared, lead == F.col("short"), "left_semi"), "jaccard-entries")
 
     def keys(self) -> DataFrame:
-        """(key, light, rep, n): subset keys of light sets and list keys of heavy ones."""
+        """(key, light, rep, n, rank): subset keys of light sets, at rank 0, and list keys of heavy ones."""
         entries = self.entries()
         lists = entries.groupBy("element").agg(F.count(F.lit(1)).alias("length"))
         per_set = entries.join(lists, "element").groupBy("rep", "n").agg(
@@ -314,22 +339,27 @@ class _Join:
         self.boundary = choose_boundary([tuple(r) for r in by_size.collect()], self.numerator, self.denominator)
         b = self.boundary
         heavy = entries.filter(F.col("n") * self.denominator > b * self.numerator).select(
-            F.col("element").alias("key"), F.lit(False).alias("light"), "rep", "n"
+            F.col("element").alias("key"), F.lit(False).alias("light"), "rep", "n", "rank"
         )
         light = entries.filter(F.col("n") <= b).groupBy("rep", "n").agg(F.array_sort(F.collect_set("element")).alias("e"))
         pairs = F.flatten(F.transform("e", lambda x, i: F.transform(
             F.slice("e", i + 2, F.greatest(F.size("e") - i - 1, F.lit(0))), lambda y: F.xxhash64(x, y)
         )))
-        subsets = light.select(F.explode(pairs).alias("key"), F.lit(True).alias("light"), "rep", "n")
-        self._keys = written(heavy.unionByName(subsets), "jaccard-keys")
-        return self._keys
+        subsets = light.select(F.explode(pairs).alias("key"), F.lit(True).alias("light"), "rep", "n", F.lit(0).alias("rank"))
+        return written(heavy.unionByName(subsets), "jaccard-keys")
 
     def _near(self, n: str, m: str) -> Column:
         """Whether sizes allow the similarity."""
         return F.least(n, m) * self.denominator >= F.greatest(n, m) * self.numerator
 
+    def _enough(self) -> Column:
+        """Whether the elements of x and y from the common one on can be the whole overlap. They are
+        where two sets first meet in their order, so similar sets pass there."""
+        rest = F.least(F.col("x.n") - F.col("x.rank"), F.col("y.n") - F.col("y.rank")).cast("long")
+        return rest * (self.numerator + self.denominator) >= (F.col("x.n").cast("long") + F.col("y.n")) * self.numerator
+
     def _sketched(self, pairs: DataFrame) -> DataFrame:
-        """The rows of ``pairs`` (a, b) that their histograms do not rule out."""
+        """The rows of ``pairs`` (a, b), a written table, that their histograms do not rule out."""
         numerator, denominator = self.numerator, self.denominator
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -345,74 +375,79 @@ class _Join:
                 keep = pa.array(full | (denominator * common >= numerator * (total - common)), type=pa.bool_())
                 yield {"a": batch.column("a").filter(keep), "b": batch.column("b").filter(keep)}
 
-        left = pairs.join(self.sketches().withColumnsRenamed({"rep": "a", "sketch": "x"}), "a")
-        both = left.join(self.sketches().withColumnsRenamed({"rep": "b", "sketch": "y"}), "b")
+        # Of the sketches only those that pairs may need are sent.
+        made = self.sets.select(self.node.alias("rep"), "sketch")
+        made = made.dropDuplicates(["rep"]) if self.repeated else made
+        a, b = (made.withColumnsRenamed({"rep": node, "sketch": sketch}) for node, sketch in (("a", "x"), ("b", "y")))
+        left = join_few(a, pairs.withColumnRenamed("a", "of"), ["a"], ["of"], "inner")
+        few = pairs.select(F.col("b").alias("of"))
+        both = join_few(b, left.withColumnRenamed("b", "of"), ["b"], ["of"], "inner", few)
         return map_arrow(both.select("a", "b", "x", "y"), compare, f"a {self.kind}, b {self.kind}")
 
-    def sketches(self) -> DataFrame:
-        """(rep, sketch) of the sets that have keys: how many elements fall into each bucket."""
-        if self._sketches is None:
-            width = self.width
-            wanted = written(self._keys.select(F.col("rep").alias("keyed")).distinct(), "jaccard-keyed")
-
-            def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-                for batch in batches:
-                    for part in sub_batches(batch):
-                        hashes, bounds = shingle_sets(texts_of(part.column("text")), width)
-                        owner = np.repeat(np.arange(part.num_rows), np.diff(bounds))
-                        bucket = (hashes & np.uint64(SKETCH - 1)).astype(np.int64)
-                        counts = np.bincount(owner * SKETCH + bucket, minlength=part.num_rows * SKETCH)
-                        rows = np.minimum(counts, 65535).astype("<u2").reshape(-1, SKETCH)
-                        yield {"rep": part.column("node"), "sketch": [row.tobytes() for row in rows]}
-
-            chosen = join_few(self.representatives, wanted, ["node"], ["keyed"], "left_semi")
-            made = map_arrow(chosen, sketch, f"rep {self.kind}, sketch binary").dropDuplicates(["rep"])
-            self._sketches = written(made, "jaccard-sketches")
-        return self._sketches
-
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The rows of ``pairs`` (a, b) whose sets are similar enough."""
-        pairs = written(self._sketched(pairs), "jaccard-pairs")
-        needed = written(
-            pairs.select(F.col("a").alias("needed")).unionByName(pairs.select(F.col("b").alias("needed"))).distinct(),
-            "jaccard-needed",
+        """The rows of ``pairs`` (a, b) whose sets are similar enough.
+
+        The partners of an ``a`` are dealt into groups; its set is sent to each of them, and their
+        sets to theirs, so that a document with very many partners is no burden for one task.
+        """
+        pairs = written(self._sketched(written(pairs, "jaccard-candidates")), "jaccard-pairs")
+        groups = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP_SETS).alias("groups"))
+        dealt = pairs.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), "groups").cast("int").alias("part"))
+        sent = dealt.select(F.col("b").alias("needed"), "a", "part", F.lit(True).alias("partner")).unionByName(
+            dealt.select(F.col("a").alias("needed"), "a", "part", F.lit(False).alias("partner")).distinct()
+        )
+        wanted = written(
+            sent.groupBy("needed").agg(F.collect_list(F.struct("a", "part", "partner")).alias("targets")), "jaccard-needed"
         )
         width, numerator, denominator = self.width, self.numerator, self.denominator
 
-        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+            names = ("a", "part", "partner", "rep", "elements")
             for batch in batches:
                 for part in sub_batches(batch):
                     hashes, bounds = shingle_sets(texts_of(part.column("text")), width)
                     raw = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - ELEMENT_BYTES:].tobytes()
                     edges = (bounds * ELEMENT_BYTES).tolist()
-                    yield {"rep": part.column("node"), "elements": [raw[x:y] for x, y in zip(edges, edges[1:], strict=False)]}
-
-        chosen = join_few(self.representatives, needed, ["node"], ["needed"], "left_semi")
-        sets = written(map_arrow(chosen, read, f"rep {self.kind}, elements binary").dropDuplicates(["rep"]), "jaccard-elements")
-        left = join_few(sets.withColumnsRenamed({"elements": "x"}), pairs.withColumnRenamed("a", "pair_a"), ["rep"], ["pair_a"], "inner")
-        both = left.withColumnRenamed("rep", "a").join(sets.withColumnsRenamed({"rep": "b", "elements": "y"}), "b")
+                    rows, total = [], 0
+                    nodes, targets = part.column("node").to_pylist(), part.column("targets").to_pylist()
+                    for node, to, x, y in zip(nodes, targets, edges, edges[1:], strict=False):
+                        elements = raw[x:y]
+                        for t in to:
+                            rows.append((t["a"], t["part"], t["partner"], node, elements))
+                            total += len(elements)
+                            if total >= SENT_BYTES:
+                                yield {name: [row[i] for row in rows] for i, name in enumerate(names)}
+                                rows, total = [], 0
+                    yield {name: [row[i] for row in rows] for i, name in enumerate(names)}
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+            x = None
             for batch in batches:
                 keep = []
-                for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                    x, y = _numbers(x), _numbers(y)
+                for partner, raw in zip(batch.column("partner").to_pylist(), batch.column("elements").to_pylist(), strict=True):
+                    y = _numbers(raw)
+                    if not partner:
+                        x = y
+                        keep.append(False)
+                        continue
                     together = np.concatenate([x, y])
                     together.sort(kind="stable")
                     common = int((together[1:] == together[:-1]).sum())
                     keep.append(denominator * common >= numerator * (len(x) + len(y) - common))
                 keep = pa.array(keep, type=pa.bool_())
-                yield {"a": batch.column("a").filter(keep), "b": batch.column("b").filter(keep)}
+                yield {"a": batch.column("a").filter(keep), "b": batch.column("rep").filter(keep)}
 
-        compared = map_arrow(both.select("a", "b", "x", "y"), compare, f"a {self.kind}, b {self.kind}")
-        return written(compared, "jaccard-links")
+        chosen = join_few(self.representatives, wanted, ["node"], ["needed"], "inner")
+        sets = map_arrow(chosen, send, f"a {self.kind}, part int, partner boolean, rep {self.kind}, elements binary")
+        met = sets.repartition("a", "part").sortWithinPartitions("a", "part", "partner")
+        return written(map_arrow(met, compare, f"a {self.kind}, b {self.kind}"), "jaccard-links")
 
     def _pairs(self, keys: DataFrame, other: DataFrame, apart) -> DataFrame:
         """Distinct candidate pairs a < b of two tables of keys."""
         x, y = keys.alias("x"), other.alias("y")
         met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.light") == F.col("y.light")) & apart)
         heavy = F.col("x.light") | (F.greatest("x.n", "y.n") > self.boundary)
-        return met.filter(self._near("x.n", "y.n") & heavy).select(
+        return met.filter(self._near("x.n", "y.n") & heavy & self._enough()).select(
             F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")
         ).distinct()
 
@@ -427,7 +462,7 @@ class _Join:
         """(node, root) of the representatives that link with another one."""
         keys = self.keys()
         # Every member of a list with the least one.
-        leaders = keys.groupBy("key", "light").agg(F.min(F.struct("rep", "n")).alias("l")).select("key", "light", "l.*")
+        leaders = keys.groupBy("key", "light").agg(F.min(F.struct("rep", "n", "rank")).alias("l")).select("key", "light", "l.*")
         stars = written(self._pairs(leaders, keys, F.col("x.rep") != F.col("y.rep")), "jaccard-stars")
         first = self.verified(stars)
         if self.mixed:

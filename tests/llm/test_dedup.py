@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from levelbook.llm import jaccard, phrases, suffixes
 from levelbook.llm.components import components
@@ -175,6 +176,43 @@ def test_spans_of_repeated_rows_are_held_once(spark):
     assert {r.doc_id for r in spans} == {2} and all(len(r.spans) <= 2 * 30 for r in spans)
 
 
+def family(seed, n=60, words=150, changes=7):
+    """Copies of one text, each with words of its own at random places, mostly just too many for a link."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(words)]
+    rows = []
+    for i in range(n):
+        out = list(base)
+        for at in rng.sample(range(words), rng.randint(changes - 2, changes)):
+            out[at] = f"own{i}x{at}"
+        rows.append((i + 1, " ".join(out)))
+    return rows
+
+
+def test_a_family_just_below_the_threshold_makes_few_pairs(spark):
+    """What two sets have in common from their first meeting on decides before they are paired."""
+    rows = family(11)
+    expected, links = jaccard_brute(rows)
+    join = jaccard._Join(documents(docs_of(spark, rows), "doc_id", "text"), 5, 75, 100)
+    keys = join.keys()
+    pairs = join._pairs(keys, keys, F.col("x.rep") < F.col("y.rep"))
+    assert len(links) <= pairs.count() < 60 * 59 / 2 / 4
+    assert {(r.a, r.b) for r in join.verified(pairs).collect()} == links
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components_of(docs_of(spark, rows)).collect()}
+    assert found == expected
+
+
+@pytest.mark.parametrize("changes", [3, 5])
+def test_a_family_with_many_links(spark, changes, monkeypatch):
+    monkeypatch.setattr(jaccard, "GROUP_SETS", 4)
+    monkeypatch.setattr(jaccard, "SENT_BYTES", 1 << 10)
+    rows = family(12, changes=changes)
+    expected, links = jaccard_brute(rows)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components_of(docs_of(spark, rows)).collect()}
+    assert found == expected and links
+    assert {(r.a, r.b) for r in jaccard.links(docs_of(spark, rows * 2)).collect()} == links
+
+
 def test_boundary_has_the_least_cost():
     assert jaccard.choose_boundary([(10, 5.0, 1000), (100, 1e9, 50)], 75, 100) >= 10
     assert jaccard.choose_boundary([(10, 5000.0, 10), (100, 1e9, 50)], 75, 100) < 10
