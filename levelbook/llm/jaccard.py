@@ -88,6 +88,18 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+def _several(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers found twice or more in ``parts``, which it empties, ascending, and how often;
+    sorted in place, as they are all the shingles of a batch."""
+    values = np.concatenate(parts)
+    parts.clear()
+    values.sort()
+    same = values[1:] == values[:-1]
+    first = np.flatnonzero(same & ~np.append(False, same[:-1]))
+    last = np.flatnonzero(same & ~np.append(same[1:], False)) + 1
+    return values[first], last - first + 1
+
+
 def _sets(docs: DataFrame, width: int) -> DataFrame:
     """Size, two keys and histogram of each document's set, and the frequent elements of each batch.
 
@@ -115,9 +127,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                     "element": none,
                     "seen": none,
                 }
-            values, counts = np.unique(np.concatenate(seen), return_counts=True)
-            often = counts > 1
-            values, counts = values[often], counts[often]
+            values, counts = _several(seen)
             none = [None] * len(values)
             yield {
                 "doc_id": pa.nulls(len(values), batch.schema.field("doc_id").type), "text_key": none, "n": none, "k1": none,

@@ -176,6 +176,16 @@ def test_spans_of_repeated_rows_are_held_once(spark):
     assert {r.doc_id for r in spans} == {2} and all(len(r.spans) <= 2 * 30 for r in spans)
 
 
+def test_numbers_found_several_times():
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 2, 5, 40):
+        parts = [rng.integers(0, 12, size).astype(np.uint64), rng.integers(0, 12, size // 2).astype(np.uint64)]
+        values, counts = np.unique(np.concatenate(parts), return_counts=True)
+        found, often = jaccard._several(parts)
+        assert found.tolist() == values[counts > 1].tolist() and often.tolist() == counts[counts > 1].tolist()
+        assert not parts
+
+
 def family(seed, n=60, words=150, changes=7):
     """Copies of one text, each with words of its own at random places, mostly just too many for a link."""
     rng = random.Random(seed)
