@@ -176,6 +176,32 @@ def test_spans_of_repeated_rows_are_held_once(spark):
     assert {r.doc_id for r in spans} == {2} and all(len(r.spans) <= 2 * 30 for r in spans)
 
 
+def python_steps(plan):
+    """The most Python steps of one task, and those of the task that ends with ``plan``."""
+    name, below = plan.nodeName(), plan.children()
+    most, own = 0, 0
+    for i in range(below.size()):
+        found = python_steps(below.apply(i))
+        most, own = max(most, found[0]), max(own, found[1])
+    own = 0 if "Exchange" in name else own + (name == "MapInArrow")
+    return max(most, own), own
+
+
+def test_a_task_of_frequent_anchors_holds_one_python_worker(spark, conf, monkeypatch):
+    conf(spark__sql__adaptive__enabled="false")
+    steps, write = {}, suffixes.written
+
+    def written(df, name):
+        steps[name] = max(steps.get(name, 0), python_steps(df._jdf.queryExecution().executedPlan())[0])
+        return write(df, name)
+
+    monkeypatch.setattr(suffixes, "written", written)
+    rows = list(enumerate(texts_with_copies(1), 1))
+    found = suffixes.remove_repeats(docs_of(spark, rows), length=40, gram=8, most_passages=1)
+    assert found.filter("n_removed > 0").count()
+    assert steps["suffix-blocks"] == 1 and steps["suffix-passages"] == 1
+
+
 def test_numbers_found_several_times():
     rng = np.random.default_rng(3)
     for size in (0, 1, 2, 5, 40):
