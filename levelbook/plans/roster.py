@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection
+from collections.abc import Callable, Collection
+from math import ceil
 from typing import Literal
 
 from pyspark.sql import DataFrame
@@ -13,11 +14,15 @@ from levelbook.functions.vocabulary import ALL_STATES, HAS_CLASS, NO_CLASS, ONBO
 from levelbook.operators.accounts import exclude_accounts
 from levelbook.operators.counts import distinct_kpis, distinct_per, first_appearance_rank, nested_kpis, per_day, spread_minutes
 from levelbook.operators.filters import state_filter
+from levelbook.operators.parts import JoinParts
 from levelbook.operators.skew import HOT_PAIRS, fan_out_join
 from levelbook.plans.logins import Accounts
 from levelbook.sources import TableSet
+from levelbook.sources.staging import staged_path
 
 ROSTER_KEYS = ("id_professor", "id_turma", "id_aluno")
+# So many levels, with their students and assessments, are paired at a time where the pairing is stored.
+PART_LEVELS = 1 << 24
 
 
 def schools(tables: TableSet) -> DataFrame:
@@ -102,13 +107,23 @@ def _assessments(tables: TableSet) -> DataFrame:
     return tables.table("diagnostic_assessment").join(known, "teacher_id", "left_semi")
 
 
-def students_by_class(tables: TableSet, ordered: bool = False, pairs_per_task: int = HOT_PAIRS) -> DataFrame:
+def students_by_class(
+    tables: TableSet,
+    ordered: bool = False,
+    pairs_per_task: int = HOT_PAIRS,
+    store: Callable[[JoinParts], DataFrame] | None = None,
+    part_levels: int = PART_LEVELS,
+) -> DataFrame:
     """Every assessment of a class paired with every level of every student of that class.
 
     Levels pair by student, not by assessment. So the comments shrink to one per student and level
     *before* the join that multiplies rows; with one row per key in the other tables, each
     joined row is then already one group, and nothing is grouped after the join.
     The pairing itself is many-to-many on the class, hence :func:`fan_out_join`.
+
+    ``store`` writes the report, which is then computed once, right away, in parts of about ``part_levels`` levels
+    (see :class:`JoinParts`), and gives the stored rows, which are returned. That is for tables whose shuffle files
+    are too much for the disk, and for readers that go over the report more than once.
     """
     level = tables.table("diagnostic_assessment_type_hypothesis").select(
         F.col("id").alias("hipotese"), F.col("name").alias("nome_hipotese")
@@ -122,9 +137,9 @@ def students_by_class(tables: TableSet, ordered: bool = False, pairs_per_task: i
         F.col("id").alias("id_aluno"), F.col("name").alias("nome_aluno"), F.col("class_id").alias("id_turma")
     )
     students = (
-        comments.join(level, "hipotese")
-        .join(student, F.col("student_id") == F.col("id_aluno"))
+        comments.join(student, F.col("student_id") == F.col("id_aluno"))
         .drop("student_id")
+        .join(level, "hipotese")
     )
     assessments = _assessments(tables).select(
         F.col("teacher_id").alias("id_professor"),
@@ -138,19 +153,29 @@ def students_by_class(tables: TableSet, ordered: bool = False, pairs_per_task: i
         classes(tables).join(schools(tables).distinct(), F.col("cod_inep") == F.col("_inep"))
         .select("id_turma", "nome_turma", "ano_turma", "cod_inep", "nome_escola", "cidade_escola", "estado_escola")
     )
-    rows = fan_out_join(
-        assessments.join(in_school, "id_turma"),
-        students,
-        "id_turma",
-        left_rows=tables.table("diagnostic_assessment").select(F.col("class_id").alias("id_turma")),
-        right_rows=tables.table("student").select(F.col("class_id").alias("id_turma")),
-        pairs_per_task=pairs_per_task,
-    ).select(
-        "id_professor", "id_turma", "nome_turma", "ano_turma", "id_aluno", "nome_aluno",
-        "cod_inep", "nome_escola", "cidade_escola", "estado_escola",
-        "id_avaliacao", "mes_avaliacao", "hipotese", "nome_hipotese",
-        "comentario", "data_criacao_avaliacao",
-    )
+    in_class = assessments.join(in_school, "id_turma")
+
+    def paired(
+        left: DataFrame, right: DataFrame, left_rows: DataFrame | None = None, right_rows: DataFrame | None = None
+    ) -> DataFrame:
+        return fan_out_join(left, right, "id_turma", left_rows, right_rows, pairs_per_task).select(
+            "id_professor", "id_turma", "nome_turma", "ano_turma", "id_aluno", "nome_aluno",
+            "cod_inep", "nome_escola", "cidade_escola", "estado_escola",
+            "id_avaliacao", "mes_avaliacao", "hipotese", "nome_hipotese",
+            "comentario", "data_criacao_avaliacao",
+        )
+
+    if store is None:
+        rows = paired(
+            in_class,
+            students,
+            left_rows=tables.table("diagnostic_assessment").select(F.col("class_id").alias("id_turma")),
+            right_rows=tables.table("student").select(F.col("class_id").alias("id_turma")),
+        )
+    else:
+        parts = max(1, ceil(tables.table("diagnostic_assessment_students").count() / part_levels))
+        path = staged_path(students.sparkSession, "pairing-sides")
+        rows = store(JoinParts(in_class, students, "id_turma", paired, parts, path))
     return rows.orderBy(F.col("data_criacao_avaliacao").desc()) if ordered else rows
 
 
