@@ -119,3 +119,13 @@ def test_the_sorted_pairing_leaves_no_shuffle_files(spark):
     rows = registry.queries()["pairing_sorted"](spark, TESTDATA)
     # The counts of a few ranges may stay.
     assert left_behind(spark, before) < 4096 and rows.columns[-1] == "pos"
+
+
+def test_the_types_of_the_pairing_are_told_from_stored_rows(spark):
+    """Its joins run once, not for the types and again for the rows."""
+    before = shuffle_bytes(spark)
+    rows = registry.queries()["format_integers"](spark, TESTDATA)
+    assert left_behind(spark, before) < 4096
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert {dict(rows.dtypes)[c] for c in registry._TEXT_IDS} == {"bigint"}
